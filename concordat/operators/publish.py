@@ -45,6 +45,14 @@ def _superseding(listed: Column) -> Column:
     return F.concat(F.lit("\n\nThis supersedes "), listed, F.lit(f". {RETAINED}"))
 
 
+def neutralise(text: Column) -> Column:
+    """Text from a document, without the marks that could address or end an edit."""
+    cleaned = F.regexp_replace(text, rf"(?i)\[{T.SPACE}*ref{T.SPACE}*:", "[ref-")
+    cleaned = F.replace(cleaned, F.lit("```"), F.lit("'''"))
+    cleaned = F.regexp_replace(cleaned, NEWLINE, "\n")
+    return F.regexp_replace(cleaned, rf"(?m)^(?={BLANK}*#)", "\u200b")
+
+
 def render_sections(versions: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """M1: each section as markdown.
 
@@ -73,7 +81,8 @@ def render_sections(versions: DataFrame, parts: DataFrame | None = None) -> Data
                       F.lit("."), rev, F.lit("*"))
     drawn = named.select("section_key", "ref", "content_hash", "n_parts", r["value"].alias("value"),
                          F.concat(heading, F.lit("\n\n"), body).alias("_head"), status.alias("_end"),
-                         F.concat(F.lit("### "), "_vendor", F.lit(" — "), "_term").alias("plain_heading"))
+                         F.concat(F.lit("### "), neutralise(F.col("_vendor")), F.lit(" — "),
+                                  neutralise(F.col("_term"))).alias("plain_heading"))
     keep = ["section_key", "ref", "content_hash", "value", "plain_heading", "part", "text"]
     whole = drawn.filter("n_parts = 0").withColumn("part", F.lit("")).withColumn(
         "text", F.concat("_head", "_end"))
@@ -156,14 +165,6 @@ def publication_counts(diff: DataFrame) -> DataFrame:
     ).withColumn("is_noop", (F.col("to_write") == 0) & (F.col("to_remove") == 0))
 
 
-def neutralise(text: Column) -> Column:
-    """Text from a document, without the marks that could address or end an edit."""
-    cleaned = F.regexp_replace(text, rf"(?i)\[{T.SPACE}*ref{T.SPACE}*:", "[ref-")
-    cleaned = F.replace(cleaned, F.lit("```"), F.lit("'''"))
-    cleaned = F.regexp_replace(cleaned, NEWLINE, "\n")
-    return F.regexp_replace(cleaned, rf"(?m)^(?={BLANK}*#)", "\u200b")
-
-
 def edit_list(diff: DataFrame, rendered: DataFrame) -> DataFrame:
     """M4: one row per section to remove (first) or to write, with neutralised text.
 
@@ -177,7 +178,7 @@ def edit_list(diff: DataFrame, rendered: DataFrame) -> DataFrame:
         diff.filter(F.col("action") == "write").select("corpus", "action", "section_key")
         .join(rendered, "section_key")
         .select("corpus", F.lit(1).alias("step"), "action", "ref", "part",
-                F.concat(neutralise(F.col("plain_heading")), F.lit(" [ref:"), "ref", F.lit("]")).alias("heading"),
+                F.concat("plain_heading", F.lit(" [ref:"), "ref", F.lit("]")).alias("heading"),
                 neutralise(F.when(F.col("part") == "", below).otherwise(F.col("text"))).alias("body"))
     )
     return removals.unionByName(writes)

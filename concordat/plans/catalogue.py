@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from concordat.functions.values import number_text
 from concordat.operators import adjudicate, changes, classify, compose, conflicts, enrich, extract
 from concordat.operators import ingest, publish, reconcile, reports, review, rules, verify
 from concordat.plans import driver_tables as D
+from concordat.session import settle
 from concordat.sources import inbox, tables
 from concordat.sources.rules import standard_rules
 
@@ -23,19 +24,37 @@ def query(fn):
     return fn
 
 
-def _text(*names: str) -> list[Column]:
-    return [F.col(n).cast("string").alias(n) for n in names]
+# --- inputs ------------------------------------------------------------------
 
+_STORED: dict = {}
 
-# --- inputs ------------------------------------------------------------------
+
+def stored(fn):
+    """A stage result that several operators read: written once per session and input."""
+    @wraps(fn)
+    def once(spark: SparkSession, folder: str, *args) -> DataFrame:
+        key = (spark.sparkContext.applicationId, folder, fn.__name__, *args)
+        if key not in _STORED:
+            _STORED[key] = settle(fn(spark, folder, *args), fn.__name__)
+        return _STORED[key]
+    return once
+
+
+@stored
+def fact_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts in context with their keys and magnitudes, as a run stores them."""
+    return reconcile.with_keys(D.facts(spark, folder).withColumnRenamed("qualifier", "scope"))
 
 
 def views(spark: SparkSession, folder: str, run: int = 2) -> DataFrame:
-    """Facts in context.  Run 1 lacks every tenth document."""
-    rows = D.facts(spark, folder)
-    if run == 1:
-        rows = rows.filter("document_id % 10 <> 0")
-    return reconcile.with_keys(rows.withColumnRenamed("qualifier", "scope"))
+    """The facts of a run.  Run 1 lacks every tenth document."""
+    rows = fact_table(spark, folder)
+    return rows.filter("document_id % 10 <> 0") if run == 1 else rows
+
+
+@stored
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return conflicts.detect(views(spark, folder))
 
 
 def letters(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +83,7 @@ def no_versions(spark: SparkSession) -> DataFrame:
                                      "n_parts bigint, fact_digest string, composer_version string")
 
 
+@stored
 def versions(spark, folder, run: int) -> DataFrame:
     """Section versions of run 1 (full) or of run 2 on top of it.
 
@@ -442,13 +462,13 @@ def e5_detect(spark, folder):
 
 @query
 def e6_with_direction(spark, folder):
-    return conflicts.with_direction(conflicts.detect(views(spark, folder))).select(
+    return conflicts.with_direction(candidates(spark, folder)).select(
         "kind", "a_fact_id", "b_fact_id", "sign", "direction")
 
 
 @query
 def e7_candidate_counts(spark, folder):
-    return conflicts.candidate_counts(conflicts.detect(views(spark, folder)))
+    return conflicts.candidate_counts(candidates(spark, folder))
 
 
 # --- judging ------------------------------------------------------------------------------
@@ -460,8 +480,9 @@ PROSE = """CASE WHEN a_fact_id % 6 = 0 THEN 'The billed figure is higher than ag
   WHEN a_fact_id % 6 = 4 THEN 'A refund is due.' ELSE '' END"""
 
 
+@stored
 def _batches(spark, folder):
-    return adjudicate.batch_candidates(conflicts.detect(views(spark, folder)))
+    return adjudicate.batch_candidates(candidates(spark, folder))
 
 
 def _judgements(batches: DataFrame) -> DataFrame:
@@ -477,6 +498,7 @@ def _judgements(batches: DataFrame) -> DataFrame:
                          .otherwise(F.concat(F.lit('{"verdicts": ['), "items", F.lit("]}"))).alias("response_text"))
 
 
+@stored
 def _judged(spark, folder):
     batches = _batches(spark, folder)
     return adjudicate.apply_verdicts(batches, _judgements(batches))
@@ -496,7 +518,7 @@ def f2_check_explanations(spark, folder):
 
 def _merged(spark, folder):
     judged = _judged(spark, folder)
-    existing = conflicts.detect(views(spark, folder)).filter("a_fact_id % 3 = 0").select(
+    existing = candidates(spark, folder).filter("a_fact_id % 3 = 0").select(
         "a_fact_id", "b_fact_id", "kind",
         F.expr("CASE WHEN a_fact_id % 2 = 0 THEN 'open' ELSE 'dismissed' END").alias("status"))
     return adjudicate.merge_conflicts(judged, existing)
@@ -542,29 +564,33 @@ def g3_apply_plan(spark, folder):
         "section_key", "content_hash", "composer_version", "carried_forward", "version_id", "prev_version_id")
 
 
-def claims_of(spark, folder, run: int = 2) -> DataFrame:
+@stored
+def claims_of(spark, folder, run: int) -> DataFrame:
     v = versions(spark, folder, run)
-    old = compose.claims_for(versions(spark, folder, 1), empty_like(v.select(
-        "section_key", F.col("content").alias("text"), F.col("content").alias("status"))))
-    return compose.claims_for(v, old) if run == 2 else old
+    if run == 2:
+        return compose.claims_for(v, claims_of(spark, folder, 1))
+    none = v.select("section_key", F.col("content").alias("text"), F.col("content").alias("status"))
+    return compose.claims_for(v, empty_like(none))
 
 
-def citations_of(spark, folder, run: int = 2) -> DataFrame:
+@stored
+def citations_of(spark, folder, run: int) -> DataFrame:
     of_run = lambda r: compose.section_facts(views(spark, folder, r), reconcile.reconcile(views(spark, folder, r)))
     if run == 1:
         first = of_run(1)
         return compose.citations_for(claims_of(spark, folder, 1), versions(spark, folder, 1), first, empty_like(first))
-    return compose.citations_for(claims_of(spark, folder), versions(spark, folder, 2), of_run(2), of_run(1))
+    return compose.citations_for(
+        claims_of(spark, folder, 2), versions(spark, folder, 2), of_run(2), citations_of(spark, folder, 1))
 
 
 @query
 def g4_claims(spark, folder):
-    return claims_of(spark, folder).select("section_key", "text", "status")
+    return claims_of(spark, folder, 2).select("section_key", "text", "status")
 
 
 @query
 def g4_citations(spark, folder):
-    return citations_of(spark, folder).select("section_key", "fact_id")
+    return citations_of(spark, folder, 2).select("section_key", "fact_id")
 
 
 @query
@@ -585,14 +611,15 @@ def h1_validate_rules(spark, folder):
     return rules.validate_rules(D.derive(spark, folder, D.RULE_PROPOSALS)).select("position", "problem")
 
 
-def _violations(spark, folder, run: int = 2):
+@stored
+def _violations(spark, folder, run: int):
     return rules.evaluate_rules(reconcile.reconcile(views(spark, folder, run)), standard_rules())
 
 
 @query
 def h2_evaluate_rules(spark, folder):
     """H2-H5: the standard playbook on every vendor."""
-    return _violations(spark, folder).select(
+    return _violations(spark, folder, 2).select(
         "code", "subject", "predicate", "observed", "explanation", "fact_id", "checked", "severity")
 
 
@@ -615,14 +642,14 @@ def h4_presence_required(spark, folder):
 
 @query
 def h5_rule_counts(spark, folder):
-    return rules.rule_counts(_violations(spark, folder))
+    return rules.rule_counts(_violations(spark, folder, 2))
 
 
 @query
 def h6_link_sections(spark, folder):
     """Against the register of run 1, which lacks some of the sections."""
     known = reconcile.reconcile(views(spark, folder, 1)).filter("n_facts % 2 = 1").select("section_key")
-    return rules.rule_findings(rules.link_sections(_violations(spark, folder), known)).select(
+    return rules.rule_findings(rules.link_sections(_violations(spark, folder, 2), known)).select(
         "code", "subject", "section_key", "explanation", "severity")
 
 
@@ -694,7 +721,7 @@ def j3_change_summary(spark, folder):
 def k1_assemble_findings(spark, folder):
     facts, docs = _normalized(spark, folder), D.derive(spark, folder, D.CONTRACTS)
     return review.assemble_findings(
-        review.staged(rules.rule_findings(_violations(spark, folder)), "examine", "code", "subject_key"),
+        review.staged(rules.rule_findings(_violations(spark, folder, 2)), "examine", "code", "subject_key"),
         review.staged(extract.unnormalised_findings(facts.filter("fact_id % 3 = 0"), docs)
                       .distinct(), "extract", "document_id"),
     ).select("stage", "finding_index", "severity", "explanation")
@@ -798,8 +825,7 @@ def l6_run_status(spark, folder):
 
 
 def _rendered(spark, folder, run: int):
-    v = versions(spark, folder, run)
-    return publish.render_sections(v)
+    return publish.render_sections(versions(spark, folder, run))
 
 
 def _corpus(key: str = "section_key") -> Column:
@@ -807,6 +833,7 @@ def _corpus(key: str = "section_key") -> Column:
     return F.substring_index(key, "::", 1)
 
 
+@stored
 def _published(spark, folder):
     """Documents as published after run 1, as an editing service might hand them back."""
     page = _rendered(spark, folder, 1).groupBy(_corpus().alias("corpus")).agg(

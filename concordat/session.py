@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -38,3 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def settle(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """Write rows to the shared checkpoint folder as Parquet and read them back.
+
+    Used where several stages read the same result: it is computed once, survives the
+    loss of executors, and later stages prune columns and know its size.
+    """
+    spark = rows.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/concordat-{uuid.uuid4().hex[:12]}/{name}"
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
