@@ -195,7 +195,8 @@ def resolve_citations(facts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, D
 
 
 def _fact_finding(rows: DataFrame, explanation: Column) -> DataFrame:
-    return rows.select("document_id", F.lit("low").alias("severity"),
+    place = [c for c in ("position",) if c in rows.columns]
+    return rows.select("document_id", *place, F.lit("low").alias("severity"),
                        F.lit("fact").alias("target_kind"), explanation.alias("explanation"))
 
 

@@ -74,7 +74,7 @@ def verify_run(claims: DataFrame, citations: DataFrame, facts: DataFrame,
 
 def verification_findings(failures: DataFrame) -> DataFrame:
     return failures.select(
-        F.lit("high").alias("severity"), F.lit("verification").alias("target_kind"),
+        "claim_id", "fact_id", F.lit("high").alias("severity"), F.lit("verification").alias("target_kind"),
         F.concat(F.lit("["), "reason", F.lit("] "), "section_key", F.lit(": "), "detail")
         .alias("explanation"),
     )

@@ -360,7 +360,8 @@ def c13_span_findings(spark, folder):
 def c14_rejection_findings(spark, folder):
     _, rejections, _, failed = _parsed(spark, folder)
     docs = _response_documents(spark, folder)
-    return extract.rejection_findings(rejections, docs).unionByName(extract.failure_findings(failed, docs))
+    return extract.rejection_findings(rejections, docs).drop("position").unionByName(
+        extract.failure_findings(failed, docs))
 
 
 # --- reconciliation ----------------------------------------------------------------

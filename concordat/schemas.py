@@ -2,8 +2,13 @@
 
 SCHEMAS = {
     "documents": (
-        "document_id string, arrival string, uri string, sha256 string, mime string, text string, "
-        "kind string, kind_confidence double, vendor string, document_date date, corpus string"
+        "document_id string, doc_seq bigint, arrival string, uri string, sha256 string, mime string, "
+        "corpus string"
+    ),
+    # One row per answer to "what is this document?"; a human's answer outweighs the classifier's.
+    "document_kinds": (
+        "document_id string, decided_by string, kind string, kind_confidence double, "
+        "vendor string, document_date date, corpus string"
     ),
     "chunks": (
         "chunk_id string, document_id string, ordinal int, text string, char_start int, "
@@ -13,7 +18,7 @@ SCHEMAS = {
         "fact_id string, fact_seq bigint, document_id string, chunk_id string, predicate string, "
         "subject string, value_raw string, value_norm string, unit string, qualifier string, "
         "effective_date date, confidence double, char_start int, char_end int, "
-        "extractor_version string, corpus string"
+        "not_comparable_reason string, extractor_version string, corpus string"
     ),
     "section_versions": (
         "version_id string, section_key string, content string, content_hash string, "

@@ -22,9 +22,9 @@ def new_rows(rows: DataFrame, target: DataFrame, keys: list[str], order: str) ->
 
     Only keys and `order` (unique) are grouped; the rows themselves are picked by it.
     """
-    first = rows.groupBy(*keys).agg(F.min(order).alias(order))
-    unseen = first.join(target.select(*keys), keys, "left_anti")
-    return rows.join(unseen.select(order), order, "left_semi")
+    first = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+    unseen = first.join(target.select(*keys), keys, "left_anti").select(F.col("_first").alias(order))
+    return rows.join(unseen, order, "left_semi")
 
 
 @dataclass(frozen=True)
