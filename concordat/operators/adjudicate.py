@@ -32,7 +32,7 @@ def apply_verdicts(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     ).select("batch_id", "_r", (F.col("_r").isNull() | F.col("_r.broken").isNotNull()).alias("_broken"))
     verdicts = (
         read.filter(~F.col("_broken"))
-        .select("batch_id", F.posexplode("_r.verdicts").alias("_pos", "_v"))
+        .select("batch_id", F.posexplode_outer("_r.verdicts").alias("_pos", "_v"))
         .withColumn("index", F.col("_v.index").try_cast("double").cast("int"))
         .filter(F.col("index").isNotNull())
         .groupBy("batch_id", "index")

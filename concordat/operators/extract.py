@@ -61,8 +61,9 @@ def parse_extractions(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     failed = read.filter(~usable).select("document_id")
     good = read.filter(usable)
     items = good.select(
-        "document_id", F.posexplode(F.filter("_r.facts", lambda f: f.isNotNull())).alias("position", "f")
-    ).withColumn("quote", F.coalesce(T.strip("f.quote"), F.lit("")))
+        # The outer form: the plain one would add a filter that parses every response twice.
+        "document_id", F.posexplode_outer("_r.facts").alias("position", "f")
+    ).filter(F.col("f").isNotNull()).withColumn("quote", F.coalesce(T.strip("f.quote"), F.lit("")))
     rejections = items.filter(F.col("quote") == "").select(
         "document_id", "position", F.coalesce("f.predicate", F.lit("?")).alias("predicate"),
         F.coalesce("f.value_raw", F.lit("")).alias("value_raw"), "quote", F.lit(NO_QUOTE).alias("reason"),
@@ -75,7 +76,7 @@ def parse_extractions(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataF
         T.none_if_empty("f.unit").alias("unit"), T.none_if_empty("f.effective_date").alias("date_text"),
         T.none_if_empty(T.strip("f.qualifier")).alias("qualifier"),
     )
-    spans = good.select("document_id", F.explode("_r.instruction_like_spans").alias("span")).filter(
+    spans = good.select("document_id", F.explode_outer("_r.instruction_like_spans").alias("span")).filter(
         T.strip("span") != ""
     )
     return facts, rejections, spans, failed
@@ -84,31 +85,27 @@ def parse_extractions(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataF
 # --- C9 -----------------------------------------------------------------------
 
 
-def _pattern(quote: Column) -> Column:
-    """A regex for the words of a quote with any whitespace between them."""
-    words = F.filter(F.split(T.squash(quote), " "), lambda w: w != "")
-    literal = F.transform(words, lambda w: F.concat(
-        F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    return F.array_join(literal, T.SPACE + "+")
+def _pattern(words: Column) -> Column:
+    """A regex for words (one blank between them) with any whitespace between them."""
+    literal = F.replace(words, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    gap = F.lit(rf"\E{T.SPACE}+\Q")
+    return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(" "), gap), F.lit(r"\E"))
 
 
-def _readings(text: Column) -> Column:
-    """A passage as it stands, and folded the ways a careful copy may differ from it."""
-    plain = T.fold_typography(text)
-    bare = T.fold_markdown(plain)
-    return F.struct(
-        text.alias("text"), plain.alias("plain"), T.squash(plain).alias("words"),
-        bare.alias("bare"), T.squash(bare).alias("bare_words"),
-    )
-
+def _read(rows: DataFrame, name: str) -> DataFrame:
+    """Array column `name` of (text, ...) structs -> each with its folded readings.
 
-def _quote_readings(quote: Column) -> Column:
-    plain = T.fold_typography(quote)
-    bare = T.fold_markdown(plain)
-    return F.struct(
-        quote.alias("text"), plain.alias("plain"), T.squash(plain).alias("words"),
-        T.squash(bare).alias("bare_words"), _pattern(plain).alias("pattern"),
-        _pattern(bare).alias("bare_pattern"),
+    Column by column, so that every fold is computed once: as it stands, with ASCII
+    punctuation, without layout marks, and the last two with single blanks.
+    """
+    return (
+        rows.withColumn("text", F.transform(name, lambda c: c["text"]))
+        .withColumn("plain", F.transform("text", T.fold_typography))
+        .withColumn("bare", F.transform("plain", T.fold_markdown))
+        .withColumn("words", F.transform("plain", T.squash))
+        .withColumn("bare_words", F.transform("bare", T.squash))
+        .withColumn(name, F.arrays_zip(F.col(name).alias("at"), "text", "plain", "bare", "words", "bare_words"))
+        .drop("text", "plain", "bare", "words", "bare_words")
     )
 
 
@@ -121,25 +118,24 @@ def _holds(passage: Column, quote: Column) -> Column:
 
 def _span(passage: Column, quote: Column) -> Column:
     """(offset, length) of a quote that the passage holds, by the strictest reading."""
-    def at(offset: Column, length: Column) -> Column:
-        return F.struct((offset - 1).cast("int").alias("offset"), length.cast("int").alias("length"))
-
     def located(text: Column, part: Column) -> Column:
-        return at(F.instr(text, part), F.length(part))
+        return F.struct((F.instr(text, part) - 1).alias("offset"), F.length(part).alias("length"))
 
-    def worded(text: Column, pattern: Column) -> Column:
-        found = F.regexp_substr(text, pattern)
-        return at(F.instr(text, found), F.length(found))
+    def worded(text: Column, words: Column) -> Column:
+        return located(text, F.regexp_substr(text, _pattern(words)))
 
     squashed = (quote["words"] != "") & passage["words"].contains(quote["words"])
     return (
         F.when(passage["text"].contains(quote["text"]), located(passage["text"], quote["text"]))
         .when(passage["plain"].contains(quote["plain"]), located(passage["plain"], quote["plain"]))
-        .when(squashed, worded(passage["plain"], quote["pattern"]))
-        .otherwise(worded(passage["bare"], quote["bare_pattern"]))
+        .when(squashed, worded(passage["plain"], quote["words"]))
+        .otherwise(worded(passage["bare"], quote["bare_words"]))
     )
 
 
+CHUNKS = "array<struct<ordinal:int,text:string,char_start:int,char_end:int>>"
+
+
 def resolve_citations(facts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts with char_start, char_end and chunk, rejected facts).
 
@@ -147,40 +143,37 @@ def resolve_citations(facts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, D
     document as a whole.  A document meets its facts once, row against row: its text is
     not repeated for every fact.
     """
-    fact = F.struct(*[c for c in facts.columns if c != "document_id"])
-    of_document = facts.groupBy("document_id").agg(F.collect_list(fact).alias("_facts"))
+    fact = F.struct(F.col("quote").alias("text"), F.struct(
+        *[c for c in facts.columns if c != "document_id"]).alias("fact"))
+    of_document = facts.groupBy("document_id").agg(F.collect_list(fact).alias("asked"))
     met = of_document.join(chunks_of_documents(chunks), "document_id", "left").withColumn(
-        "chunks", F.coalesce("chunks", F.array().cast("array<struct<ordinal:int,text:string,char_start:int,char_end:int>>"))
-    )
-    read = met.select(
-        "document_id",
-        F.transform("_facts", lambda f: F.struct(f.alias("fact"), _quote_readings(f["quote"]).alias("quote"))).alias("asked"),
-        F.transform("chunks", lambda c: F.struct(
-            c["ordinal"].alias("ordinal"), c["char_start"].alias("start"), c["char_end"].alias("end"),
-            _readings(c["text"]).alias("passage"))).alias("passages"),
-        _readings(text_at_offsets(F.col("chunks"))).alias("whole"),
-    )
-
-    def answer(asked: Column) -> Column:
-        inside = F.get(F.filter("passages", lambda p: _holds(p["passage"], asked["quote"])), F.lit(0))
-        in_chunk = F.struct(inside["start"].alias("base"), inside["ordinal"].alias("ordinal"),
-                            _span(inside["passage"], asked["quote"]).alias("span"))
+        "chunks", F.coalesce("chunks", F.array().cast(CHUNKS)))
+    first = lambda asked: F.get(F.filter("chunks", lambda p: _holds(p, asked)), F.lit(0))
+    inside = _read(_read(met, "chunks"), "asked").withColumn(
+        "asked", F.transform("asked", lambda a: F.struct(
+            a["at"]["fact"].alias("fact"), a.alias("quote"), first(a).alias("inside"))))
+    # The document as a whole is read only where a quote was in none of its chunks.
+    missed = F.exists("asked", lambda a: a["inside"].isNull())
+    whole = F.struct(text_at_offsets(F.transform("chunks", lambda c: c["at"])).alias("text"))
+    tried = _read(
+        inside.withColumn("whole", F.when(missed, F.array(whole)).otherwise(F.array().cast("array<struct<text:string>>"))),
+        "whole")
+
+    def answer(a: Column) -> Column:
+        document = F.get("whole", F.lit(0))
+        in_chunk = F.struct(a["inside"]["at"]["char_start"].alias("base"), a["inside"]["at"]["ordinal"].alias("ordinal"),
+                            _span(a["inside"], a["quote"]).alias("span"))
         across = F.struct(F.lit(0).alias("base"), F.lit(None).cast("int").alias("ordinal"),
-                          _span(F.col("whole"), asked["quote"]).alias("span"))
-        return F.struct(
-            asked["fact"].alias("fact"),
-            F.when(inside.isNotNull(), in_chunk)
-            .when(_holds(F.col("whole"), asked["quote"]), across).alias("hit"),
-        )
-
-    found = read.select(
-        "document_id", "passages", F.explode(F.transform("asked", answer)).alias("a")
-    )
-    start = F.col("a.hit.base") + F.col("a.hit.span.offset")
-    holder = F.get(F.filter("passages", lambda p: (p["start"] <= F.col("char_start")) & (F.col("char_start") < p["end"])), F.lit(0))
-    located = found.withColumn("char_start", start).withColumn(
-        "chunk_ordinal", F.coalesce("a.hit.ordinal", holder["ordinal"])
-    )
+                          _span(document, a["quote"]).alias("span"))
+        return F.struct(a["fact"].alias("fact"), F.when(a["inside"].isNotNull(), in_chunk)
+                        .when(_holds(document, a["quote"]), across).alias("hit"))
+
+    found = tried.select(
+        "document_id", F.transform("chunks", lambda c: c["at"]).alias("chunks"),
+        F.explode_outer(F.transform("asked", answer)).alias("a"),
+    ).withColumn("char_start", F.col("a.hit.base") + F.col("a.hit.span.offset"))
+    holder = F.get(F.filter("chunks", lambda p: (p["char_start"] <= F.col("char_start")) & (F.col("char_start") < p["char_end"])), F.lit(0))
+    located = found.withColumn("chunk_ordinal", F.coalesce("a.hit.ordinal", holder["ordinal"]))
     cited = located.filter(F.col("char_start").isNotNull()).select(
         "document_id", "a.fact.*", "char_start",
         (F.col("char_start") + F.col("a.hit.span.length")).alias("char_end"), "chunk_ordinal",
@@ -251,7 +244,8 @@ def scan_instruction_text(chunks: DataFrame) -> DataFrame:
     """Chunks that hold a marker of text aimed at an automated reader."""
     low = F.lower("text")
     hits = F.array_compact(F.array(*[F.when(low.contains(m), F.lit(m)) for m in INSTRUCTION_MARKERS]))
-    return chunks.select("document_id", "ordinal", F.explode(hits).alias("marker"))
+    return chunks.select("document_id", "ordinal", F.explode_outer(hits).alias("marker")).filter(
+        F.col("marker").isNotNull())
 
 
 def span_findings(spans: DataFrame, documents: DataFrame) -> DataFrame:

@@ -74,48 +74,51 @@ def resolve_arrivals(new: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def running_starts(lengths: Column) -> Column:
-    """Exclusive running sums of an array, without leaving the row."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
-    zero = F.array(F.lit(0).cast("int"))
+# Inside a lambda only its own variables are used: the optimizer would inline a column of
+# the row into the lambda and compute it again for every element.
+
+
+def with_running_starts(rows: DataFrame, lengths: str, starts: str) -> DataFrame:
+    """Exclusive running sums of an array column, without leaving the row."""
+    zero = F.array(F.lit(0))
     add = lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n)
-    inner = F.transform(
-        blocks, lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), zero, add)
-    )
-    # Each block holds one sum more than entries; the last one is its total.
-    offsets = F.aggregate(F.transform(inner, lambda s: F.element_at(s, -1)), zero, add)
-    return F.flatten(
-        F.transform(inner, lambda s, i: F.transform(
-            F.slice(s, F.lit(1), F.size(s) - 1), lambda n: n + F.element_at(offsets, i + 1)))
+    cuts = F.sequence(F.lit(1), F.size(lengths), F.lit(BLOCK))
+    blocks = F.zip_with(cuts, F.array_repeat(F.col(lengths), F.size(cuts)), lambda at, all_: F.slice(all_, at, F.lit(BLOCK)))
+    return (
+        rows.withColumn("_inner", F.transform(blocks, lambda block: F.aggregate(block, zero, add)))
+        # Each block holds one sum more than entries; the last one is its total.
+        .withColumn("_offsets", F.slice(F.aggregate(
+            F.transform("_inner", lambda sums: F.element_at(sums, -1)), zero, add), F.lit(1), F.size("_inner")))
+        .withColumn(starts, F.flatten(F.zip_with("_inner", "_offsets", lambda sums, offset: F.transform(
+            F.slice(sums, F.lit(1), F.size(sums) - 1), lambda n: n + offset))))
+        .drop("_inner", "_offsets")
     )
 
 
-def chunk_array(text: Column | str) -> Column:
-    """Paragraphs of a text with their exact offsets: array of (text, char_start, char_end)."""
-    pieces = F.split(T.col(text), "\n\n")
-    starts = running_starts(F.transform(pieces, lambda p: F.length(p) + 2))
-    trimmed = F.transform(
-        F.arrays_zip(pieces.alias("piece"), starts.alias("start")),
-        lambda z: F.struct(
-            T.strip(z["piece"]).alias("text"),
-            # What was trimmed on the left moves the start.
-            (z["start"] + F.length(z["piece"])
-             - F.length(F.ltrim(z["piece"], F.lit(T.WHITESPACE)))).alias("char_start"),
-        ),
-    )
-    return F.transform(
-        F.filter(trimmed, lambda c: c["text"] != ""),
-        lambda c, i: F.struct(
+def with_chunks(documents: DataFrame) -> DataFrame:
+    """Adds `chunks`: the paragraphs of `text` with their exact offsets, in order."""
+    split = documents.withColumn("_piece", F.split("text", "\n\n")).withColumn(
+        "_length", F.transform("_piece", lambda p: F.length(p) + 2))
+    placed = with_running_starts(split, "_length", "_start")
+    # What is trimmed on the left moves the start.
+    left = F.zip_with("_piece", "_start", lambda piece, start: F.struct(
+        F.ltrim(piece, F.lit(T.WHITESPACE)).alias("rest"), (start + F.length(piece)).alias("end")))
+    trimmed = F.transform(left, lambda p: F.struct(
+        F.rtrim(p["rest"], F.lit(T.WHITESPACE)).alias("text"), (p["end"] - F.length(p["rest"])).alias("char_start")))
+    return placed.withColumn(
+        "chunks", F.transform(F.filter(trimmed, lambda c: c["text"] != ""), lambda c, i: F.struct(
             i.alias("ordinal"), c["text"].alias("text"), c["char_start"].alias("char_start"),
-            (c["char_start"] + F.length(c["text"])).alias("char_end"),
-        ),
-    )
+            (c["char_start"] + F.length(c["text"])).alias("char_end")))
+    ).drop("_piece", "_length", "_start")
 
 
 def chunk_documents(documents: DataFrame) -> DataFrame:
     """One row per paragraph.  No shuffle: everything happens within the document's row."""
     return (
-        documents.select("document_id", F.explode(chunk_array("text")).alias("c"))
+        with_chunks(documents.select("document_id", "text"))
+        # The outer form: the plain one would add a filter that chunks every text twice.
+        .select("document_id", F.explode_outer("chunks").alias("c"))
+        .filter(F.col("c").isNotNull())
         .select("document_id", "c.*")
         .withColumn("chunk_id", F.concat_ws("#", F.col("document_id").cast("string"),
                                             F.col("ordinal").cast("string")))
@@ -129,11 +132,10 @@ def joined_text(chunks: Column) -> Column:
 
 def text_at_offsets(chunks: Column) -> Column:
     """Chunks at their original offsets; the gaps are filled with newlines."""
-    ends = F.transform(chunks, lambda c: c["char_end"])
-    padded = F.transform(chunks, lambda c, i: F.concat(
-        F.repeat(F.lit("\n"), c["char_start"] - F.when(i == 0, 0).otherwise(F.get(ends, i - 1))),
-        c["text"],
-    ))
+    ends = F.concat(F.array(F.lit(0)), F.transform(chunks, lambda c: c["char_end"]))
+    padded = F.zip_with(chunks, ends, lambda c, before: F.concat(
+        F.repeat(F.lit("\n"), c["char_start"] - before), c["text"]))
+    # There is one end more than chunks; its entry is NULL and not joined.
     return F.array_join(padded, "")
 
 

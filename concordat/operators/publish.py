@@ -115,7 +115,7 @@ def _pieces(documents: DataFrame) -> DataFrame:
     """One row per heading of a published document with the text under it."""
     flat = F.replace(F.col("text"), F.lit("\\"), F.lit(""))
     pieces = F.split(flat, f"{NEWLINE}(?={BLANK}*#)")
-    rows = documents.select("corpus", F.posexplode(pieces).alias("position", "piece"))
+    rows = documents.select("corpus", F.posexplode_outer(pieces).alias("position", "piece"))
     heading = F.regexp_extract("piece", f"^({NOT_BREAK}*)", 1)
     return (
         rows.withColumn("heading", heading)

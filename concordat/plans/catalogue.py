@@ -658,10 +658,17 @@ def h6_link_sections(spark, folder):
 
 
 def _evidence(spark, folder):
-    contracts = D.derive(spark, folder, D.CONTRACTS)
-    return (D.derive(spark, folder, D.CITED_FACTS.format(facts=D.FACTS)),
-            D.derive(spark, folder, D.CITED_CHUNKS.format(facts=D.FACTS)),
-            contracts.filter("document_id % 97 <> 0"))
+    """Facts tied to passages, some tampered with: facts or passages gone, changed, or never linked."""
+    facts = fact_table(spark, folder)
+    changed = F.when(F.col("fact_id") % 13 == 0, "withdrawn").otherwise(F.col("value_raw"))
+    passage = F.concat(F.lit("The "), F.replace("predicate", F.lit("_"), F.lit(" ")), F.lit(" is "), changed, F.lit("."))
+    return (
+        facts.filter("fact_id % 29 <> 0").select(
+            "fact_id", "predicate", "value_raw", "document_id", "effective_date",
+            F.when(F.col("fact_id") % 23 != 0, F.col("fact_id")).alias("chunk_id")),
+        facts.filter("fact_id % 17 <> 0").select(F.col("fact_id").alias("chunk_id"), passage.alias("text")),
+        D.derive(spark, folder, D.CONTRACTS).filter("document_id % 97 <> 0"),
+    )
 
 
 def _verification(spark, folder):
@@ -703,7 +710,7 @@ def j1_build_changes(spark, folder):
 
 @query
 def j2_change_causes(spark, folder):
-    facts, docs = D.facts(spark, folder), D.derive(spark, folder, D.CONTRACTS)
+    facts, docs = fact_table(spark, folder), D.derive(spark, folder, D.CONTRACTS)
     return changes.change_causes(
         _changes(spark, folder),
         changes.citing_documents(citations_of(spark, folder, 2), facts, docs),
@@ -720,7 +727,7 @@ def j3_change_summary(spark, folder):
 
 @query
 def k1_assemble_findings(spark, folder):
-    facts, docs = _normalized(spark, folder), D.derive(spark, folder, D.CONTRACTS)
+    facts, docs = fact_table(spark, folder), D.derive(spark, folder, D.CONTRACTS)
     return review.assemble_findings(
         review.staged(rules.rule_findings(_violations(spark, folder, 2)), "examine", "code", "subject_key"),
         review.staged(extract.unnormalised_findings(facts.filter("fact_id % 3 = 0"), docs)

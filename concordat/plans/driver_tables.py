@@ -71,19 +71,6 @@ SELECT o_orderkey AS document_id,
 FROM orders
 """
 
-# Facts tied to passages, some of them tampered with: passages changed, gone, or never recorded.
-CITED_FACTS = """
-SELECT fact_id, predicate, value_raw, document_id, effective_date,
-  CASE WHEN fact_id % 23 <> 0 THEN fact_id END AS chunk_id
-FROM ({facts}) f WHERE fact_id % 29 <> 0
-"""
-CITED_CHUNKS = """
-SELECT fact_id AS chunk_id,
-  'The ' || replace(predicate, '_', ' ') || ' is ' ||
-    CASE WHEN fact_id % 13 = 0 THEN 'withdrawn' ELSE value_raw END || '.' AS text
-FROM ({facts}) f WHERE fact_id % 17 <> 0
-"""
-
 # A letter per conversation; turns are paragraphs, some with blanks around them.
 LETTER_TURNS = """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '  ' || text || chr(10) ELSE text END AS text
