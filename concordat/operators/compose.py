@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import text as T
 from concordat.functions.digests import set_digest
-from concordat.operators.reconcile import earliest, GROUP, contributions
+from concordat.operators.reconcile import contributions, earliest
 
 COMPOSER_VERSION = "1"
 INLINE_LIMIT = 10_000
@@ -84,13 +84,15 @@ def section_plans(views: DataFrame, resolutions: DataFrame,
         governing_source=g["document_kind"], status=F.col("status"),
     )
     small = resolutions.filter(F.col("n_facts") <= inline_limit)
+    # Grouped by the section's key and not by the join's own keys: this keeps a shuffle
+    # between them, so that the join may split the facts of sections over the limit.
     lists = (
         contributions(views, small.filter("n_facts > 1 OR n_observed > 0"))
         .filter(F.col("role") != "governing")
-        .groupBy(*GROUP)
+        .groupBy("section_key")
         .agg(_entries("superseded").alias("superseded"), _entries("observed").alias("observed"))
     )
-    inline = small.join(lists, GROUP, "left").withColumn(
+    inline = small.join(lists, "section_key", "left").withColumn(
         "content",
         _json(**header, superseded=F.coalesce("superseded", _no_entries()),
               observed=F.coalesce("observed", _no_entries())),

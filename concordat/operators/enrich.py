@@ -24,6 +24,17 @@ def request_key() -> Column:
     )
 
 
+def _firsts(keyed: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row per key: the first request for it, and what the cache holds."""
+    known = cache.withColumn("_cached", F.lit(True)).dropDuplicates(["cache_key"])
+    return keyed.groupBy("cache_key").agg(F.min("request_id").alias("first_request_id")).join(
+        known, "cache_key", "left")
+
+
+def _hit() -> Column:
+    return F.col("_cached").isNotNull() | (F.col("request_id") != F.col("first_request_id"))
+
+
 def split_requests(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests with `hit`, distinct unanswered requests).
 
@@ -31,34 +42,33 @@ def split_requests(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Da
     after it find the answer that one will have stored.
     """
     keyed = requests.withColumn("cache_key", request_key())
-    answered = cache.select("cache_key", F.lit(True).alias("_cached")).dropDuplicates(["cache_key"])
-    todo = (
-        keyed.groupBy("cache_key")
-        .agg(F.min("request_id").alias("first_request_id"))
-        .join(answered, "cache_key", "left")
-    )
-    hit = F.col("_cached").isNotNull() | (F.col("request_id") != F.col("first_request_id"))
-    marked = keyed.join(todo, "cache_key").withColumn("hit", hit).drop("_cached", "first_request_id")
-    missing = todo.filter(F.col("_cached").isNull()).select(F.col("first_request_id").alias("request_id"))
+    firsts = _firsts(keyed, cache.select("cache_key"))
+    marked = keyed.join(firsts, "cache_key").withColumn("hit", _hit()).drop("_cached", "first_request_id")
+    missing = firsts.filter(F.col("_cached").isNull()).select(F.col("first_request_id").alias("request_id"))
     return marked, keyed.join(missing, "request_id", "left_semi")
 
 
 def enrich_cached(
     requests: DataFrame, cache: DataFrame,
     answer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    store: Callable[[DataFrame], DataFrame],
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(responses, new cache rows, hits and misses by stage).
 
     `answer` maps batches of (cache_key, stage, model, prompt_version, input) to batches
-    of CACHE rows.  It runs once per distinct unanswered request.  The caller stores the
-    new cache rows before reading the responses, or a lost executor asks again.
+    of CACHE rows.  It runs once per distinct unanswered request: `store` writes the new
+    rows and returns them as written, so that nothing later asks again.
     """
     marked, missing = split_requests(requests, cache)
-    fresh = missing.select("cache_key", "stage", "model", "prompt_version", "input").mapInPandas(answer, CACHE)
-    known = cache.dropDuplicates(["cache_key"]).unionByName(fresh)
-    responses = marked.select("request_id", "cache_key", "stage", "hit").join(
-        known.select("cache_key", "response_text", "tokens_in", "tokens_out"), "cache_key", "left"
-    )
+    fresh = store(
+        missing.select("cache_key", "stage", "model", "prompt_version", "input").mapInPandas(answer, CACHE))
+    # What is known per key comes together first; requests then meet it in a single join,
+    # which may split a key that very many requests share.
+    known = cache.select(*fresh.columns).unionByName(fresh)
+    keyed = requests.withColumn("cache_key", request_key()).select("request_id", "cache_key", "stage")
+    responses = keyed.join(
+        known.dropDuplicates(["cache_key"]).select("cache_key", "response_text", "tokens_in", "tokens_out"),
+        "cache_key", "left")
     return responses, fresh, hit_counts(marked)
 
 

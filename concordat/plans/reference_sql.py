@@ -423,8 +423,8 @@ def rendered(name: str, source: str, hash_column: str) -> str:
 
 
 PUBLISHED = f"""{PLANNED}, {rendered('pub1', 'sec1', 'content_hash')}, {rendered('pub2', 'ver2', 'hash_now')},
-held AS (SELECT subject_key AS corpus, ref, substr(content_hash, 1, 8) AS rev FROM sec1),
-wanted AS (SELECT subject_key AS corpus, ref, section_key, substr(hash_now, 1, 8) AS rev FROM ver2 WHERE ref NOT LIKE 'f%'),
+held AS (SELECT substr(ref, 1, 3) AS corpus, ref, substr(content_hash, 1, 8) AS rev FROM sec1),
+wanted AS (SELECT substr(ref, 1, 3) AS corpus, ref, section_key, substr(hash_now, 1, 8) AS rev FROM ver2 WHERE ref NOT LIKE 'f%'),
 diff AS (
   SELECT coalesce(w.corpus, h.corpus) AS corpus, coalesce(w.ref, h.ref) AS ref, w.section_key,
     CASE WHEN w.ref IS NULL THEN 'remove' WHEN h.rev IS DISTINCT FROM w.rev THEN 'write' ELSE 'unchanged' END AS action

@@ -154,10 +154,9 @@ def test_cached_enrichment_asks_once(spark):
 
     from concordat.session import settle
     none = spark.createDataFrame([], enrich.CACHE)
-    _, fresh, counts = enrich.enrich_cached(requests, none, answer)
-    stored = settle(fresh)
+    _, stored, counts = enrich.enrich_cached(requests, none, answer, settle)
     assert asked.value == 3
     assert {r.stage: (r.cache_hits, r.cache_misses) for r in counts.collect()} == {"extract": (1, 2), "classify": (0, 1)}
-    responses, _, counts = enrich.enrich_cached(requests, stored, answer)
+    responses, _, counts = enrich.enrich_cached(requests, stored, answer, settle)
     assert {r.request_id: r.response_text for r in responses.collect()} == {1: "r:extractv1", 2: "r:extractv1", 3: "r:extractv2", 4: "r:classifyv1"}
     assert asked.value == 3 and counts.agg(F.sum("cache_misses")).first()[0] == 0
