@@ -53,16 +53,25 @@ def tidy_value(raw: Column) -> Column:
     return F.aggregate(rounds, text, lambda value, _: once(value))
 
 
-def parse_extractions(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(facts, rejections, spans, failed documents) from (document_id, response_text)."""
+def read_extractions(responses: DataFrame) -> DataFrame:
+    """Each response as (document_id, usable, items, spans).
+
+    Worth writing when several of the results below are wanted: the JSON is then read once.
+    """
     row = F.from_json("response_text", ANSWER, {"columnNameOfCorruptRecord": "broken"})
-    read = responses.withColumn("_r", row)
     usable = F.coalesce(F.col("_r.broken").isNull() & F.col("_r.facts").isNotNull(), F.lit(False))
-    failed = read.filter(~usable).select("document_id")
-    good = read.filter(usable)
+    return responses.withColumn("_r", row).select(
+        "document_id", usable.alias("usable"), F.col("_r.facts").alias("items"),
+        F.col("_r.instruction_like_spans").alias("spans"))
+
+
+def split_extractions(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(facts, rejections, spans, failed documents) of responses as read."""
+    failed = read.filter(~F.col("usable")).select("document_id")
+    good = read.filter("usable")
     items = good.select(
         # The outer form: the plain one would add a filter that parses every response twice.
-        "document_id", F.posexplode_outer("_r.facts").alias("position", "f")
+        "document_id", F.posexplode_outer("items").alias("position", "f")
     ).filter(F.col("f").isNotNull()).withColumn("quote", F.coalesce(T.strip("f.quote"), F.lit("")))
     rejections = items.filter(F.col("quote") == "").select(
         "document_id", "position", F.coalesce("f.predicate", F.lit("?")).alias("predicate"),
@@ -76,12 +85,15 @@ def parse_extractions(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataF
         T.none_if_empty("f.unit").alias("unit"), T.none_if_empty("f.effective_date").alias("date_text"),
         T.none_if_empty(T.strip("f.qualifier")).alias("qualifier"),
     )
-    spans = good.select("document_id", F.explode_outer("_r.instruction_like_spans").alias("span")).filter(
-        T.strip("span") != ""
-    )
+    spans = good.select("document_id", F.explode_outer("spans").alias("span")).filter(T.strip("span") != "")
     return facts, rejections, spans, failed
 
 
+def parse_extractions(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(facts, rejections, spans, failed documents) from (document_id, response_text)."""
+    return split_extractions(read_extractions(responses))
+
+
 # --- C9 -----------------------------------------------------------------------
 
 
@@ -136,8 +148,8 @@ def _span(passage: Column, quote: Column) -> Column:
 CHUNKS = "array<struct<ordinal:int,text:string,char_start:int,char_end:int>>"
 
 
-def resolve_citations(facts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts with char_start, char_end and chunk, rejected facts).
+def locate_quotes(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Facts with char_start, char_end and chunk_ordinal, NULL where the quote is nowhere.
 
     Each quote is searched for in the chunks of its document in order, and then in the
     document as a whole.  A document meets its facts once, row against row: its text is
@@ -173,15 +185,21 @@ def resolve_citations(facts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, D
         F.explode_outer(F.transform("asked", answer)).alias("a"),
     ).withColumn("char_start", F.col("a.hit.base") + F.col("a.hit.span.offset"))
     holder = F.get(F.filter("chunks", lambda p: (p["char_start"] <= F.col("char_start")) & (F.col("char_start") < p["char_end"])), F.lit(0))
-    located = found.withColumn("chunk_ordinal", F.coalesce("a.hit.ordinal", holder["ordinal"]))
-    cited = located.filter(F.col("char_start").isNotNull()).select(
-        "document_id", "a.fact.*", "char_start",
-        (F.col("char_start") + F.col("a.hit.span.length")).alias("char_end"), "chunk_ordinal",
+    return found.select(
+        "document_id", "a.fact.*", "char_start", (F.col("char_start") + F.col("a.hit.span.length")).alias("char_end"),
+        F.coalesce("a.hit.ordinal", holder["ordinal"]).alias("chunk_ordinal"),
     )
-    rejected = located.filter(F.col("char_start").isNull()).select(
-        "document_id", "a.fact.*", F.lit(NOT_FOUND).alias("reason")
-    )
-    return cited, rejected
+
+
+def split_located(located: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cited facts, rejected facts with the reason)."""
+    rejected = located.filter(F.col("char_start").isNull()).drop("char_start", "char_end", "chunk_ordinal")
+    return (located.filter(F.col("char_start").isNotNull()), rejected.withColumn("reason", F.lit(NOT_FOUND)))
+
+
+def resolve_citations(facts: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts with char_start, char_end and chunk_ordinal, rejected facts)."""
+    return split_located(locate_quotes(facts, chunks))
 
 
 # --- C10-C14 --------------------------------------------------------------------

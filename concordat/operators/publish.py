@@ -113,13 +113,12 @@ def render_sections(versions: DataFrame, parts: DataFrame | None = None) -> Data
 
 def _pieces(documents: DataFrame) -> DataFrame:
     """One row per heading of a published document with the text under it."""
-    flat = F.replace(F.col("text"), F.lit("\\"), F.lit(""))
-    pieces = F.split(flat, f"{NEWLINE}(?={BLANK}*#)")
-    rows = documents.select("corpus", F.posexplode_outer(pieces).alias("position", "piece"))
-    heading = F.regexp_extract("piece", f"^({NOT_BREAK}*)", 1)
+    flat = F.regexp_replace(F.replace(F.col("text"), F.lit("\\"), F.lit("")), NEWLINE, "\n")
+    pieces = F.split(flat, f"\n(?={BLANK}*#)")
     return (
-        rows.withColumn("heading", heading)
-        .filter(F.col("heading").rlike(f"^{BLANK}*#"))
+        documents.select("corpus", F.posexplode_outer(pieces).alias("position", "piece"))
+        .withColumn("heading", F.substring_index("piece", "\n", 1))
+        .filter(F.ltrim("heading", F.lit(WHITESPACE)).startswith("#"))
         .withColumn("ref", T.none_if_empty(F.regexp_extract("heading", r"\[ref:([0-9a-f]{8})\]", 1)))
         .filter(F.col("ref").isNotNull())
     )
@@ -130,12 +129,11 @@ def parse_published(documents: DataFrame) -> DataFrame:
 
     Each document is taken apart within its row.  `rev` is empty where there is no mark.
     """
-    in_body = F.regexp_replace("piece", f"^{NOT_BREAK}*", "")
-    revs = F.regexp_extract_all(
-        in_body, F.lit(rf"·{BLANK}*rev{BLANK}+([0-9a-f]{{4,}}){NOT_BREAK}*"), F.lit(1))
-    last = F.when(F.size(revs) > 0, F.element_at(revs, -1))
+    body = F.substr("piece", F.length("heading") + 1)
+    # A line counts with its first mark, a section with its last line.
+    revs = F.regexp_extract_all(body, F.lit(rf"·{BLANK}*rev{BLANK}+([0-9a-f]{{4,}})[^\n]*"), F.lit(1))
     return (
-        _pieces(documents).withColumn("rev", last)
+        _pieces(documents).withColumn("rev", F.try_element_at(revs, F.lit(-1)))
         .groupBy("corpus", "ref")
         .agg(F.coalesce(F.max_by("rev", F.when(F.col("rev").isNotNull(), F.col("position"))), F.lit("")).alias("rev"))
     )

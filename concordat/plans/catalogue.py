@@ -288,10 +288,9 @@ def _quotes(docs: DataFrame) -> DataFrame:
 
 
 def _cited(docs: DataFrame) -> DataFrame:
-    cited, rejected = extract.resolve_citations(_quotes(docs), ingest.chunk_documents(docs))
-    columns = ["document_id", "quote", "char_start", "char_end", "chunk_ordinal"]
-    none = [F.lit(None).cast("int").alias(c) for c in columns[2:]]
-    return cited.select(*columns).unionByName(rejected.select("document_id", "quote", *none))
+    """Quotes with their place; no place means rejected."""
+    return extract.locate_quotes(_quotes(docs), ingest.chunk_documents(docs)).select(
+        "document_id", "quote", "char_start", "char_end", "chunk_ordinal")
 
 
 @query

@@ -132,11 +132,10 @@ def extract_facts(tables: Tables, corpus: str, ids: DataFrame, answer: Responder
     pending, _ = extract.pending_documents(documents, _of_corpus(tables, "facts", corpus), version)
     pending = settle(pending, "pending")
     texts = _texts(tables, corpus, pending).drop("text").withColumnRenamed("text_at_offsets", "text")
-    responses = settle(answer(texts).select("document_id", "response_text"), "responses")
-    facts, unquoted, spans, failed = extract.parse_extractions(responses)
+    responses = settle(extract.read_extractions(answer(texts).select("document_id", "response_text")), "responses")
+    facts, unquoted, spans, failed = extract.split_extractions(responses)
     chunks = _of_corpus(tables, "chunks", corpus).join(pending.select("document_id"), "document_id", "left_semi")
-    cited, unresolved = extract.resolve_citations(facts, chunks)
-    cited = settle(cited, "cited")
+    cited, unresolved = extract.split_located(settle(extract.locate_quotes(facts, chunks), "located"))
     kept, gated = extract.gate_terms(cited, pending)
     rows = settle(
         extract.normalize_facts(kept.withColumn("effective_date", parse_date("date_text")))
