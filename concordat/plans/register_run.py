@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,9 +96,14 @@ def _texts(tables: Tables, corpus: str, documents: DataFrame) -> DataFrame:
     return documents.select("document_id", "uri").join(ingest.document_text(chunks), "document_id")
 
 
-def classify_documents(tables: Tables, corpus: str, ids: DataFrame, answer: Responder,
-                       threshold: float, organisation: str | None) -> DataFrame:
-    """Classify documents seen for the first time; returns the findings on doubtful ones."""
+def _keep_findings(tables: Tables, corpus: str, run_id: str, staged: DataFrame) -> None:
+    rows = staged.withColumn("seen_in_run", F.lit(run_id)).withColumn("corpus", F.lit(corpus))
+    tables.append_new(rows, "document_findings", ["corpus", "seen_in_run", "stage", "finding_key"], "finding_key")
+
+
+def classify_documents(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answer: Responder,
+                       threshold: float, organisation: str | None) -> None:
+    """Classify documents seen for the first time; doubtful ones stay without a kind."""
     documents = _of_corpus(tables, "documents", corpus).join(ids, "document_id", "left_semi")
     todo = documents.join(_of_corpus(tables, "document_kinds", corpus), "document_id", "left_anti")
     texts = _texts(tables, corpus, todo)
@@ -110,8 +116,9 @@ def classify_documents(tables: Tables, corpus: str, ids: DataFrame, answer: Resp
         F.col("confidence").alias("kind_confidence"), T.none_if_empty("vendor").alias("vendor"),
         "document_date", F.lit(corpus).alias("corpus"),
     )
+    doubtful = classify.escalation_findings(judged.filter(F.col("reason").isNotNull()))
+    _keep_findings(tables, corpus, run_id, review.staged(doubtful, "classify", "document_id"))
     tables.append_new(rows, "document_kinds", ["corpus", "document_id", "decided_by"], "document_id")
-    return classify.escalation_findings(judged.filter(F.col("reason").isNotNull()))
 
 
 def answer_escalations(tables: Tables, corpus: str, answers: DataFrame) -> None:
@@ -125,9 +132,9 @@ def answer_escalations(tables: Tables, corpus: str, answers: DataFrame) -> None:
     tables.append_new(rows, "document_kinds", ["corpus", "document_id", "decided_by"], "document_id")
 
 
-def extract_facts(tables: Tables, corpus: str, ids: DataFrame, answer: Responder,
-                  version: str) -> list[DataFrame]:
-    """Store the facts of documents not yet read by this extractor; returns the findings."""
+def extract_facts(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answer: Responder,
+                  version: str) -> None:
+    """Store the facts of documents not yet read by this extractor, and the findings on them."""
     documents = documents_with_kinds(tables, corpus).join(ids, "document_id", "left_semi")
     pending, _ = extract.pending_documents(documents, _of_corpus(tables, "facts", corpus), version)
     pending = settle(pending, "pending")
@@ -147,11 +154,14 @@ def extract_facts(tables: Tables, corpus: str, ids: DataFrame, answer: Responder
                 "#", "document_id", F.col("chunk_ordinal").cast("string"))),
             "extractor_version": F.lit(version), "corpus": F.lit(corpus),
         }), "facts")
-    tables.append_new(rows, "facts", ["corpus", "fact_id"], "fact_id")
     rejected = unquoted.select("document_id", "position", "predicate", "value_raw", "reason").unionByName(
         unresolved.select("document_id", "position", "predicate", F.col("value_as_given").alias("value_raw"), "reason"))
-    return [extract.failure_findings(failed, pending), gated, extract.unnormalised_findings(rows, pending),
-            extract.rejection_findings(rejected, pending), extract.span_findings(spans, pending)]
+    found = [extract.failure_findings(failed, pending), gated, extract.unnormalised_findings(rows, pending),
+             extract.rejection_findings(rejected, pending), extract.span_findings(spans, pending)]
+    staged = [review.staged(part.distinct(), "extract", *[k for k in ("document_id", "position") if k in part.columns])
+              for part in found]
+    _keep_findings(tables, corpus, run_id, reduce(DataFrame.unionByName, staged))
+    tables.append_new(rows, "facts", ["corpus", "fact_id"], "fact_id")
 
 
 def compose_register(tables: Tables, corpus: str, run_id: str, parent: str | None, views: DataFrame,
@@ -208,8 +218,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
     ids = settle(ids, "ids")
 
     note("running", current_stage="classify")
-    doubtful = settle(classify_documents(tables, corpus, ids, classifier, threshold, organisation)
-                      .select("document_id", "severity", "target_kind", "explanation"), "doubtful")
+    classify_documents(tables, corpus, run_id, ids, classifier, threshold, organisation)
     open_questions = documents_with_kinds(tables, corpus).join(ids, "document_id", "left_semi").filter(
         F.col("kind").isNull())
     if not open_questions.isEmpty():
@@ -217,7 +226,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
         return RunResult(run_id, "awaiting_classification")
 
     note("running", current_stage="extract")
-    read = extract_facts(tables, corpus, ids, extractor, extractor_version)
+    extract_facts(tables, corpus, run_id, ids, extractor, extractor_version)
 
     documents = documents_with_kinds(tables, corpus)
     facts = _of_corpus(tables, "facts", corpus).filter(F.col("extractor_version") == extractor_version)
@@ -261,9 +270,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
 
     stages = [
         review.staged(skipped_files, "ingest", "uri"),
-        review.staged(doubtful, "classify", "document_id"),
-        *[review.staged(part.distinct(), "extract", *[k for k in ("document_id", "position") if k in part.columns])
-          for part in read],
+        _of_corpus(tables, "document_findings", corpus).filter(F.col("seen_in_run") == run_id),
         review.staged(judged_findings, "adjudicate", "kind", "a_fact_id", "b_fact_id"),
         review.staged(broken, "examine", "code", "subject_key"),
         review.staged(verify.verification_findings(failures), "verify", "claim_id", "fact_id"),

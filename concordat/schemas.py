@@ -43,6 +43,12 @@ SCHEMAS = {
         "finding_id string, finding_index bigint, stage string, severity string, status string, "
         "target_kind string, explanation string, corpus string, run_id string"
     ),
+    # Findings on documents, stored before the answers they are about, so that a run that
+    # broke off still reports them when it is started again.
+    "document_findings": (
+        "seen_in_run string, stage string, finding_key string, severity string, target_kind string, "
+        "explanation string, corpus string"
+    ),
     "decisions": (
         "decision_id string, finding_id string, finding_index bigint, kind string, verdict string, "
         "actor string, created_at timestamp, corpus string, run_id string"

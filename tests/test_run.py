@@ -128,6 +128,30 @@ def test_doubtful_document_waits_for_a_human(spark, tmp_path):
     R.answer_escalations(tables, "c", asked)
     assert R.start_run(tables, "c", "r1", scan_documents(spark, inbox), **calls).status == "awaiting_review"
     assert tables.read("facts", "c").count() == 3
+    # The question stays on record among the findings of the run.
+    assert any("needs a human to say what it is" in r.explanation for r in tables.read("findings", "c", "r1").collect())
+
+
+def test_run_that_broke_off_is_started_again(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "tables"))
+    # A statement of work that bills: its billed terms are dropped with a finding.
+    work = LETTERS["bill-july.txt"].replace("kind=invoice", "kind=sow") + "\n\nThe hourly rate is $90 per hour."
+    inbox = write(tmp_path / "inbox", {**LETTERS, "work.md": work})
+    calls, classified, extracted = options(spark)
+
+    def loses_contact(candidates):
+        raise ConnectionError("judge is gone")
+
+    with pytest.raises(ConnectionError):
+        R.start_run(tables, "c", "r1", scan_documents(spark, inbox), judge=loses_contact, **calls)
+    asked = (classified.seen.value, extracted.seen.value)
+    kept = tables.read("document_findings", "c").count()
+    assert kept == 3
+    assert R.start_run(tables, "c", "r1", scan_documents(spark, inbox), **calls).status == "awaiting_review"
+    assert (classified.seen.value, extracted.seen.value) == asked
+    stored = tables.read("findings", "c", "r1")
+    assert stored.filter("stage IN ('classify', 'extract')").count() == kept
+    assert stored.count() == stored.select("finding_index").distinct().count()
 
 
 def test_stream_follows_the_inbox(spark, tmp_path):
