@@ -243,7 +243,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
         skipped = ("adjudicate",)
         tables.write_run(spark.createDataFrame([], tables.schema("conflicts")), "conflicts", corpus, run_id)
     else:
-        answers = judge(found) if judge else spark.createDataFrame([], "batch_id bigint, response_text string")
+        answers = judge(conflicts.with_direction(found)) if judge else spark.createDataFrame([], "batch_id bigint, response_text string")
         judged = settle(adjudicate.check_explanations(adjudicate.apply_verdicts(found, answers)), "judged")
         known = _of_corpus(tables, "conflicts", corpus).filter(F.col("run_id") != run_id)
         new, judged_findings, _ = adjudicate.merge_conflicts(judged, known)
@@ -280,14 +280,16 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
     ).withColumn("status", F.lit("open"))
     stored = tables.write_run(findings, "findings", corpus, run_id)
     plan = compose.plan_summary(versions).first().asDict()
+    # A stage that had nothing to do must not look like one that is missing.
+    detail = "skipped, nothing to judge: adjudicate" if skipped else None
     if not summary["passed"]:
         status = "failed"
         note(status, ended_at=datetime.now(timezone.utc).replace(tzinfo=None))
         return RunResult(run_id, "blocked_by_verification", plan, summary, skipped)
     if stored.isEmpty():
-        note("completed", ended_at=datetime.now(timezone.utc).replace(tzinfo=None))
+        note("completed", ended_at=datetime.now(timezone.utc).replace(tzinfo=None), stage_detail=detail)
         return RunResult(run_id, "completed", plan, summary, skipped)
-    note("awaiting_review")
+    note("awaiting_review", stage_detail=detail)
     return RunResult(run_id, "awaiting_review", plan, summary, skipped)
 
 
@@ -307,7 +309,7 @@ def commit_run(tables: Tables, corpus: str, run_id: str, decisions: DataFrame, a
     tables.write_run(log, "decisions", corpus, run_id)
     tables.write_run(closed, "findings", corpus, run_id)
     _record(tables, corpus, run_id, parent_run_id=run.parent_run_id, status="completed",
-            started_at=run.started_at, ended_at=ended)
+            started_at=run.started_at, ended_at=ended, stage_detail=run.stage_detail)
     return RunResult(run_id, "completed")
 
 

@@ -34,13 +34,13 @@ def build_session(app: str = "concordat", master: str | None = None, **extra: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not current:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current
 
 
 def settle(rows: DataFrame, name: str = "rows") -> DataFrame:
