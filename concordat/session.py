@@ -18,7 +18,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Call-site capture costs about a millisecond for every column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 

@@ -60,12 +60,19 @@ class Tables:
     def _shaped(self, rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(name)])
 
+    def _partition(self, name: str, corpus: str, run_id: str) -> str:
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return f"{self.path(name)}/corpus={escape(corpus)}/run_id={escape(run_id)}"
+
     def write_run(self, rows: DataFrame, name: str, corpus: str, run_id: str) -> DataFrame:
-        """A3: replace the partition of one run."""
+        """A3: replace the partition of one run.
+
+        Written to the partition's own folder: overwriting the table dynamically would
+        leave the old rows in place when there are no new ones.
+        """
         shaped = self._shaped(
             rows.withColumn("corpus", F.lit(corpus)).withColumn("run_id", F.lit(run_id)), name)
-        (shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*RUN).parquet(self.path(name)))
+        shaped.drop(*RUN).write.mode("overwrite").parquet(self._partition(name, corpus, run_id))
         return self.read(name, corpus, run_id)
 
     def append_new(self, rows: DataFrame, name: str, keys: list[str], order: str) -> None:

@@ -36,6 +36,10 @@ def test_runs_are_partitions(spark, tmp_path):
     tables.write_run(rows("b", "c"), "section_parts", "c", "r2")
     tables.write_run(rows("d"), "section_parts", "c", "r2")
     assert sorted((r.run_id, r.section_key) for r in tables.read("section_parts").collect()) == [("r1", "a"), ("r2", "d")]
+    tables.write_run(rows("x").filter("false"), "section_parts", "c", "r2")
+    tables.write_run(rows("y"), "section_parts", "c/d: e=f", "r 9")
+    assert sorted((r.corpus, r.run_id, r.section_key) for r in tables.read("section_parts").collect()) == [
+        ("c", "r1", "a"), ("c/d: e=f", "r 9", "y")]
     plan = tables.read("section_parts", "c", "r1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(corpus" in plan and "run_id" in plan.split("PartitionFilters")[1][:120]
 
