@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from concordat.llm.common import text_blocks
@@ -292,7 +293,7 @@ def token_counts(documents: DataFrame, model_file: str, limit: int = 4096, text:
         counter = counter_of(model_file)
         for block in text_blocks(batches, "text"):
             texts = block.column("text").to_pylist()
-            sizes = pa.compute.fill_null(pa.compute.binary_length(block.column("text")), 0)
+            sizes = pc.fill_null(pc.binary_length(block.column("text")), 0)
             tokens = [counter.count(t) if t else 0 for t in texts]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": block.column("doc_id"), "n_bytes": sizes.cast(pa.int64()),
