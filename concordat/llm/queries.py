@@ -3,22 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from concordat.llm.common import table, tokenizer_file
+from concordat.llm import language_id, toxicity
+from concordat.llm.common import held_out, table, tokenizer_file
+from concordat.llm.html_text import extract_main_text
 from concordat.llm.packing import pack
 from concordat.llm.token_counts import token_counts
+from concordat.llm.url_filter import judge_urls
+
+#: Verdict, then host and path of a rule.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.fit(documents, labels, ~held_out(F.col("doc_id")))
+    return toxicity.score_documents(documents, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.fit(documents, ~held_out(F.col("doc_id")))
+    return language_id.identify(documents, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
+    "op6_html_text": op6_html_text,
+    "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {}
