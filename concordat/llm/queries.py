@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concordat.llm import language_id, toxicity
 from concordat.llm.common import held_out, table, tokenizer_file
 from concordat.llm.html_text import extract_main_text
+from concordat.llm.near_dedup import near_duplicate_classes
 from concordat.llm.packing import pack
 from concordat.llm.substring_dedup import remove_repeats
 from concordat.llm.token_counts import token_counts
@@ -21,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -52,6 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op7_url_filter": op7_url_filter,
