@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concordat.llm import language_id, toxicity
 from concordat.llm.common import held_out, table, tokenizer_file
+from concordat.llm.decontamination import contamination
 from concordat.llm.html_text import extract_main_text
 from concordat.llm.near_dedup import near_duplicate_classes
 from concordat.llm.packing import pack
@@ -18,6 +19,10 @@ from concordat.llm.url_filter import judge_urls
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
@@ -56,6 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
