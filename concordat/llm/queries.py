@@ -13,6 +13,7 @@ from concordat.llm.near_dedup import near_duplicate_classes
 from concordat.llm.packing import pack
 from concordat.llm.substring_dedup import remove_repeats
 from concordat.llm.token_counts import token_counts
+from concordat.llm.topk import top_k
 from concordat.llm.url_filter import judge_urls
 
 #: Verdict, then host and path of a rule.
@@ -23,6 +24,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5, 256)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
 
@@ -62,6 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_topk": op2_topk,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
