@@ -142,25 +142,40 @@ def fit(documents: DataFrame, learn: Column, per_language: int = 400, k: int = 3
                      np.array([r["least"] for r in made]))
 
 
+def judge(texts: list[str | None], model: Centroids) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text."""
+    known = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
+    names, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    for start in range(0, len(known), 512):
+        part = known[start : start + 512]
+        counts = term_counts([texts[i] for i in part])
+        cosines = unit_vectors(counts, model.idf) @ model.centres.T
+        for i, best, row, full in zip(part, cosines.argmax(axis=1), cosines, fullness(counts)):
+            names[i], scores[i] = model.languages[best], min(1.0, max(0.0, float(row[best])))
+            rejected[i] = row[best] < model.least[best] * full
+    return names, scores, rejected
+
+
 def identify(documents: DataFrame, model: Centroids) -> DataFrame:
     """doc_id, lang_pred, score (the cosine, 0 to 1), rejected."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # k vectors per language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for block in text_blocks(batches, "text"):
-            texts = block.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
-            names, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for start in range(0, len(known), 512):
-                part = known[start : start + 512]
-                counts = term_counts([texts[i] for i in part])
-                cosines = unit_vectors(counts, model.idf) @ model.centres.T
-                for i, best, row, full in zip(part, cosines.argmax(axis=1), cosines, fullness(counts)):
-                    names[i], scores[i] = model.languages[best], min(1.0, max(0.0, float(row[best])))
-                    rejected[i] = row[best] < model.least[best] * full
+            names, scores, rejected = judge(block.column("text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id"), "lang_pred": pa.array(names, pa.string()),
                                               "score": pa.array(scores), "rejected": pa.array(rejected)})
 
     return documents.select("doc_id", "text").mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(documents: DataFrame, model: Centroids) -> DataFrame:
+    """The rows, with all their columns, whose text is not rejected."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, "text"):
+            yield block.filter(pa.array(~judge(block.column("text").to_pylist(), shared.value)[2]))
+
+    return documents.mapInArrow(keep, documents.schema)

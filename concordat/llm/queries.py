@@ -21,7 +21,8 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    found = contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.drop("n_near")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,43 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLDED_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH docs AS (SELECT doc_id, {_FOLDED_WORDS} AS words FROM documents),
+        items AS (SELECT item_id, words, least(len(words), 10) AS n FROM (SELECT item_id, {_FOLDED_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+        windows AS (SELECT DISTINCT item_id, n, array_to_string(words[s : s + n - 1], ' ') AS phrase
+                    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS s FROM items)),
+        places AS (SELECT doc_id, n, s, array_to_string(words[s : s + n - 1], ' ') AS phrase
+                   FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM docs, (SELECT DISTINCT n FROM items) WHERE len(words) >= n)),
+        found AS (SELECT doc_id, item_id, n, s FROM places JOIN windows USING (n, phrase)),
+        hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM found) GROUP BY doc_id),
+        listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+    "op2_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op3_substring_dedup": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (SELECT doc_id, s, array_to_string(words[s : s + 12], ' ') AS phrase
+                    FROM (SELECT *, unnest(range(1, len(words) - 11)) AS s FROM docs WHERE len(words) >= 13)),
+        firsts AS (SELECT phrase, min(doc_id) AS first_id FROM windows GROUP BY phrase),
+        gone AS (SELECT DISTINCT doc_id, place FROM (
+                     SELECT doc_id, unnest(range(s, s + 13)) AS place FROM windows JOIN firsts USING (phrase) WHERE first_id < doc_id)),
+        placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM docs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id),
+        removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
