@@ -33,7 +33,8 @@ from concordat.llm.shingles import window_hashes, window_starts, word_hashes
 from concordat.session import settle
 
 _U = np.uint64
-_ASK = "part int, block int, first binary, second binary, low binary"
+_ASK_ANCHORS = "part int, anchors binary, blocks binary"
+_ASK_WINDOWS = "part int, block int, first binary, second binary, low binary"
 _ANSWER = "block int, part int, payload binary"
 
 
@@ -69,24 +70,27 @@ def _ask_anchors(block: pa.RecordBatch, parts: int, length: int, seed: int) -> I
         return
     own = pd.DataFrame({"block": blocks[texts], "anchor": anchors, "id": ids[texts]}).drop_duplicates()
     own = own[own.groupby(["block", "anchor"]).cumcount() < 2]  # two documents of a block say as much as all
-    own["part"] = _parts(own["anchor"].to_numpy(), parts)
-    own = own.sort_values(["block", "part"], kind="stable")
-    key = own["block"].to_numpy().astype(np.int64) * parts + own["part"].to_numpy()
-    packed = own["anchor"].to_numpy()
-    for both, run in _by_part(key):
-        yield {"part": both % parts, "block": both // parts, "first": packed[run].tobytes(), "second": None, "low": None}
+    part = _parts(own["anchor"].to_numpy(), parts)
+    order = np.argsort(part, kind="stable")
+    packed, asking = own["anchor"].to_numpy()[order], own["block"].to_numpy().astype(np.int32)[order]
+    for p, run in _by_part(part[order]):
+        yield {"part": p, "anchors": packed[run].tobytes(), "blocks": asking[run].tobytes()}
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
     """Which anchors of a range more than one document has, for each block that asked."""
-    blocks = table.column("block").to_numpy()
-    rows = [np.frombuffer(b, np.uint64) for b in table.column("first").to_pylist()]
-    values, counts = np.unique(np.concatenate(rows), return_counts=True)
-    shared = values[counts > 1]
-    out = [(b, r[np.isin(r, shared)]) for b, r in zip(blocks, rows)]
-    out = [(b, np.unique(r)) for b, r in out if len(r)]
-    return pa.table({"block": pa.array([int(b) for b, _ in out], pa.int32()), "part": pa.array([-1] * len(out), pa.int32()),
-                     "payload": pa.array([r.tobytes() for _, r in out], pa.binary())})
+    anchors = np.frombuffer(b"".join(table.column("anchors").to_pylist()), np.uint64)
+    blocks = np.frombuffer(b"".join(table.column("blocks").to_pylist()), np.int32)
+    order = np.lexsort((anchors, blocks))
+    values, counts = np.unique(anchors, return_counts=True)
+    shared = order[counts[np.searchsorted(values, anchors[order])] > 1]
+    anchors, blocks = anchors[shared], blocks[shared]
+    new = np.ones(len(shared), bool)
+    new[1:] = (anchors[1:] != anchors[:-1]) | (blocks[1:] != blocks[:-1])
+    anchors, blocks = anchors[new], blocks[new]
+    runs = list(_by_part(blocks.astype(np.int64))) if len(blocks) else []
+    return pa.table({"block": pa.array([b for b, _ in runs], pa.int32()), "part": pa.array([-1] * len(runs), pa.int32()),
+                     "payload": pa.array([anchors[r].tobytes() for _, r in runs], pa.binary())})
 
 
 class _Block:
@@ -162,17 +166,20 @@ def blocks_and_answers(documents: DataFrame, text: str, length: int, seed: int,
         for batch in text_blocks(batches, "text"):
             rows = list(_ask_anchors(batch, parts, length, seed))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("low", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("anchors", pa.binary()), ("blocks", pa.binary())]))
 
-    asked = docs.where(F.col("doc_id").isNotNull()).mapInArrow(ask, _ASK)
-    shared = settle(asked.select("part", "block", "first").groupBy("part").applyInArrow(_shared_anchors, _ANSWER), "shared")
+    # a fixed number of tasks: these rows are small for the work they mean
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = docs.where(F.col("doc_id").isNotNull()).mapInArrow(ask, _ASK_ANCHORS).repartition(tasks, "part")
+    shared = settle(asked.groupBy("part").applyInArrow(_shared_anchors, _ANSWER), "shared")
 
     def ask_windows(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
         return _ask_windows(key[0].as_py(), _Block(own, answers, parts, length, seed))
 
-    windows = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(ask_windows, _ASK)
-    earlier = settle(windows.groupBy("part").applyInArrow(_earlier_windows, _ANSWER), "earlier")
-    return docs, shared.unionByName(earlier), parts
+    docs = docs.repartition(tasks, "block")
+    windows = docs.groupBy("block").cogroup(shared.repartition(tasks, "block").groupBy("block")).applyInArrow(ask_windows, _ASK_WINDOWS)
+    earlier = settle(windows.repartition(tasks, "part").groupBy("part").applyInArrow(_earlier_windows, _ANSWER), "earlier")
+    return docs, shared.unionByName(earlier).repartition(tasks, "block"), parts
 
 
 def remove_repeats(documents: DataFrame, text: str = "text", length: int = 13, seed: int = 5, block_bytes: int = 1 << 22) -> DataFrame:
