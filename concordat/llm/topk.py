@@ -36,8 +36,11 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.lists = np.argsort(self.vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.vectors, self.lists, axis=0)
+        up = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T)
+        values = np.take_along_axis(np.ascontiguousarray(self.vectors.T), up, axis=1).astype(float)
+        # [0]: from the low end, for negative query components; [1]: from the high end
+        self.lists = np.stack((up, up[:, ::-1]))
+        self.values = np.stack((values, values[:, ::-1]))
 
     def top(self, query: np.ndarray, own: int, k: int, few: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors but the query's own."""
@@ -55,24 +58,21 @@ class SortedLists:
         Sums of bounds are doubles, exact for whole numbers up to 2^53.
         """
         n, width = self.vectors.shape
-        down = query > 0  # these lists are read from their high end
-        at = np.arange(width)
-        worst = np.where(down, self.values[0], self.values[-1]) * query
+        side, dims, weights = (query > 0).astype(int), np.arange(width), query.astype(float)
+        worst = self.values[1 - side, dims, 0] * weights
         read = np.zeros(n)  # sum of what has been read
-        missing = np.ones((n, width))  # 1 for each component that has not
+        missing = np.ones((width, n))  # 1 for each component that has not
         depth = 0
         for end in sorted({n // 4, *range(3 * n // 8, n, max(1, n // 8)), n}):
-            rows = np.arange(depth, end)[:, None]
-            rows = np.where(down, n - 1 - rows, rows)
-            vectors = self.lists[rows, at]
-            read += np.bincount(vectors.ravel(), (self.values[rows, at] * query).ravel(), n)
-            missing[vectors, at] = 0
+            vectors = self.lists[side, dims, depth:end]
+            read += np.bincount(vectors.ravel(), (self.values[side, dims, depth:end] * weights[:, None]).ravel(), n)
+            missing[dims[:, None], vectors] = 0
             depth = end
-            places = np.where(down, self.values[n - depth], self.values[depth - 1]) * query
-            bounds = missing @ np.stack((worst, places), axis=1).astype(float)
-            lower = (read + bounds[:, 0])[alive]
+            places = self.values[side, dims, depth - 1] * weights
+            bounds = np.stack((worst, places)) @ missing
+            lower = (read + bounds[0])[alive]
             kth = np.partition(lower, -k)[-k] if len(lower) >= k else -np.inf
-            alive = alive & (read + bounds[:, 1] >= kth)
+            alive = alive & (read + bounds[1] >= kth)
             if int(alive.sum()) <= few:
                 break
         return alive

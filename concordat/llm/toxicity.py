@@ -98,11 +98,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, learn: Column, per_
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").distinct()
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = 10_000, prior: float = 5000.0, least_z: float = 2.33,
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int = 10_000, prior_share: float = 0.1, least_z: float = 2.58,
         most_tokens: int = 50_000, drift: float = 1.0) -> ToxicModel:
     """Learn from a bounded sample of the labelled documents where ``learn`` holds.
 
-    A token counts once per text, so a text that repeats a word does not weigh more.  The model
+    The prior holds ``prior_share`` of all counts.  A token counts once per text, so a text that repeats a word does not weigh more.  The model
     keeps at most ``most_tokens`` tokens, those with the clearest log-odds.
     """
     rows = labelled_sample(documents, labels, learn, per_class).persist()
@@ -122,7 +122,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
     n1, n0 = float(sizes["n1"] or 0), float(sizes["n0"] or 0)
     if not n1 or not n0:
         return ToxicModel()
-    alpha = (F.col("y1") + F.col("y0")) * F.lit(prior / (n1 + n0))
+    prior = prior_share * (n1 + n0)
+    alpha = (F.col("y1") + F.col("y0")) * F.lit(prior_share)
     odds = F.log((F.col("y1") + alpha) / (n1 + prior - F.col("y1") - alpha)) - F.log((F.col("y0") + alpha) / (n0 + prior - F.col("y0") - alpha))
     error = F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
     best = (counted.withColumn("odds", odds).withColumn("z", F.col("odds") / error).withColumn("chance", (F.col("y0") + alpha) / (n0 + prior))

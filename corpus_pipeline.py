@@ -49,7 +49,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
         return own
     texts = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("first_text"))
     both = _beside(own, texts)
-    chosen = both.where(F.col("row.text").eqNullSafe(F.col("decided.first_text"))).dropDuplicates(["own_id"])
+    chosen = both.where(F.col("decided").isNotNull() & F.col("row.text").eqNullSafe(F.col("decided.first_text"))).dropDuplicates(["own_id"])
     kept = both.where(F.col("decided").isNull()).unionByName(chosen)
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -89,8 +89,7 @@ def test_toxicity_of_held_out_documents(spark):
     found = queries.op5_toxicity(spark, folder).where("held_out").join(labels, "doc_id").collect()
     toxic = [r for r in found if r["toxic"] == 1]
     clean = [r for r in found if r["toxic"] == 0]
-    # some labelled documents hold no toxic word at all, so not all can be found
-    assert sum(r["predicted"] for r in toxic) >= 0.78 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.015 * len(clean)
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
@@ -104,7 +103,7 @@ def test_segments_are_maximal():
             line[i] = s
 
         def split(a, b):  # the best segment, then the same on both sides of it
-            best = max(((sum(line[i : j + 1]), -i, -j) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0))
+            best = max(((sum(line[i : j + 1]), i - j, -i) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0))
             if best[0] <= 0:
                 return []
             i, j = -best[1], -best[2]
@@ -117,7 +116,7 @@ def test_segments_are_maximal():
 def test_toxicity_edge_cases(spark, docs):
     rows = [(i, f"plain words number {i} of text") for i in range(60)] + [(i, f"plain words number {i} you stupid fool") for i in range(60, 90)]
     labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)] + [(1000, 1), (3, None)], "doc_id long, toxic int")
-    model = toxicity.fit(docs(rows), labels, F.lit(True), prior=50.0)
+    model = toxicity.fit(docs(rows), labels, F.lit(True))
     ask = docs([(1, None), (2, ""), (3, "?!"), (4, "you stupid fool"), (5, "plain words " * 20000), (4, "you stupid fool")])
     got = [(r["doc_id"], r["predicted"]) for r in toxicity.score_documents(ask, model).orderBy("doc_id").collect()]
     assert got == [(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 0)]
