@@ -106,7 +106,8 @@ def test_segments_are_maximal():
             best = max(((sum(line[i : j + 1]), i - j, -i) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0))
             if best[0] <= 0:
                 return []
-            i, j = -best[1], -best[2]
+            i = -best[2]
+            j = i - best[1]
             return [*split(a, i), (i, j, best[0]), *split(j + 1, b)]
 
         got = toxicity.segments(places, 1.0)
