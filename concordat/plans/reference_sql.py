@@ -153,6 +153,18 @@ CLAIM = ("CASE WHEN value IS NULL THEN vendor || ': no supported value for ' ||
          "predicate || ' is ' || value || ', per the ' || source_kind || coalesce(', effective ' || since, '') || '.' END")
 
 E1 = f"""
+ranked AS (
+  SELECT fact_seq, magnitude, dense_rank() OVER (ORDER BY subject_key, predicate, scope_key, effective_date, precedence) AS grp
+  FROM fv WHERE governs AND magnitude IS NOT NULL),
+extremes AS (
+  SELECT grp, min(fact_seq) AS head, min_by(magnitude, fact_seq) AS head_value, min(magnitude) AS lo, max(magnitude) AS hi
+  FROM ranked GROUP BY grp HAVING min(magnitude) < max(magnitude)),
+others AS (
+  SELECT grp, min(fact_seq) AS other FROM ranked JOIN extremes USING (grp)
+  WHERE magnitude = CASE WHEN head_value = lo THEN hi ELSE lo END GROUP BY grp),
+disputed AS (
+  SELECT fact_seq AS seq, CASE WHEN magnitude = head_value THEN other ELSE head END AS against
+  FROM ranked JOIN extremes USING (grp) JOIN others USING (grp) WHERE fact_seq <> head),
 e1 AS (
   SELECT '{'same_predicate_different_value'}' AS kind,
     (SELECT min_by(f.subject, f.fact_seq) FROM fv f WHERE f.governs AND f.subject_key = a.subject_key
@@ -165,10 +177,7 @@ e1 AS (
     a.document_kind || ' states ' || {q('a.value_raw')} || ' and ' || b.document_kind || ' states ' || {q('b.value_raw')}
       || ' for ' || a.predicate
       || '. Both carry the same effective date and precedence, so neither supersedes the other.' AS detail
-  FROM fv a JOIN fv b ON a.subject_key = b.subject_key AND a.predicate = b.predicate
-    AND a.scope_key IS NOT DISTINCT FROM b.scope_key AND a.effective_date IS NOT DISTINCT FROM b.effective_date
-    AND a.precedence = b.precedence AND a.governs AND b.governs AND a.fact_seq < b.fact_seq
-    AND a.magnitude <> b.magnitude)"""
+  FROM disputed JOIN fv a ON a.fact_seq = least(seq, against) JOIN fv b ON b.fact_seq = greatest(seq, against))"""
 
 E2 = f"""
 obs AS (

@@ -85,7 +85,7 @@ def test_violations_match_a_plain_count(hot):
 
 def test_disagreements_of_a_hot_group_stay_linear(hot):
     members = conflicts.disagreeing_facts(hot).count()
-    rows = conflicts.equal_rank(hot, pair_limit=100).filter("subject = 'Hot Vendor'").select("a_fact_id", "b_fact_id").collect()
+    rows = conflicts.equal_rank(hot).filter("subject = 'Hot Vendor'").select("a_fact_id", "b_fact_id").collect()
     hot_members = conflicts.disagreeing_facts(hot).filter("group_subject = 'Hot Vendor'").count()
     assert members >= hot_members > 5000 and len(rows) < hot_members
     assert len({f for r in rows for f in r}) == hot_members
