@@ -53,7 +53,7 @@ DAYS = first_of(f"(?i)net\\s*{NUM}", f"(?i){NUM}\\s*(?:\\([0-9]+\\))?\\s*day", f
 MONTHS = first_of(f"(?i){NUM}\\s*month", f"(?i){NUM}\\s*year")
 
 VIEWS = f"""
-facts AS ({D.FACTS}),
+facts AS MATERIALIZED ({D.FACTS}),
 read_ AS (
   SELECT *, CASE WHEN regexp_matches(value_raw, '{FORMULA}') THEN NULL
     WHEN predicate IN ('hourly_rate','liability_cap','annual_fees','invoice_amount','invoice_rate') THEN {first_of(NUM)}
@@ -62,7 +62,7 @@ read_ AS (
     WHEN predicate = 'invoice_hours' THEN value_raw END AS digits,
     CASE WHEN value_raw LIKE '%year%' THEN 12 ELSE 1 END AS factor
   FROM facts),
-fv AS (
+fv AS MATERIALIZED (
   SELECT fact_id, document_id, document_kind, subject, qualifier, effective_date, fact_seq, predicate, value_raw,
     lower(trim(regexp_replace(subject, '\\s+', ' ', 'g'))) AS subject_key,
     nullif(trim(regexp_replace(lower(qualifier), '[^0-9a-z]+', ' ', 'g')), '') AS scope_key,
@@ -81,18 +81,18 @@ def register(run: int) -> str:
     where = "WHERE document_id % 10 <> 0" if run == 1 else ""
     return f"""
 v{run} AS (SELECT * FROM fv {where}),
-best{run} AS (
+best{run} AS MATERIALIZED (
   SELECT * FROM (SELECT *, row_number() OVER (
       PARTITION BY subject_key, predicate, scope_key
       ORDER BY coalesce(effective_date, DATE '0001-01-01') DESC, precedence DESC, fact_seq DESC) AS rn
     FROM v{run} WHERE governs) x WHERE rn = 1),
-names{run} AS (
+names{run} AS MATERIALIZED (
   SELECT subject_key, subject AS vendor FROM (
     SELECT subject_key, subject, row_number() OVER (PARTITION BY subject_key ORDER BY weight DESC,
         CASE WHEN upper(subject) = subject THEN 1 ELSE 0 END, subject DESC) AS rn
     FROM (SELECT subject_key, subject, sum(CASE WHEN governs THEN 2 ELSE 1 END) AS weight
           FROM v{run} GROUP BY subject_key, subject) w) x WHERE rn = 1),
-res{run} AS (
+res{run} AS MATERIALIZED (
   SELECT g.subject_key, n.vendor, g.predicate, g.scope_key,
     g.subject_key || '::' || g.predicate || coalesce('::' || g.scope_key, '') AS section_key,
     b.fact_id AS gid, b.value_raw AS value, b.magnitude, b.unit, b.document_kind AS source_kind,
@@ -105,7 +105,7 @@ res{run} AS (
   JOIN names{run} n ON n.subject_key = g.subject_key
   LEFT JOIN best{run} b ON b.subject_key = g.subject_key AND b.predicate = g.predicate
     AND b.scope_key IS NOT DISTINCT FROM g.scope_key),
-part{run} AS (
+part{run} AS MATERIALIZED (
   SELECT r.section_key, v.fact_id, r.gid, v.value_raw, v.effective_date, v.precedence, v.fact_seq, v.document_id,
     CASE WHEN NOT v.governs THEN 'observed' WHEN v.fact_id = r.gid THEN 'governing' ELSE 'superseded' END AS role
   FROM v{run} v JOIN res{run} r ON r.subject_key = v.subject_key AND r.predicate = v.predicate
@@ -120,7 +120,7 @@ def sections(run: int) -> str:
     plain = (f"(SELECT string_agg(value_raw, ', ' ORDER BY coalesce(effective_date, DATE '0001-01-01'), precedence, fact_seq)"
              f" FROM part{run} p WHERE p.section_key = r.section_key AND p.role = 'superseded')")
     return f"""
-sec{run} AS (
+sec{run} AS MATERIALIZED (
   SELECT *, sha256(content) AS content_hash, substr(sha256(section_key), 1, 8) AS ref,
     n_governing + n_observed AS n_facts FROM (
     SELECT r.*, {plain} AS superseded_text,
@@ -137,15 +137,15 @@ RUN2 = f"WITH {VIEWS}, {register(2)}"
 SECTIONS = f"{BOTH}, {sections(1)}, {sections(2)}"
 # Run 2 on top of run 1: a section is carried when it holds the same facts and its logic is current.
 PLANNED = f"""{SECTIONS},
-moved AS (
+moved AS MATERIALIZED (
   SELECT section_key FROM (SELECT section_key, fact_id FROM part2 EXCEPT SELECT section_key, fact_id FROM part1) a
   UNION SELECT section_key FROM (SELECT section_key, fact_id FROM part1 EXCEPT SELECT section_key, fact_id FROM part2) b),
-plan AS (
+plan AS MATERIALIZED (
   SELECT s2.*, s1.content_hash AS old_hash, s1.content AS old_content, s1.section_key IS NOT NULL AS had,
     CASE WHEN s1.section_key IS NULL THEN 'new' WHEN s1.ref LIKE '0%' THEN 'logic changed'
       WHEN s2.section_key IN (SELECT section_key FROM moved) THEN 'facts changed' END AS reason
   FROM sec2 s2 LEFT JOIN sec1 s1 ON s1.section_key = s2.section_key),
-ver2 AS (
+ver2 AS MATERIALIZED (
   SELECT *, reason IS NULL AS carried_forward, CASE WHEN reason IS NULL THEN old_hash ELSE content_hash END AS hash_now,
     CASE WHEN reason IS NULL THEN old_content ELSE content END AS content_now FROM plan)"""
 
@@ -531,8 +531,8 @@ REFERENCE_SQL = {
         f"({lit(k)}, {'false' if k in NON_GOVERNING_KINDS else 'true'}, {lit(d)}, "
         f"{lit(EFFECT_OBSERVES if k in NON_GOVERNING_KINDS else EFFECT_GOVERNS)})" for k, d in KIND_DESCRIPTIONS.items()) +
         ") SELECT r.document_id, o.* FROM routed r, opt o WHERE r.reason IS NOT NULL",
-    "c6_pending_documents": f"""WITH facts AS ({D.FACTS}), {CONTRACTS}
-      SELECT document_id, NULL AS fact_id FROM doc WHERE document_id % 3 = 0 OR document_id NOT IN (SELECT document_id FROM facts)
+    "c6_pending_documents": f"""WITH facts AS MATERIALIZED ({D.FACTS}), {CONTRACTS}, stated AS (SELECT DISTINCT document_id FROM facts WHERE document_id % 3 <> 0)
+      SELECT d.document_id, NULL AS fact_id FROM doc d ANTI JOIN stated USING (document_id)
       UNION ALL SELECT document_id, fact_id FROM facts WHERE document_id % 3 <> 0""",
     "c7_parse_extractions": f"""WITH {ANSWERED} SELECT document_id, 0 AS position, 'hourly_rate' AS predicate, s_name AS subject,
       'rate of $' || price AS quote, '0.9' AS confidence, shipped AS date_text, CASE WHEN document_id % 3 = 0 THEN 'Partner' END AS qualifier FROM good
@@ -579,11 +579,14 @@ REFERENCE_SQL = {
     "d4_reconcile": f"""{RUN2} SELECT section_key, vendor, predicate, scope_key, gid AS governing_fact_id, value, {show('magnitude')} AS magnitude, unit,
       since AS effective_date, source_kind, status, greatest(n_governing - 1, 0) AS n_superseded, n_observed FROM res2""",
     "d4_contributions": f"{RUN2} SELECT section_key, fact_id, role FROM part2",
-    "d5_governing_at": f"""WITH {VIEWS} SELECT o.fact_id AS probe_id, strftime(o.effective_date + INTERVAL 1 DAY, '%Y-%m-%d') AS probe_date,
-      (SELECT arg_max(g.fact_id, (g.effective_date, g.precedence, g.fact_seq)) FROM fv g WHERE g.governs AND g.subject_key = o.subject_key
-        AND g.predicate = o.governed_predicate AND coalesce(g.scope_key, '') = coalesce(o.scope_key, '')
-        AND g.effective_date <= o.effective_date + INTERVAL 1 DAY) AS governing_fact_id
-      FROM fv o WHERE NOT o.governs AND o.effective_date IS NOT NULL""",
+    "d5_governing_at": f"""WITH {VIEWS},
+      daily AS (SELECT subject_key, predicate, coalesce(scope_key, '') AS scope, effective_date AS since,
+        arg_max(fact_id, (precedence, fact_seq)) AS governing_fact_id
+        FROM fv WHERE governs AND effective_date IS NOT NULL GROUP BY ALL),
+      probe AS (SELECT fact_id AS probe_id, subject_key, governed_predicate AS predicate, coalesce(scope_key, '') AS scope,
+        CAST(effective_date + INTERVAL 1 DAY AS DATE) AS since FROM fv WHERE NOT governs AND effective_date IS NOT NULL)
+      SELECT probe_id, strftime(since, '%Y-%m-%d') AS probe_date, governing_fact_id
+      FROM probe ASOF LEFT JOIN daily USING (subject_key, predicate, scope, since)""",
     "d6_supersession": f"{RUN2} SELECT section_key, fact_id AS superseded_fact_id, gid AS governing_fact_id FROM part2 WHERE role = 'superseded'",
     "e1_equal_rank": f"WITH {VIEWS}, {E1} SELECT {SHOWN} FROM e1",
     "e1_disagreeing_facts": f"""WITH {VIEWS}, w AS (SELECT *, count(*) OVER p AS n_facts, min(magnitude) OVER p AS lo, max(magnitude) OVER p AS hi,
@@ -660,10 +663,11 @@ REFERENCE_SQL = {
       (SELECT count(*) FROM failed WHERE reason IS NOT NULL) = 0 AS passed""",
     "j1_build_changes": f"""{PLANNED} SELECT section_key, CASE WHEN NOT had THEN 'added' WHEN old_hash <> hash_now THEN 'changed' ELSE 'unchanged' END AS status,
       hash_now AS content_hash, old_hash AS previous_hash FROM ver2""",
-    "j2_change_causes": f"""{PLANNED}, changed AS (SELECT section_key FROM ver2 WHERE NOT had OR old_hash <> hash_now),
-      now_ AS (SELECT DISTINCT section_key, {NAME} AS document FROM part2 WHERE section_key IN (SELECT section_key FROM changed)),
-      new_ AS (SELECT * FROM now_ EXCEPT SELECT section_key, {NAME} FROM part1)
-      SELECT * FROM new_ UNION ALL SELECT * FROM now_ WHERE section_key NOT IN (SELECT section_key FROM new_)""",
+    "j2_change_causes": f"""{PLANNED}, changed AS MATERIALIZED (SELECT section_key FROM ver2 WHERE NOT had OR old_hash <> hash_now),
+      now_ AS MATERIALIZED (SELECT DISTINCT section_key, {NAME} AS document FROM part2 SEMI JOIN changed USING (section_key)),
+      then_ AS MATERIALIZED (SELECT DISTINCT section_key, {NAME} AS document FROM part1 SEMI JOIN changed USING (section_key)),
+      new_ AS MATERIALIZED (SELECT * FROM now_ ANTI JOIN then_ USING (section_key, document))
+      SELECT * FROM new_ UNION ALL SELECT * FROM now_ ANTI JOIN new_ USING (section_key)""",
     "j3_change_summary": f"""{PLANNED} SELECT count(*) AS sections_total, count(*) FILTER (WHERE NOT had) AS added,
       count(*) FILTER (WHERE had AND old_hash <> hash_now) AS changed, count(*) FILTER (WHERE old_hash = hash_now) AS unchanged,
       round(count(*) FILTER (WHERE old_hash = hash_now) / count(*), 3) AS untouched_fraction FROM ver2""",
