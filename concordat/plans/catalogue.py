@@ -637,7 +637,20 @@ def h3_bound_expressions(spark, folder):
 
 @query
 def h4_presence_required(spark, folder):
-    return _violations(spark, folder, 1).filter("code = 'LAW-01'").select("subject", "explanation", "severity")
+    """Vendors that state a governing law only as an observation, only for a scope, or not at all, among others."""
+    rows = views(spark, folder, 1).filter(D.LAWLESS.replace("qualifier", "scope"))
+    listed = [(f"HAS-{i}", i, term) for i, term in enumerate(("governing_law", "hourly_rate", "audit_rights", "invoice_rate"))]
+    from pyspark.sql import Row
+    wanted = [Row(ruleset_id="r", position=i, code=code, kind="presence_required", predicate=term, description="Must be stated",
+                  max=None, min=None, expr=None, severity="low") for code, i, term in listed]
+    return rules.evaluate_rules(reconcile.reconcile(rows), wanted).select("code", "subject", "explanation", "severity")
+
+
+@query
+def h2_part_playbook(spark, folder):
+    """A playbook with a rule for every part."""
+    return rules.evaluate_rules(reconcile.reconcile(views(spark, folder)), rules.load_rules(D.derive(spark, folder, D.PART_RULES))).select(
+        "code", "subject", "predicate", "fact_id", "checked", "severity")
 
 
 @query

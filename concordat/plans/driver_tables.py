@@ -56,6 +56,22 @@ UNION ALL
 SELECT fid + 4, ok, kind, subject, qualifier, odate, fid + 4, 'invoice_rate', money FROM named WHERE kind = 'invoice'
 """
 
+# Facts as they are, but for a governing law that three of four vendors lack: stated by no
+# governing document, only for scopes, or not at all.
+LAWLESS = """predicate <> 'governing_law' OR CASE CAST(right(subject_key, 3) AS INT) % 4
+  WHEN 0 THEN document_kind NOT IN ('msa', 'sow', 'amendment') WHEN 1 THEN qualifier IS NOT NULL WHEN 2 THEN false ELSE true END"""
+
+# A rule for every part.
+PART_RULES = """
+SELECT 'parts' AS ruleset_id, CAST(p_partkey AS INT) AS position, 'P-' || CAST(p_partkey AS STRING) AS code,
+  CASE p_partkey % 3 WHEN 0 THEN 'numeric_max' WHEN 1 THEN 'numeric_min' ELSE 'presence_required' END AS kind,
+  CASE p_partkey % 7 WHEN 0 THEN 'hourly_rate' WHEN 1 THEN 'payment_terms_days' WHEN 2 THEN 'liability_cap'
+    WHEN 3 THEN 'auto_renew_months' WHEN 4 THEN 'termination_notice_days' WHEN 5 THEN 'annual_fees' ELSE 'audit_rights' END AS predicate,
+  'Rule of a part' AS description, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DECIMAL(18,6)) END AS max,
+  CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size AS DECIMAL(18,6)) END AS min, CAST(NULL AS STRING) AS expr, 'medium' AS severity
+FROM part
+"""
+
 # One contract document per order; paths written on two kinds of system.
 CONTRACTS = """
 SELECT o_orderkey AS document_id,

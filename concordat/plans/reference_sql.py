@@ -76,9 +76,9 @@ fv AS MATERIALIZED (
   FROM read_)"""
 
 
-def register(run: int) -> str:
-    """Views, governing facts, names and sections of a run."""
-    where = "WHERE document_id % 10 <> 0" if run == 1 else ""
+def register(run: int, more: str = "true") -> str:
+    """Views, governing facts, names and sections of a run; `more` keeps some of the facts only."""
+    where = f"WHERE {'document_id % 10 <> 0' if run == 1 else 'true'} AND ({more})"
     return f"""
 v{run} AS (SELECT * FROM fv {where}),
 best{run} AS MATERIALIZED (
@@ -650,7 +650,21 @@ REFERENCE_SQL = {
           ELSE 'Bound. ' || vendor || ' has liability_cap of ' || value || ' (' || {show('magnitude')} || '), which exceeds the limit of '
             || {show('CAST(bound AS DECIMAL(38,6))')} || '.' END AS explanation
       FROM bounds WHERE magnitude IS NULL OR bound IS NULL OR magnitude > bound""",
-    "h4_presence_required": f"{violations(1)} SELECT subject, explanation, severity FROM viol WHERE code = 'LAW-01'",
+    "h4_presence_required": f"""WITH {VIEWS}, {register(1, D.LAWLESS)},
+      vend AS (SELECT DISTINCT subject_key, vendor FROM res1 WHERE scope_key IS NULL),
+      wanted(code, term) AS (VALUES ('HAS-0', 'governing_law'), ('HAS-1', 'hourly_rate'), ('HAS-2', 'audit_rights'), ('HAS-3', 'invoice_rate'))
+      SELECT code, vendor AS subject, 'Must be stated. No supported value for ' || term || ' was found for ' || vendor || '.' AS explanation, 'low' AS severity
+      FROM vend v, wanted w WHERE NOT EXISTS (SELECT 1 FROM res1 g WHERE g.scope_key IS NULL AND g.gid IS NOT NULL
+        AND g.subject_key = v.subject_key AND g.predicate = w.term)""",
+    "h2_part_playbook": f"""{RUN2}, rule AS ({D.PART_RULES}),
+      gov AS MATERIALIZED (SELECT * FROM res2 WHERE scope_key IS NULL AND gid IS NOT NULL),
+      vend AS MATERIALIZED (SELECT DISTINCT subject_key, vendor FROM res2 WHERE scope_key IS NULL)
+      SELECT code, vendor AS subject, r.predicate, gid AS fact_id, magnitude IS NOT NULL AS checked,
+        CASE WHEN magnitude IS NULL THEN 'low' ELSE severity END AS severity
+      FROM rule r JOIN gov g ON g.predicate = r.predicate WHERE kind <> 'presence_required' AND (magnitude IS NULL
+        OR (kind = 'numeric_max' AND magnitude > r.max) OR (kind = 'numeric_min' AND magnitude < r.min))
+      UNION ALL SELECT code, vendor, r.predicate, NULL, true, severity FROM rule r, vend v WHERE kind = 'presence_required'
+        AND NOT EXISTS (SELECT 1 FROM gov g WHERE g.subject_key = v.subject_key AND g.predicate = r.predicate)""",
     "h5_rule_counts": f"{violations(2)} SELECT count(*) AS violations, count(*) FILTER (WHERE NOT checked) AS not_checked FROM viol",
     "h6_link_sections": f"""{violations(2)} SELECT v.code, v.subject, k.section_key, '[' || v.code || '] ' || v.explanation AS explanation, v.severity
       FROM viol v LEFT JOIN (SELECT section_key FROM res1 WHERE (n_governing + n_observed) % 2 = 1) k

@@ -81,7 +81,7 @@ def test_playbook_is_refused_as_a_whole(spark, tmp_path):
     with pytest.raises(rules.RulesRefused, match="numeric_max needs config.max"):
         rules.load_rules(rules_frame(spark, str(tmp_path / "r.json")))
     good = spark.createDataFrame(standard_rules(), rules.RULES)
-    assert [r.code for r in rules.load_rules(good)] == ["LIAB-01", "PAY-01", "RENEW-01", "NOTICE-01", "LAW-01"]
+    assert [r.code for r in rules.load_rules(good).orderBy("position").collect()] == ["LIAB-01", "PAY-01", "RENEW-01", "NOTICE-01", "LAW-01"]
     twice = good.union(good.withColumn("position", F.col("position") + 10))
     assert rules.validate_rules(twice).filter("problem LIKE 'duplicate%'").count() == 5
 
