@@ -1,9 +1,8 @@
 """The register's sections and their incremental maintenance.
 
-A section lists the values it supersedes and observes.  Sections up to `inline_limit`
-facts hold these lists in their JSON content.  Larger sections keep the header in
-`content` and their lists in parts, cut by date and statement number, so that no task
-ever holds a whole section; the content hash then covers the header and every part.
+A section is a header, kept as JSON, and the values it supersedes and observes, one row each
+(its parts), whatever their number.  Its content hash covers the header and, through a
+digest that combines, every part; so no task ever holds a whole section.
 """
 
 from __future__ import annotations
@@ -16,11 +15,9 @@ from concordat.functions.digests import set_digest
 from concordat.operators.reconcile import contributions, earliest
 
 COMPOSER_VERSION = "1"
-INLINE_LIMIT = 10_000
-# Statement numbers are unique, so a part never holds more entries than this.
-PART_SPAN = 65_536
+NO_PARTS = "0:0:0"  # the digest of a section without parts
 
-SECTION = ["section_key", "content", "content_hash", "n_parts", "fact_digest",
+SECTION = ["section_key", "content", "content_hash", "fact_digest",
            "composer_version", "carried_forward", "prev_version_id", "version_id"]
 
 
@@ -30,101 +27,58 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*pairs), {"ignoreNullFields": "false"})
 
 
-def _entries(role: str) -> Column:
-    """Superseded values from oldest to newest; observed ones in order of statement."""
-    key = F.struct(
-        (F.coalesce("effective_date", earliest()) if role == "superseded" else earliest()).alias("on"),
-        (F.col("precedence") if role == "superseded" else F.lit(0)).alias("rank"),
-        F.col("fact_seq").alias("seq"),
-        F.col("value_raw").alias("value"),
-    )
-    listed = F.array_sort(F.collect_list(F.when(F.col("role") == role, key)))
-    return F.transform(listed, lambda e: e["value"])
-
-
-def _no_entries() -> Column:
-    return F.array().cast("array<string>")
-
-
 def section_facts(views: DataFrame, resolutions: DataFrame) -> DataFrame:
     """The dependency map: which facts each section rests on."""
     return contributions(views, resolutions).select("section_key", "fact_id", "role")
 
 
-def section_parts(views: DataFrame, resolutions: DataFrame,
-                  inline_limit: int = INLINE_LIMIT, part_span: int = PART_SPAN) -> DataFrame:
-    """The lists of sections over the limit, in parts; reading order is `part`."""
-    large = resolutions.filter(F.col("n_facts") > inline_limit)
-    members = contributions(views, large).filter(F.col("role") != "governing")
+def section_parts(views: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The superseded and observed values of each section, one row each.
+
+    Reading order is `part`: superseded values from oldest to newest, observed ones in order
+    of statement.
+    """
+    several = resolutions.filter("n_facts > 1 OR n_observed > 0")
+    members = contributions(views, several).filter(F.col("role") != "governing")
     superseded = F.col("role") == "superseded"
-    members = (
-        members.withColumn("block", F.floor(F.col("fact_seq") / F.lit(part_span)))
-        .withColumn("on", F.when(superseded, F.coalesce("effective_date", earliest())))
-        .withColumn("rank", F.when(superseded, F.col("precedence")))
-    )
     part = F.concat_ws(
-        "/", "role", T.iso("on"), F.lpad((F.col("rank") + 1).cast("string"), 3, "0"),
-        F.lpad(F.col("block").cast("string"), 20, "0"),
-    )
-    return (
-        members.groupBy("section_key", part.alias("part"))
-        .agg(_entries("superseded").alias("superseded"), _entries("observed").alias("observed"))
-        .select("section_key", "part",
-                _json(superseded=F.col("superseded"), observed=F.col("observed")).alias("content"))
+        "/", "role", T.iso(F.when(superseded, F.coalesce("effective_date", earliest()))),
+        F.lpad((F.when(superseded, F.col("precedence")) + 1).cast("string"), 3, "0"),
+        F.lpad(F.col("fact_seq").cast("string"), 20, "0"),
     )
+    return members.select("section_key", part.alias("part"), F.col("value_raw").alias("content"))
 
 
-def section_plans(views: DataFrame, resolutions: DataFrame,
-                  inline_limit: int = INLINE_LIMIT, part_span: int = PART_SPAN) -> DataFrame:
-    """G1: one row per section with its canonical content and the hash of it."""
+def section_plans(views: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """G1: one row per section with the canonical header and the hash over header and parts."""
     g = F.col("governing")
     header = dict(
         vendor=F.col("vendor"), term=F.col("predicate"), scope=F.col("scope_key"),
         value=g["value_raw"], normalized=g["unit"], effective_date=T.iso(g["effective_date"]),
         governing_source=g["document_kind"], status=F.col("status"),
     )
-    small = resolutions.filter(F.col("n_facts") <= inline_limit)
-    # Grouped by the section's key and not by the join's own keys: this keeps a shuffle
-    # between them, so that the join may split the facts of sections over the limit.
-    lists = (
-        contributions(views, small.filter("n_facts > 1 OR n_observed > 0"))
-        .filter(F.col("role") != "governing")
-        .groupBy("section_key")
-        .agg(_entries("superseded").alias("superseded"), _entries("observed").alias("observed"))
-    )
-    inline = small.join(lists, "section_key", "left").withColumn(
-        "content",
-        _json(**header, superseded=F.coalesce("superseded", _no_entries()),
-              observed=F.coalesce("observed", _no_entries())),
-    ).withColumn("content_hash", T.content_hash("content")).withColumn("n_parts", F.lit(0).cast("bigint"))
-
-    parts = section_parts(views, resolutions, inline_limit, part_span)
-    digests = parts.groupBy("section_key").agg(
-        F.count("*").alias("n_parts"),
-        set_digest(F.concat_ws(" ", "part", T.content_hash("content"))).alias("parts_digest"),
-    )
-    split = (
-        resolutions.filter(F.col("n_facts") > inline_limit)
-        .join(digests, "section_key")
-        .withColumn("content", _json(**header, superseded=_no_entries(), observed=_no_entries()))
-        .withColumn("content_hash",
-                    F.sha2(F.concat_ws(" ", T.content_hash("content"), F.col("parts_digest")), 256))
+    digests = section_parts(views, resolutions).groupBy("section_key").agg(
+        set_digest(F.concat_ws(" ", "part", T.content_hash("content"))).alias("parts_digest"))
+    whole = F.concat_ws(" ", T.content_hash("content"), F.coalesce("parts_digest", F.lit(NO_PARTS)))
+    return (
+        resolutions.join(digests, "section_key", "left")
+        .withColumn("content", _json(**header))
+        .select("section_key", "vendor", F.col("predicate").alias("term"), "content",
+                F.sha2(whole, 256).alias("content_hash"), "fact_digest", "n_facts",
+                g["fact_id"].alias("governing_fact_id"))
     )
-    keep = ["section_key", "vendor", F.col("predicate").alias("term"), "content", "content_hash",
-            "n_parts", "fact_digest", "n_facts", g["fact_id"].alias("governing_fact_id")]
-    return inline.select(*keep).unionByName(split.select(*keep))
 
 
-def plan_recomposition(plans: DataFrame, previous: DataFrame,
+def plan_recomposition(sections: DataFrame, previous: DataFrame,
                        version: str = COMPOSER_VERSION) -> DataFrame:
     """Carry a section when its facts and the logic behind it are unchanged.
 
+    `sections` are the resolutions: their fact digests decide, nothing is composed yet.
     `previous` holds the section versions of the previous run; no rows means a full run.
     """
     before = previous.select(
         "section_key", *[F.col(c).alias(f"prev_{c}") for c in
-                         ("version_id", "content", "content_hash", "n_parts", "fact_digest",
-                          "composer_version")]
+                         ("version_id", "content", "content_hash", "fact_digest", "composer_version")]
     )
     reason = (
         F.when(F.col("prev_version_id").isNull(), "new")
@@ -132,24 +86,34 @@ def plan_recomposition(plans: DataFrame, previous: DataFrame,
         .when(~F.col("prev_fact_digest").eqNullSafe(F.col("fact_digest")), "facts changed")
     )
     return (
-        plans.join(before, "section_key", "left")
+        sections.select("section_key", "fact_digest").join(before, "section_key", "left")
         .withColumn("reason", reason)
         .withColumn("carried_forward", F.col("reason").isNull())
     )
 
 
+def rederived(resolutions: DataFrame, plan: DataFrame) -> DataFrame:
+    """The resolutions whose sections have to be composed."""
+    return resolutions.join(plan.filter(~F.col("carried_forward")).select("section_key"), "section_key", "left_semi")
+
+
 def version_id(run_id: Column) -> Column:
     return F.sha2(F.concat_ws("\n", run_id, F.col("section_key")), 256)
 
 
-def apply_plan(plan: DataFrame, run_id: str, version: str = COMPOSER_VERSION) -> DataFrame:
-    """This run's versions; a carried section is the previous one, copied."""
+def apply_plan(plan: DataFrame, composed: DataFrame, run_id: str, version: str = COMPOSER_VERSION) -> DataFrame:
+    """This run's versions; a carried section is the previous one, copied.
+
+    `composed` holds the plans (G1) of the sections that are not carried.
+    """
+    fresh = composed.select("section_key", "content", "content_hash")
+
     def chosen(name: str) -> Column:
         return F.when(F.col("carried_forward"), F.col(f"prev_{name}")).otherwise(F.col(name))
 
-    return plan.select(
+    return plan.join(fresh, "section_key", "left").select(
         "section_key",
-        *[chosen(c).alias(c) for c in ("content", "content_hash", "n_parts", "fact_digest")],
+        *[chosen(c).alias(c) for c in ("content", "content_hash", "fact_digest")],
         F.when(F.col("carried_forward"), F.col("prev_composer_version"))
         .otherwise(F.lit(version)).alias("composer_version"),
         "carried_forward", "prev_version_id",
@@ -158,8 +122,7 @@ def apply_plan(plan: DataFrame, run_id: str, version: str = COMPOSER_VERSION) ->
 
 
 CONTENT = ("vendor string, term string, scope string, value string, normalized string, "
-           "effective_date string, governing_source string, status string, "
-           "superseded array<string>, observed array<string>")
+           "effective_date string, governing_source string, status string")
 
 
 def claim_text(row: Column) -> Column:

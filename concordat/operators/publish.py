@@ -41,10 +41,6 @@ def _named(versions: DataFrame) -> DataFrame:
         scope.isNotNull(), F.concat("_term", F.lit(" — "), T.title_case(scope))).otherwise(F.col("_term")))
 
 
-def _superseding(listed: Column) -> Column:
-    return F.concat(F.lit("\n\nThis supersedes "), listed, F.lit(f". {RETAINED}"))
-
-
 def neutralise(text: Column) -> Column:
     """Text from a document, without the marks that could address or end an edit."""
     cleaned = F.regexp_replace(text, rf"(?i)\[{T.SPACE}*ref{T.SPACE}*:", "[ref-")
@@ -53,16 +49,16 @@ def neutralise(text: Column) -> Column:
     return F.regexp_replace(cleaned, rf"(?m)^(?={BLANK}*#)", "\u200b")
 
 
-def render_sections(versions: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """M1: each section as markdown.
+def render_sections(versions: DataFrame, parts: DataFrame) -> DataFrame:
+    """M1: each section as markdown, in rows.
 
-    One row per section with an empty `part`; a section kept in parts gets a row for its
-    head, one per part, and one for its end.  Texts in order of `part` join to the section.
+    `parts` are the sections' parts (G1).  A section gives a row for its head, with an empty
+    `part`, one per superseded value and one for its end.  Texts in order of `part` join to
+    the section.
     """
     named = _named(versions)
     r = F.col("_r")
     heading = F.concat(F.lit("### "), "_vendor", F.lit(" — "), "_label", F.lit(" [ref:"), "ref", F.lit("]"))
-    values = F.array_join("_r.superseded", ", ")
     since = F.when(F.coalesce(r["effective_date"], F.lit("")) != "",
                    F.concat(F.lit(", effective "), r["effective_date"])).otherwise("")
     source = F.when(F.coalesce(r["governing_source"], F.lit("")) != "",
@@ -73,42 +69,27 @@ def render_sections(versions: DataFrame, parts: DataFrame | None = None) -> Data
     )).otherwise(F.concat(
         F.lit("The governing **"), "_label", F.lit("** for "), "_vendor", F.lit(" is **"), r["value"],
         F.lit("**"), since, source, F.lit("."),
-        F.when(F.size("_r.superseded") > 0, _superseding(values)).otherwise(""),
     ))
     rev = F.when(F.coalesce("content_hash", F.lit("")) != "",
                  F.concat(F.lit(" · rev "), F.left("content_hash", F.lit(8)))).otherwise("")
     status = F.concat(F.lit("\n\n*Status: "), F.coalesce(T.none_if_empty(r["status"]), F.lit("unknown")),
                       F.lit("."), rev, F.lit("*"))
-    drawn = named.select("section_key", "ref", "content_hash", "n_parts", r["value"].alias("value"),
+    drawn = named.select("section_key", "ref", "content_hash", r["value"].alias("value"),
                          F.concat(heading, F.lit("\n\n"), body).alias("_head"), status.alias("_end"),
                          F.concat(F.lit("### "), neutralise(F.col("_vendor")), F.lit(" — "),
                                   neutralise(F.col("_term"))).alias("plain_heading"))
     keep = ["section_key", "ref", "content_hash", "value", "plain_heading", "part", "text"]
-    whole = drawn.filter("n_parts = 0").withColumn("part", F.lit("")).withColumn(
-        "text", F.concat("_head", "_end"))
-    if parts is None:
-        return whole.select(*keep)
-
-    large = drawn.filter("n_parts > 0")
-    listed = (
-        parts.filter(F.col("part").startswith("superseded/"))
-        .withColumn("_list", F.array_join(F.from_json("content", "superseded array<string>")["superseded"], ", "))
-        .select("section_key", "part", "_list")
-    )
+    listed = parts.filter(F.col("part").startswith("superseded/")).select("section_key", "part", "content")
     first = listed.groupBy("section_key").agg(F.min("part").alias("_first"))
-    head = large.withColumn("part", F.lit("")).withColumn("text", F.col("_head"))
+    head = drawn.withColumn("part", F.lit("")).withColumn("text", F.col("_head"))
     middle = (
-        listed.join(first, "section_key").join(large, "section_key")
+        listed.join(first, "section_key").join(drawn, "section_key")
         .withColumn("text", F.concat(
-            F.when(F.col("part") == F.col("_first"), "\n\nThis supersedes ").otherwise(", "), "_list"))
+            F.when(F.col("part") == F.col("_first"), "\n\nThis supersedes ").otherwise(", "), "content"))
     )
-    end = large.join(first, "section_key", "left").withColumn("part", F.lit("~")).withColumn(
+    end = drawn.join(first, "section_key", "left").withColumn("part", F.lit("~")).withColumn(
         "text", F.concat(F.when(F.col("_first").isNotNull(), f". {RETAINED}").otherwise(""), "_end"))
-    rows = [whole, head, middle, end]
-    out = rows[0].select(*keep)
-    for more in rows[1:]:
-        out = out.unionByName(more.select(*keep))
-    return out
+    return head.select(*keep).unionByName(middle.select(*keep)).unionByName(end.select(*keep))
 
 
 def _pieces(documents: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def empty_like(rows: DataFrame) -> DataFrame:
 
 def no_versions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "version_id string, section_key string, content string, content_hash string, "
-                                     "n_parts bigint, fact_digest string, composer_version string")
+                                     "fact_digest string, composer_version string")
 
 
 @stored
@@ -90,18 +90,21 @@ def versions(spark, folder, run: int) -> DataFrame:
     Sections whose anchor starts with 0 were written by older logic in run 1.
     """
     v1 = views(spark, folder, 1)
-    plans = compose.section_plans(v1, reconcile.reconcile(v1))
-    first = compose.apply_plan(compose.plan_recomposition(plans, no_versions(spark)), "run-1").withColumn(
+    r1 = reconcile.reconcile(v1)
+    plan = compose.plan_recomposition(r1, no_versions(spark))
+    first = compose.apply_plan(plan, compose.section_plans(v1, r1), "run-1").withColumn(
         "composer_version",
         F.when(publish.section_ref("section_key").startswith("0"), "0").otherwise(F.col("composer_version")))
     if run == 1:
         return first
-    return compose.apply_plan(recomposition(spark, folder, first), "run-2")
+    plan = recomposition(spark, folder, versions(spark, folder, 1))
+    v2 = views(spark, folder)
+    due = compose.rederived(reconcile.reconcile(v2), plan)
+    return compose.apply_plan(plan, compose.section_plans(v2, due), "run-2")
 
 
 def recomposition(spark, folder, first: DataFrame) -> DataFrame:
-    v2 = views(spark, folder)
-    return compose.plan_recomposition(compose.section_plans(v2, reconcile.reconcile(v2)), first)
+    return compose.plan_recomposition(reconcile.reconcile(views(spark, folder)), first)
 
 
 # --- sources -------------------------------------------------------------------
@@ -552,6 +555,21 @@ def g1_section_plans(spark, folder):
         "section_key", "content", "content_hash", "n_facts", "governing_fact_id")
 
 
+@query
+def g1_section_parts(spark, folder):
+    v = views(spark, folder)
+    return compose.section_parts(v, reconcile.reconcile(v))
+
+
+@query
+def g1_hot_section(spark, folder):
+    """All governing facts of one vendor and term: one section with most of the statements."""
+    hot = views(spark, folder).filter("predicate NOT LIKE 'invoice_%'").withColumns(
+        {"subject": F.lit("Everyone"), "subject_key": F.lit("everyone"), "predicate": F.lit("hourly_rate"), "scope": F.lit(None).cast("string"),
+         "scope_key": F.lit(None).cast("string"), "scope_id": F.lit(""), "governed_predicate": F.lit("hourly_rate")})
+    return compose.section_plans(hot, reconcile.reconcile(hot)).select("section_key", "content", "content_hash", "n_facts")
+
+
 @query
 def g2_plan_recomposition(spark, folder):
     return recomposition(spark, folder, versions(spark, folder, 1)).select(
@@ -845,7 +863,8 @@ def l6_run_status(spark, folder):
 
 
 def _rendered(spark, folder, run: int):
-    return publish.render_sections(versions(spark, folder, run))
+    v = views(spark, folder, run)
+    return publish.render_sections(versions(spark, folder, run), compose.section_parts(v, reconcile.reconcile(v)))
 
 
 def _corpus() -> Column:
@@ -857,14 +876,15 @@ def _corpus() -> Column:
 def _published(spark, folder):
     """Documents as published after run 1, as an editing service might hand them back."""
     page = _rendered(spark, folder, 1).groupBy(_corpus().alias("corpus")).agg(
-        F.array_sort(F.collect_list(F.struct("section_key", "text"))).alias("s"))
-    body = F.array_join(F.transform("s", lambda x: F.replace(x["text"], F.lit("_"), F.lit("\\_"))), "\r\n\r\n")
+        F.array_sort(F.collect_list(F.struct("section_key", "part", "text"))).alias("s"))
+    body = F.array_join(F.transform("s", lambda x: F.concat(
+        F.when(x["part"] == "", "\r\n\r\n").otherwise(""), F.replace(x["text"], F.lit("_"), F.lit("\\_")))), "")
     return page.select("corpus", F.concat(F.lit("# Register\n\nPreface · rev ffff\n"), body).alias("text"))
 
 
 @query
 def m1_render_sections(spark, folder):
-    return _rendered(spark, folder, 2).select("section_key", "ref", "text")
+    return _rendered(spark, folder, 2).select("section_key", "ref", "part", "text")
 
 
 @query
@@ -893,12 +913,12 @@ def m3_publication_counts(spark, folder):
 def m4_edit_list(spark, folder):
     hostile = F.replace(F.col("text"), F.lit("Status: agreed"), F.lit("[ REF : 0] ```Status: agreed\n ## go"))
     rendered = _rendered(spark, folder, 2).withColumn("text", hostile)
-    return publish.edit_list(_diff(spark, folder), rendered).select("corpus", "step", "ref", "heading", "body")
+    return publish.edit_list(_diff(spark, folder), rendered).select("corpus", "step", "ref", "part", "heading", "body")
 
 
 def _edited(spark, folder):
     diff = _diff(spark, folder).filter("action = 'write'").select("corpus", "section_key")
-    return diff.join(_rendered(spark, folder, 2).select("section_key", "value"), "section_key")
+    return diff.join(versions(spark, folder, 2).select("section_key", F.get_json_object("content", "$.value").alias("value")), "section_key")
 
 
 @query

@@ -114,22 +114,21 @@ part{run} AS MATERIALIZED (
 
 def sections(run: int) -> str:
     text = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
-    listed = lambda role, order: (
-        f"coalesce((SELECT string_agg('\"' || value_raw || '\"', ',' ORDER BY {order}) FROM part{run} p "
-        f"WHERE p.section_key = r.section_key AND p.role = '{role}'), '')")
-    plain = (f"(SELECT string_agg(value_raw, ', ' ORDER BY coalesce(effective_date, DATE '0001-01-01'), precedence, fact_seq)"
-             f" FROM part{run} p WHERE p.section_key = r.section_key AND p.role = 'superseded')")
+    half = lambda at: f"CAST(sum(CAST('0x' || substr(sha256(part || ' ' || sha256(value_raw)), {at}, 15) AS BIGINT)) AS VARCHAR)"
     return f"""
+listed{run} AS MATERIALIZED (
+  SELECT section_key, value_raw, role || CASE WHEN role = 'superseded' THEN '/' || strftime(coalesce(effective_date, DATE '0001-01-01'), '%Y-%m-%d')
+      || '/' || lpad(CAST(precedence + 1 AS VARCHAR), 3, '0') ELSE '' END || '/' || lpad(CAST(fact_seq AS VARCHAR), 20, '0') AS part
+  FROM part{run} WHERE role <> 'governing'),
+digest{run} AS (SELECT section_key, count(*) || ':' || {half(1)} || ':' || {half(16)} AS digest FROM listed{run} GROUP BY section_key),
 sec{run} AS MATERIALIZED (
-  SELECT *, sha256(content) AS content_hash, substr(sha256(section_key), 1, 8) AS ref,
+  SELECT x.*, sha256(sha256(content) || ' ' || coalesce(digest, '0:0:0')) AS content_hash, substr(sha256(section_key), 1, 8) AS ref,
     n_governing + n_observed AS n_facts FROM (
-    SELECT r.*, {plain} AS superseded_text,
+    SELECT r.*,
       '{{"effective_date":' || {text('since')} || ',"governing_source":' || {text('source_kind')} || ',"normalized":' ||
-      {text('unit')} || ',"observed":[' || {listed('observed', 'fact_seq')} || '],"scope":' || {text('scope_key')} ||
-      ',"status":"' || status || '","superseded":[' ||
-      {listed('superseded', "coalesce(effective_date, DATE '0001-01-01'), precedence, fact_seq")} ||
-      '],"term":"' || predicate || '","value":' || {text('value')} || ',"vendor":"' || vendor || '"}}' AS content
-    FROM res{run} r) x)"""
+      {text('unit')} || ',"scope":' || {text('scope_key')} || ',"status":"' || status || '","term":"' || predicate ||
+      '","value":' || {text('value')} || ',"vendor":"' || vendor || '"}}' AS content
+    FROM res{run} r) x LEFT JOIN digest{run} USING (section_key))"""
 
 
 BOTH = f"WITH {VIEWS}, {register(1)}, {register(2)}"
@@ -425,13 +424,21 @@ def rendered(name: str, source: str, hash_column: str) -> str:
     chr(10) || CASE WHEN value IS NULL THEN 'No supported value for **' || label || '** was established for ' || vendor
         || '. This is recorded rather than omitted.'
       ELSE 'The governing **' || label || '** for ' || vendor || ' is **' || value || '**' || coalesce(', effective ' || since, '')
-        || ', per the ' || source_kind || '.'
-        || coalesce({NL2} || 'This supersedes ' || superseded_text || '. {RETAINED}', '') END
-      || {NL2} || '*Status: ' || status || '. · rev ' || substr({hash_column}, 1, 8) || '*' AS body
+        || ', per the ' || source_kind || '.' END AS lead,
+    {NL2} || '*Status: ' || status || '. · rev ' || substr({hash_column}, 1, 8) || '*' AS tail
   FROM {name}_label)"""
 
 
 PUBLISHED = f"""{PLANNED}, {rendered('pub1', 'sec1', 'content_hash')}, {rendered('pub2', 'ver2', 'hash_now')},
+older AS (SELECT section_key, part, value_raw, row_number() OVER (PARTITION BY section_key ORDER BY part) AS nth FROM listed2 WHERE part LIKE 'superseded/%'),
+rows2 AS (
+  SELECT section_key, ref, '' AS part, heading || chr(10) || lead AS text, lead AS below FROM pub2
+  UNION ALL SELECT section_key, ref, part, text, text FROM (
+    SELECT o.section_key, p.ref, o.part, CASE WHEN nth = 1 THEN {NL2} || 'This supersedes ' ELSE ', ' END || o.value_raw AS text
+    FROM older o JOIN pub2 p USING (section_key))
+  UNION ALL SELECT section_key, ref, '~', text, text FROM (
+    SELECT p.section_key, p.ref, CASE WHEN o.section_key IS NULL THEN '' ELSE '. {RETAINED}' END || p.tail AS text
+    FROM pub2 p LEFT JOIN (SELECT DISTINCT section_key FROM older) o USING (section_key))),
 held AS (SELECT substr(ref, 1, 3) AS corpus, ref, substr(content_hash, 1, 8) AS rev FROM sec1),
 wanted AS (SELECT substr(ref, 1, 3) AS corpus, ref, section_key, substr(hash_now, 1, 8) AS rev FROM ver2 WHERE ref NOT LIKE 'f%'),
 diff AS (
@@ -440,9 +447,11 @@ diff AS (
   FROM wanted w FULL OUTER JOIN held h ON h.corpus = w.corpus AND h.ref = w.ref),
 checked AS (
   SELECT d.corpus, d.section_key, CASE WHEN o.ref IS NULL THEN 'no heading carrying [ref:' || d.ref || '] in the document'
-      WHEN n.value IS NOT NULL AND strpos(o.heading || chr(10) || o.body, n.value) = 0
+      WHEN n.value IS NOT NULL AND strpos(o.heading || chr(10) || o.lead || coalesce(o.listed, '') || o.tail, n.value) = 0
         THEN 'section ' || d.ref || ' does not contain its value ' || {q('n.value')} END AS error
-  FROM diff d JOIN pub2 n ON n.section_key = d.section_key LEFT JOIN pub1 o ON o.section_key = d.section_key
+  FROM diff d JOIN pub2 n ON n.section_key = d.section_key LEFT JOIN (
+    SELECT p.*, l.listed FROM pub1 p LEFT JOIN (SELECT section_key, string_agg(value_raw, ', ' ORDER BY part) AS listed FROM listed1
+      WHERE part LIKE 'superseded/%' GROUP BY section_key) l USING (section_key)) o ON o.section_key = d.section_key
   WHERE d.action = 'write')"""
 
 EVIDENCE = f"""{SECTIONS}, {CONTRACTS},
@@ -610,6 +619,10 @@ REFERENCE_SQL = {
       FROM merged WHERE is_real_conflict AND coalesce(old, 'open') = 'open'""",
     "f3_settled_before": f"{JUDGED} SELECT count(*) AS already_settled FROM merged WHERE old = 'dismissed'",
     "g1_section_plans": f"{SECTIONS} SELECT section_key, content, content_hash, n_facts, gid AS governing_fact_id FROM sec2",
+    "g1_section_parts": f"{SECTIONS} SELECT section_key, part, value_raw AS content FROM listed2",
+    "g1_hot_section": f"""WITH {VIEWS.replace("fv AS MATERIALIZED (", "fv0 AS MATERIALIZED (", 1)}, fv AS MATERIALIZED (
+      SELECT * REPLACE ('Everyone' AS subject, 'everyone' AS subject_key, NULL::VARCHAR AS scope_key, 'hourly_rate' AS predicate, 'hourly_rate' AS governed_predicate)
+      FROM fv0 WHERE predicate NOT LIKE 'invoice_%'), {register(2)}, {sections(2)} SELECT section_key, content, content_hash, n_facts FROM sec2""",
     "g2_plan_recomposition": f"{PLANNED} SELECT section_key, reason IS NULL AS carried_forward, reason FROM plan",
     "g3_apply_plan": f"""{PLANNED} SELECT section_key, hash_now AS content_hash, '1' AS composer_version, carried_forward,
       sha256('run-2' || chr(10) || section_key) AS version_id, CASE WHEN had THEN sha256('run-1' || chr(10) || section_key) END AS prev_version_id FROM ver2""",
@@ -730,16 +743,16 @@ REFERENCE_SQL = {
       WHEN event_id % 5 = 2 THEN 'awaiting_review' WHEN event_id % 3 = 1 THEN 'awaiting_classification'
       WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'running'
       WHEN event_type = 'click' THEN 'awaiting_review' ELSE 'interrupted' END AS status FROM events""",
-    "m1_render_sections": f"{PUBLISHED} SELECT section_key, ref, heading || chr(10) || body AS text FROM pub2",
+    "m1_render_sections": f"{PUBLISHED} SELECT section_key, ref, part, text FROM rows2",
     "m2_parse_published": f"{PUBLISHED} SELECT * FROM held",
     "m3_reconcile_published": f"{PUBLISHED} SELECT * FROM diff",
     "m3_publication_counts": f"""{PUBLISHED}, n AS (SELECT corpus, count(*) FILTER (WHERE action = 'write') AS to_write,
       count(*) FILTER (WHERE action = 'remove') AS to_remove, count(*) FILTER (WHERE action = 'unchanged') AS unchanged FROM diff GROUP BY corpus)
       SELECT *, to_write + to_remove = 0 AS is_noop FROM n""",
-    "m4_edit_list": f"""{PUBLISHED} SELECT corpus, 0 AS step, ref, NULL AS heading, NULL AS body FROM diff WHERE action = 'remove'
-      UNION ALL SELECT d.corpus, 1, d.ref, '### ' || p.vendor || ' — ' || {humanised('p.predicate')} || ' [ref:' || d.ref || ']',
-      replace(p.body, 'Status: agreed', '[ref- 0] ''''''Status: agreed' || chr(10) || chr(8203) || ' ## go')
-      FROM diff d JOIN pub2 p ON p.section_key = d.section_key WHERE d.action = 'write'""",
+    "m4_edit_list": f"""{PUBLISHED} SELECT corpus, 0 AS step, ref, '' AS part, NULL AS heading, NULL AS body FROM diff WHERE action = 'remove'
+      UNION ALL SELECT d.corpus, 1, d.ref, r.part, '### ' || p.vendor || ' — ' || {humanised('p.predicate')} || ' [ref:' || d.ref || ']',
+      replace(r.below, 'Status: agreed', '[ref- 0] ''''''Status: agreed' || chr(10) || chr(8203) || ' ## go')
+      FROM diff d JOIN pub2 p ON p.section_key = d.section_key JOIN rows2 r ON r.section_key = d.section_key WHERE d.action = 'write'""",
     "m5_verify_published": f"{PUBLISHED} SELECT corpus, section_key, error FROM checked WHERE error IS NOT NULL",
     "m5_publication_verified": f"""{PUBLISHED} SELECT corpus, count(*) AS edited, count(error) AS mismatches, count(error) = 0 AS verified
       FROM checked GROUP BY corpus""",

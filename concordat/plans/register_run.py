@@ -165,16 +165,16 @@ def extract_facts(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answ
 
 
 def compose_register(tables: Tables, corpus: str, run_id: str, parent: str | None, views: DataFrame,
-                     resolutions: DataFrame, version: str, inline_limit: int) -> DataFrame:
+                     resolutions: DataFrame, version: str) -> DataFrame:
     """Write this run's versions, parts, claims and citations."""
     before = lambda name: (tables.read(name, corpus, parent) if parent
                            else tables.spark.createDataFrame([], tables.schema(name)))
-    plans = compose.section_plans(views, resolutions, inline_limit)
-    plan = compose.plan_recomposition(plans, before("section_versions"), version)
-    versions = tables.write_run(compose.apply_plan(plan, run_id, version), "section_versions", corpus, run_id)
-    rederived, carried = versions.filter(~F.col("carried_forward")), versions.filter("carried_forward")
-    parts = compose.section_parts(views, resolutions, inline_limit).join(
-        rederived.select("section_key"), "section_key", "left_semi")
+    plan = settle(compose.plan_recomposition(resolutions, before("section_versions"), version), "plan")
+    due = settle(compose.rederived(resolutions, plan), "due")
+    versions = tables.write_run(compose.apply_plan(plan, compose.section_plans(views, due), run_id, version),
+                                "section_versions", corpus, run_id)
+    carried = versions.filter("carried_forward")
+    parts = compose.section_parts(views, due)
     kept = before("section_parts").select("section_key", "part", "content").join(
         carried.select("section_key"), "section_key", "left_semi")
     tables.write_run(parts.unionByName(kept), "section_parts", corpus, run_id)
@@ -199,8 +199,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
               playbook: list | None = None, threshold: float = CLASSIFY_THRESHOLD,
               organisation: str | None = None, include_retained: bool = False,
               extractor_version: str = extract.EXTRACTOR_VERSION,
-              composer_version: str = compose.COMPOSER_VERSION,
-              inline_limit: int = compose.INLINE_LIMIT) -> RunResult:
+              composer_version: str = compose.COMPOSER_VERSION) -> RunResult:
     """Bring the register of a corpus up to date with the documents that are there.
 
     `arrived` holds all documents present (uri, sha256, text, arrival).  The responders
@@ -251,7 +250,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
         tables.write_run(new, "conflicts", corpus, run_id)
 
     note("running", current_stage="compose")
-    versions = compose_register(tables, corpus, run_id, parent, views, resolutions, composer_version, inline_limit)
+    versions = compose_register(tables, corpus, run_id, parent, views, resolutions, composer_version)
 
     note("running", current_stage="examine")
     try:

@@ -22,7 +22,7 @@ SCHEMAS = {
     ),
     "section_versions": (
         "version_id string, section_key string, content string, content_hash string, "
-        "n_parts bigint, fact_digest string, composer_version string, carried_forward boolean, "
+        "fact_digest string, composer_version string, carried_forward boolean, "
         "prev_version_id string, corpus string, run_id string"
     ),
     "section_parts": "section_key string, part string, content string, corpus string, run_id string",

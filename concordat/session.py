@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from contextlib import suppress
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +33,23 @@ def build_session(app: str = "concordat", master: str | None = None, **extra: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The cluster's shared checkpoint folder; where none is set, one in the warehouse, which executors share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
+def _remove(files, path) -> None:
+    with suppress(Exception):  # the program ends; the machine behind it may have gone first
+        files.delete(path, True)
+
+
+@cache
+def _own_folder(spark: SparkSession, base: str) -> str:
+    """This session's folder, removed when the program ends."""
+    folder = f"{base.rstrip('/')}/concordat-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+    return folder
 
 
 def settle(rows: DataFrame, name: str = "rows") -> DataFrame:
@@ -49,6 +59,7 @@ def settle(rows: DataFrame, name: str = "rows") -> DataFrame:
     loss of executors, and later stages prune columns and know its size.
     """
     spark = rows.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/concordat-{uuid.uuid4().hex[:12]}/{name}"
+    own = _own_folder(spark, ensure_checkpoint_dir(spark))
+    folder = f"{own}/{uuid.uuid4().hex[:12]}-{name}"
     rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)

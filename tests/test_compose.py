@@ -10,8 +10,8 @@ from concordat.operators import publish as P
 from concordat.operators import reconcile as R
 from frames import views
 
-VERSIONS = ("version_id string, section_key string, content string, content_hash string, n_parts bigint, "
-            "fact_digest string, composer_version string, carried_forward boolean")
+VERSIONS = ("version_id string, section_key string, content string, content_hash string, fact_digest string, "
+            "composer_version string, carried_forward boolean")
 
 
 def history(n=9):
@@ -19,13 +19,18 @@ def history(n=9):
         ("hourly_rate", f"${100 + i}", f"2024-02-{1 + i % 3:02d}", "renewal_notice") for i in range(n)]
 
 
-def plans(v, **options):
-    return C.section_plans(v, R.reconcile(v), **options)
+def plans(v):
+    return C.section_plans(v, R.reconcile(v))
+
+
+def next_run(v, before, run="r2"):
+    r = R.reconcile(v)
+    plan = C.plan_recomposition(r, before)
+    return C.apply_plan(plan, C.section_plans(v, C.rederived(r, plan)), run)
 
 
 def first_run(v):
-    none = v.sparkSession.createDataFrame([], VERSIONS)
-    return C.apply_plan(C.plan_recomposition(plans(v), none), "r1")
+    return next_run(v, v.sparkSession.createDataFrame([], VERSIONS), "r1")
 
 
 def bag(frame, *columns):
@@ -38,54 +43,53 @@ def test_content_is_canonical_json_with_its_hash(spark):
     row = plans(v).first()
     expected = json.dumps({
         "vendor": "Acme", "term": "hourly_rate", "scope": None, "value": "$2", "normalized": "USD",
-        "effective_date": "2024-02-01", "governing_source": "amendment", "status": "agreed",
-        "superseded": ["$1"], "observed": ["$3 é"]}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        "effective_date": "2024-02-01", "governing_source": "amendment", "status": "agreed"}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
     assert row.content == expected
-    assert row.content_hash == hashlib.sha256(expected.encode()).hexdigest()
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    parts = [(p.part, p.content) for p in C.section_parts(v, R.reconcile(v)).orderBy("part").collect()]
+    assert parts == [("observed/" + "2".zfill(20), "$3 é"), ("superseded/2024-01-01/011/" + "0".zfill(20), "$1")]
+    halves = [[int(digest(f"{p} {digest(c)}")[a:a + 15], 16) for p, c in parts] for a in (0, 15)]
+    assert row.content_hash == digest(f"{digest(expected)} 2:{sum(halves[0])}:{sum(halves[1])}")
     assert row.governing_fact_id == "f1" and row.n_facts == 3
 
 
-def test_parts_hold_the_same_lists_in_the_same_order(spark):
+def test_parts_list_every_value_in_reading_order(spark):
     v = views(spark, *history())
-    r = R.reconcile(v)
-    whole = json.loads(plans(v).first().content)
-    split = plans(v, inline_limit=3, part_span=4).first()
-    parts = C.section_parts(v, r, 3, 4).orderBy("part").collect()
-    assert split.n_parts == len(parts) > 4
-    joined = {"superseded": [], "observed": []}
-    for p in parts:
-        for name, values in json.loads(p.content).items():
-            joined[name] += values
-    assert joined == {k: whole[k] for k in joined}
-    head = json.loads(split.content)
-    assert {k: v for k, v in head.items() if k not in joined} == {k: v for k, v in whole.items() if k not in joined}
-
-
-def test_hash_of_a_section_in_parts_sees_every_entry(spark):
+    parts = [(p.part.split("/")[0], p.content) for p in C.section_parts(v, R.reconcile(v)).orderBy("part").collect()]
+    order = sorted(range(9), key=lambda i: (1 + i % 5, i))
+    assert [c for role, c in parts if role == "superseded"] == [f"${i}" for i in order[:-1]]
+    assert [c for role, c in parts if role == "observed"] == [f"${100 + i}" for i in range(9)]
+
+
+def test_hash_of_a_section_sees_every_entry(spark):
     one, other = history(), history()
     other[3] = ("hourly_rate", "$33", *other[3][2:])
-    a, b = (plans(views(spark, *f), inline_limit=3, part_span=4).first() for f in (one, other))
-    again = plans(views(spark, *one).repartition(7), inline_limit=3, part_span=4).first()
+    a, b = (plans(views(spark, *f)).first() for f in (one, other))
+    again = plans(views(spark, *one).repartition(7)).first()
     assert a.content == b.content and a.content_hash != b.content_hash and a.content_hash == again.content_hash
 
 
-def test_parts_render_to_the_whole_section(spark):
-    v = views(spark, *history())
-    r = R.reconcile(v)
-    whole = first_run(v)
-    none = spark.createDataFrame([], VERSIONS)
-    split = C.apply_plan(C.plan_recomposition(plans(v, inline_limit=3, part_span=4), none), "r1")
-    text = P.render_sections(whole).first().text
-    rows = P.render_sections(split, C.section_parts(v, r, 3, 4)).orderBy("part").collect()
-    strip_rev = lambda t: t[: t.index(" · rev")]
-    assert strip_rev("".join(x.text for x in rows)) == strip_rev(text)
+def test_sections_of_any_size_are_laid_out_alike(spark):
+    for n in (1, 2, 300):
+        v = views(spark, *history(n))
+        row = plans(v).first()
+        assert row.n_facts == 2 * n and "superseded" not in row.content
+        assert C.section_parts(v, R.reconcile(v)).count() == 2 * n - 1
+
+
+def test_rows_render_to_the_whole_section(spark):
+    v = views(spark, *history(4))
+    rows = P.render_sections(first_run(v), C.section_parts(v, R.reconcile(v))).orderBy("part").collect()
+    text = "".join(x.text for x in rows)
+    assert text.endswith("*") and "is **$3**, effective 2024-01-04, per the msa.\n\nThis supersedes $0, $1, $2. " in text
+    assert len(rows) == 2 + 3
 
 
 def test_unchanged_facts_carry_and_new_ones_rederive(spark):
     base = [("hourly_rate", "$1", "2024-01-01", "msa"), ("annual_fees", "$9", "2024-01-01", "msa")]
     before = first_run(views(spark, *base))
-    after = C.plan_recomposition(plans(views(spark, *base, ("hourly_rate", "$2", "2024-02-01", "amendment"),
-                                             ("governing_law", "Norway", None, "msa"))), before)
+    after = C.plan_recomposition(R.reconcile(views(spark, *base, ("hourly_rate", "$2", "2024-02-01", "amendment"),
+                                                   ("governing_law", "Norway", None, "msa"))), before)
     assert {r.section_key: r.reason for r in after.collect()} == {
         "acme::hourly_rate": "facts changed", "acme::annual_fees": None, "acme::governing_law": "new"}
 
@@ -93,7 +97,7 @@ def test_unchanged_facts_carry_and_new_ones_rederive(spark):
 def test_carried_sections_are_copied_not_derived(spark):
     v = views(spark, ("hourly_rate", "$1", "2024-01-01", "msa"))
     odd = first_run(v).withColumn("content", F.lit("written long ago")).withColumn("content_hash", F.lit("h"))
-    row = C.apply_plan(C.plan_recomposition(plans(v), odd), "r2").first()
+    row = next_run(v, odd).first()
     assert (row.content, row.content_hash, row.carried_forward) == ("written long ago", "h", True)
     assert row.prev_version_id == odd.first().version_id
 
@@ -102,9 +106,9 @@ def test_new_logic_rederives_once(spark):
     v = views(spark, ("hourly_rate", "$1", "2024-01-01", "msa"))
     before = first_run(v)
     for old in (F.lit(None).cast("string"), F.lit("0")):
-        plan = C.plan_recomposition(plans(v), before.withColumn("composer_version", old))
-        assert plan.first().reason == "logic changed"
-    assert C.plan_recomposition(plans(v), C.apply_plan(plan, "r2")).first().reason is None
+        older = before.withColumn("composer_version", old)
+        assert C.plan_recomposition(R.reconcile(v), older).first().reason == "logic changed"
+    assert C.plan_recomposition(R.reconcile(v), next_run(v, older)).first().reason is None
 
 
 def test_no_section_is_rederived_to_the_bytes_it_had(spark):
@@ -112,7 +116,7 @@ def test_no_section_is_rederived_to_the_bytes_it_had(spark):
             ("auto_renew_months", "12", None, "sow")]
     before = first_run(views(spark, *base))
     v = views(spark, *base, ("annual_fees", "$10", "2025-01-01", "amendment")).repartition(5)
-    after = C.apply_plan(C.plan_recomposition(plans(v), before), "r2")
+    after = next_run(v, before)
     both = after.join(before.select("section_key", F.col("content_hash").alias("old")), "section_key")
     assert both.filter("NOT carried_forward AND content_hash = old").count() == 0
     assert both.filter("carried_forward AND content_hash <> old").count() == 0

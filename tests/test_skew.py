@@ -53,21 +53,12 @@ def test_groups_combine_before_the_shuffle(hot):
     assert "Window" not in plan and "collect_list" not in plan
 
 
-def test_hot_section_lives_in_parts_with_every_entry(hot):
+def test_hot_section_has_every_entry_and_is_never_gathered(hot):
     r = reconcile.reconcile(hot)
-    row = compose.section_plans(hot, r, inline_limit=1000, part_span=2000).filter("section_key LIKE 'hot%'").first()
-    parts = compose.section_parts(hot, r, 1000, 2000)
-    entries = parts.select(F.size(F.from_json("content", "superseded array<string>")["superseded"]).alias("s"),
-                           F.size(F.from_json("content", "observed array<string>")["observed"]).alias("o"))
-    total, largest = entries.agg(F.sum(F.col("s") + F.col("o")), F.max(F.col("s") + F.col("o"))).first()
-    assert total == row.n_facts - 1 == N // 3 - 1 and largest <= 2000
-    assert row.n_parts == parts.count()
-
-
-def test_lists_of_ordinary_sections_split_the_hot_one_away(hot):
-    frame = compose.section_plans(hot, reconcile.reconcile(hot), inline_limit=1000)
-    rows, plan = plan_after(frame.filter("n_parts = 0"))
-    assert len(rows) == 997 and "skew=true" in plan
+    rows, plan = plan_after(compose.section_plans(hot, r).filter("section_key LIKE 'hot%'"))
+    parts = compose.section_parts(hot, r).filter("section_key LIKE 'hot%'")
+    assert rows[0].n_facts == N // 3 and parts.count() == N // 3 - 1 == parts.select("part").distinct().count()
+    assert "collect_list" not in plan and "partial_sum" in plan
 
 
 def test_violations_match_a_plain_count(hot):
