@@ -22,6 +22,11 @@ STAGES = [
     ("stage_versions_run2", lambda s, d: C.versions(s, d, 2)),
     ("stage_claims_run2", lambda s, d: C.claims_of(s, d, 2)),
     ("stage_citations_run2", lambda s, d: C.citations_of(s, d, 2)),
+    ("stage_batches", lambda s, d: C._batches(s, d)),
+    ("stage_judged", lambda s, d: C._judged(s, d)),
+    ("stage_violations_run1", lambda s, d: C._violations(s, d, 1)),
+    ("stage_violations_run2", lambda s, d: C._violations(s, d, 2)),
+    ("stage_published", lambda s, d: C._published(s, d)),
 ]
 QUERIES = [
     "b2_dedupe_documents", "b3_chunk_documents", "b3_chunk_articles", "c1_enrich_cached", "c2_parse_classifications",

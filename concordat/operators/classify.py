@@ -23,8 +23,9 @@ ANSWER = ("kind string, vendor string, document_date string, confidence string,
 def parse_classifications(responses: DataFrame) -> DataFrame:
     """Kind, vendor, date and confidence of each response; unusable ones are unknown."""
     row = F.from_json("response_text", ANSWER, {"columnNameOfCorruptRecord": "broken"})
-    # fits_kind must be the JSON value true, not a string that reads so.
-    fits = F.coalesce(F.col("response_text").rlike(r'"fits_kind"\s*:\s*true\b'), F.lit(False))
+    # fits_kind must be the JSON value true at the top, not a string that reads so or a nested one.
+    stated = F.try_variant_get(F.try_parse_json("response_text"), "$.fits_kind", "variant")
+    fits = F.coalesce((F.schema_of_variant(stated) == "BOOLEAN") & F.try_variant_get(stated, "$", "boolean"), F.lit(False))
     r = F.col("_r")
     unreadable = r.isNull() | r["broken"].isNotNull()
     # A missing kind is the kind unknown, which is a known kind; its confidence stands.

@@ -66,11 +66,11 @@ def ingest_documents(tables: Tables, corpus: str, arrived: DataFrame) -> tuple[D
     fresh = settle(ingest.dedupe_documents(readable, known), "fresh")
     # Chunks first: a document counts as ingested only once its chunks are there.
     chunks = ingest.chunk_documents(fresh).withColumn("corpus", F.lit(corpus))
-    tables.append_new(chunks, "chunks", ["corpus", "chunk_id"], "chunk_id")
+    tables.append_new(chunks, "chunks", ["corpus", "chunk_id"], "chunk_id", corpus)
     offset = known.agg(F.coalesce(F.max("doc_seq") + 1, F.lit(0))).first()[0]
     numbered = with_index(fresh, [], F.col("arrival"), "doc_seq").withColumn(
         "doc_seq", F.col("doc_seq") + F.lit(offset))
-    tables.append_new(numbered, "documents", ["corpus", "sha256"], "arrival")
+    tables.append_new(numbered, "documents", ["corpus", "sha256"], "arrival", corpus)
     ids = readable.select(ingest.document_id("corpus", "sha256").alias("document_id")).distinct()
     return ids, findings
 
@@ -98,7 +98,7 @@ def _texts(tables: Tables, corpus: str, documents: DataFrame) -> DataFrame:
 
 def _keep_findings(tables: Tables, corpus: str, run_id: str, staged: DataFrame) -> None:
     rows = staged.withColumn("seen_in_run", F.lit(run_id)).withColumn("corpus", F.lit(corpus))
-    tables.append_new(rows, "document_findings", ["corpus", "seen_in_run", "stage", "finding_key"], "finding_key")
+    tables.append_new(rows, "document_findings", ["corpus", "seen_in_run", "stage", "finding_key"], "finding_key", corpus)
 
 
 def classify_documents(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answer: Responder,
@@ -118,7 +118,7 @@ def classify_documents(tables: Tables, corpus: str, run_id: str, ids: DataFrame,
     )
     doubtful = classify.escalation_findings(judged.filter(F.col("reason").isNotNull()))
     _keep_findings(tables, corpus, run_id, review.staged(doubtful, "classify", "document_id"))
-    tables.append_new(rows, "document_kinds", ["corpus", "document_id", "decided_by"], "document_id")
+    tables.append_new(rows, "document_kinds", ["corpus", "document_id", "decided_by"], "document_id", corpus)
 
 
 def answer_escalations(tables: Tables, corpus: str, answers: DataFrame) -> None:
@@ -129,7 +129,7 @@ def answer_escalations(tables: Tables, corpus: str, answers: DataFrame) -> None:
         F.lit(1.0).alias("kind_confidence"), F.lit(None).cast("string").alias("vendor"),
         F.lit(None).cast("date").alias("document_date"), F.lit(corpus).alias("corpus"),
     ).filter(F.col("kind").isin(*DOCUMENT_KINDS))
-    tables.append_new(rows, "document_kinds", ["corpus", "document_id", "decided_by"], "document_id")
+    tables.append_new(rows, "document_kinds", ["corpus", "document_id", "decided_by"], "document_id", corpus)
 
 
 def extract_facts(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answer: Responder,
@@ -161,7 +161,7 @@ def extract_facts(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answ
     staged = [review.staged(part.distinct(), "extract", *[k for k in ("document_id", "position") if k in part.columns])
               for part in found]
     _keep_findings(tables, corpus, run_id, reduce(DataFrame.unionByName, staged))
-    tables.append_new(rows, "facts", ["corpus", "fact_id"], "fact_id")
+    tables.append_new(rows, "facts", ["corpus", "fact_id"], "fact_id", corpus)
 
 
 def compose_register(tables: Tables, corpus: str, run_id: str, parent: str | None, views: DataFrame,

@@ -75,7 +75,7 @@ class Tables:
         shaped.drop(*RUN).write.mode("overwrite").parquet(self._partition(name, corpus, run_id))
         return self.read(name, corpus, run_id)
 
-    def append_new(self, rows: DataFrame, name: str, keys: list[str], order: str) -> None:
-        """A4: append the rows whose key is new."""
-        shaped = self._shaped(new_rows(rows, self.read(name), keys, order), name)
+    def append_new(self, rows: DataFrame, name: str, keys: list[str], order: str, corpus: str) -> None:
+        """A4: append the rows of a corpus whose key is new; only that corpus is read."""
+        shaped = self._shaped(new_rows(rows, self.read(name, corpus), keys, order), name)
         shaped.write.mode("append").partitionBy("corpus").parquet(self.path(name))

@@ -57,7 +57,9 @@ def test_register_states_the_amended_rate(history):
     tables, _, _, _ = history
     content = tables.read("section_versions", "c", "r1").filter(
         "section_key = 'harbour works ltd::hourly_rate'").first().content
-    assert '"value":"$120 per hour"' in content and '"superseded":["$100.00 per hour"]' in content
+    assert '"value":"$120 per hour"' in content
+    listed = tables.read("section_parts", "c", "r1").filter("section_key = 'harbour works ltd::hourly_rate'").collect()
+    assert [p.content for p in listed if p.part.startswith("superseded/")] == ["$100.00 per hour"]
     assert '"vendor":"Harbour Works Ltd"' in content
 
 

@@ -49,7 +49,7 @@ def test_append_keeps_one_row_per_key(spark, tmp_path):
     row = lambda k, a: (k, a, 0, "/in/x", "h" + k, "m", "c")
     frame = lambda *r: spark.createDataFrame(list(r), "document_id string, arrival string, doc_seq bigint, uri string, sha256 string, mime string, corpus string")
     for _ in range(2):
-        tables.append_new(frame(row("1", "b"), row("1", "a"), row("2", "c")), "documents", ["corpus", "sha256"], "arrival")
+        tables.append_new(frame(row("1", "b"), row("1", "a"), row("2", "c")), "documents", ["corpus", "sha256"], "arrival", "c")
     assert sorted((r.document_id, r.arrival) for r in tables.read("documents", "c").collect()) == [("1", "a"), ("2", "c")]
 
 
