@@ -303,7 +303,7 @@ asked AS (
     replace(regexp_escape(trim(regexp_replace({PLAIN('quote')}, '\\s+', ' ', 'g'))), '\\ ', '\\s+') AS pattern
   FROM (SELECT document_id, CASE WHEN document_id % 5 = 0 THEN 'zz' || p WHEN document_id % 7 = 0 THEN translate(p, '''-', '’–')
       WHEN document_id % 11 = 0 THEN regexp_replace(p, '[ ' || chr(10) || ']+', ' ' || chr(10) || ' ', 'g') ELSE p END AS quote
-    FROM (SELECT document_id, trim(substr(text, 1 + document_id % 50, 40), {STRIP}) AS p FROM letter) x) y
+    FROM (SELECT document_id, trim(substr(text, {D.QUOTE_START}, 40), {STRIP}) AS p FROM letter) x) y
   WHERE quote <> ''),
 tried AS (
   SELECT a.document_id, a.quote, a.plain, a.pattern, s.ordinal, s.base, s.text
@@ -700,7 +700,7 @@ REFERENCE_SQL = {
       round(count(*) FILTER (WHERE old_hash = hash_now) / count(*), 3) AS untouched_fraction FROM ver2""",
     "k1_assemble_findings": f"""{violations(2)}, low AS (SELECT DISTINCT document_id, {NAME} || ': ' || predicate || ' value '
         || {q('value_raw')} || ' could not be normalized, so it cannot be compared against other documents.' AS explanation
-        FROM fv WHERE magnitude IS NULL AND predicate <> 'governing_law' AND fact_id % 3 = 0),
+        FROM fv WHERE magnitude IS NULL AND predicate <> 'governing_law'),
       f AS (SELECT 3 AS ord, 'extract' AS stage, 'low' AS severity, explanation, sha256(document_id || chr(10) || explanation) AS key FROM low
         UNION ALL SELECT 5, 'examine', severity, '[' || code || '] ' || explanation, sha256(code || chr(10) || subject_key || chr(10) || '[' || code || '] ' || explanation) FROM viol)
       SELECT stage, severity, explanation, row_number() OVER (ORDER BY ord, sha256(stage || chr(10) || key)) - 1 AS finding_index FROM f""",
