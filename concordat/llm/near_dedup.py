@@ -11,9 +11,10 @@ Points are drawn in order of time and only as long as a component can still chan
 first.  *Links* are verified on the texts themselves, by exact multiset overlap, in two rounds.
 The first compares each member of a bucket with one text: the smallest of the buckets, of which
 it shares most.  What that links becomes one component.  The second round takes the buckets that
-still hold several components and compares all their members across components, in blocks of
-bounded size, by signature, and verifies every pair that may reach the threshold.  So no bucket
-gives all its pairs, none is gathered in one task, and no candidate is left untested.
+still hold several components and tests all their members across components, block against block:
+by signature first, and exactly where that allows the threshold.  It gives the links that join
+components, not all pairs.  So no bucket is gathered in one task or written out as pairs, and
+no candidate is left untested.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ BANDS, ROWS = 24, 4
 COMPONENTS = BANDS * ROWS
 #: Four and a half standard deviations of an estimate from the signature at similarity 0.8.
 SLACK = 0.185
-#: Members of a bucket that meet in one comparison; pairs up to which ids are sent to every task (16 bytes each).
-BLOCK, FEW_PAIRS = 512, 200_000
+#: Members of a bucket that meet in one comparison; number of ids (8 bytes each) up to which they are sent to every task.
+BLOCK, FEW_IDS = 512, 400_000
 
 
 def multisets(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,12 +135,17 @@ def signed(documents: DataFrame, shingle: int) -> DataFrame:
     return documents.mapInArrow(sign, "doc_id long, d1 long, d2 long, n long, signature binary")
 
 
+def _needed(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with these ids, one row each."""
+    if ids.count() <= FEW_IDS:  # bounded, so every task can filter its texts before they move
+        ids = F.broadcast(ids)
+    return documents.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def verified(pairs: DataFrame, documents: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Pairs (a, b) whose texts' multisets overlap enough, with their similarity."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if pairs.count() <= FEW_PAIRS:  # bounded, so every task can filter its texts before they move
-        needed = F.broadcast(needed)
-    texts = documents.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = _needed(documents, needed)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text_b", 1 << 20):
@@ -175,38 +180,67 @@ def components(links: DataFrame) -> DataFrame:
         labels = made.select("id", F.col("to").alias("label"))
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures allow the threshold.
+def _overlaps(own: int, others: np.ndarray, starts: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Exact similarity of one multiset with others; those of text t lie at starts[t] to starts[t + 1]."""
+    mine, sizes = hashes[starts[own] : starts[own + 1]], starts[others + 1] - starts[others]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - sizes), sizes)
+    place = np.minimum(np.searchsorted(mine, hashes[at]), len(mine) - 1)
+    shared = np.where(mine[place] == hashes[at], np.minimum(weights[at], weights[starts[own] : starts[own + 1]][place]), 0)
+    both = np.add.reduceat(shared, ends - sizes)
+    total = np.add.reduceat(weights[at], ends - sizes) + weights[starts[own] : starts[own + 1]].sum()
+    return both / (total - both)
+
+
+def _across(members: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different components in one bucket: enough of them to join all that are linked.
 
-    members: band, key, id, component, signature, size (of the bucket).
+    members: band, key, id, component, signature, text, size (of the bucket).
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     # a large bucket is a grid of blocks; small buckets share a group
-    spread = placed.select("band", "key", "id", "component", "signature", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    grouped = spread.withColumn("chunk", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(4096)).cast("int"))
+    spread = placed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    groups = max(64, members.count() // BLOCK)
+    grouped = spread.select("band", "key", "id", "component", "signature", "text", "own", "i", "j", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(groups)).alias("chunk"))
     least = threshold - SLACK
 
     def compare(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        a, b = [], []
+        frame, found = table.to_pandas(), set()
+        up: dict[int, int] = {}  # what this group has joined so far: links enough to join it, no more
+
+        def top(part: int) -> int:
+            while part in up:
+                part = up[part]
+            return part
+
         for (band, _, i, j), own in frame.groupby(["band", "key", "i", "j"], sort=False):
             if own["component"].nunique() < 2:
                 continue
             ids, parts, side = own["id"].to_numpy(), own["component"].to_numpy(), own["own"].to_numpy()
             signs = np.frombuffer(b"".join(own["signature"]), np.uint32).reshape(len(own), COMPONENTS)
+            sets = None
             for x in np.flatnonzero(side == i):
                 y = np.flatnonzero((parts != parts[x]) & ((ids > ids[x]) if i == j else (side == j)))
+                same = signs[y] == signs[x]
+                near = same.mean(axis=1) >= least
+                y, same = y[near], same[near]
+                if len(y):  # a pair counts in the first band it shares
+                    y = y[same.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                mine = top(parts[x])
+                y = y[[top(parts[z]) != mine for z in y]] if len(y) else y
                 if not len(y):
                     continue
-                same = signs[y] == signs[x]
-                y, same = y[same.mean(axis=1) >= least], same[same.mean(axis=1) >= least]
-                first = same.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) if len(y) else y  # a pair counts in the first band it shares
-                for z in y[first == band]:
-                    a.append(min(ids[x], ids[z]))
-                    b.append(max(ids[x], ids[z]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                if sets is None:
+                    owner, hashes, weights, _, _ = multisets([(t or "").encode() for t in own["text"]], shingle)
+                    sets = (np.searchsorted(owner, np.arange(len(own) + 1)), hashes, weights)
+                for z in y[_overlaps(x, y, *sets) >= threshold]:
+                    mine, other = top(parts[x]), top(parts[z])
+                    if mine != other:
+                        up[max(mine, other)] = min(mine, other)
+                        found.add((int(min(ids[x], ids[z])), int(max(ids[x], ids[z]))))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return grouped.groupBy("chunk", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -240,11 +274,12 @@ def near_duplicate_classes(documents: DataFrame, text: str = "text", shingle: in
 
     placed = members.join(labels, "id", "left").select("band", "key", "id", "size", F.coalesce("label", "id").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    across = placed.join(mixed, ["band", "key"]).join(own.select("id", "signature"), "id")
-    untried = settle(_across(across, threshold).join(tried, ["a", "b"], "left_anti"), "untried")
-    further = settle(verified(untried, known, shingle, threshold), "further")
+    across = placed.join(mixed, ["band", "key"])
+    texts = _needed(known, across.select(F.col("id").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "id")
+    across = settle(across.join(own.select("id", "signature"), "id").join(texts, "id"), "across")
+    further = settle(_across(across, shingle, threshold), "further")
     if not further.isEmpty():
-        labels = components(links.unionByName(further))
+        labels = components(links.select("a", "b").unionByName(further))
 
     member = marks.select("doc_id", "d1", "d2", "n").join(first, ["d1", "d2"]).select("doc_id", "n", F.col("id").alias("copy"))
     classed = member.join(labels.withColumnRenamed("id", "copy"), "copy", "left").select("doc_id", "n", "copy", F.coalesce("label", "copy").alias("class_id"))
