@@ -87,7 +87,7 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit(documents: DataFrame, learn: Column, per_language: int = 400, k: int = 3, slack: float = 0.5) -> Centroids:
+def fit(documents: DataFrame, learn: Column, per_language: int = 400, k: int = 3, slack: float = 0.3) -> Centroids:
     """Learn centroids from at most ``per_language`` texts of each language where ``learn`` holds.
 
     The texts are those with the lowest hashes of their ids.  A text is rejected later if its
