@@ -37,7 +37,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose texts hold about most_bytes together.
 
     A longer text makes a run of its own; no row is lost.  This bounds what a task holds

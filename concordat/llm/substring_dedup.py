@@ -182,7 +182,7 @@ def blocks_and_answers(documents: DataFrame, text: str, length: int, seed: int,
     return docs, shared.unionByName(earlier).repartition(tasks, "block"), parts
 
 
-def remove_repeats(documents: DataFrame, text: str = "text", length: int = 13, seed: int = 5, block_bytes: int = 1 << 22) -> DataFrame:
+def remove_repeats(documents: DataFrame, text: str = "text", length: int = 13, seed: int = 5, block_bytes: int = 1 << 21) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, kept (its remaining words joined by a space), spans.
 
     A word is removed if it lies in a window of ``length`` words that also starts in a document
