@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed but runs from its folder."""
+    """Ready a session: workers can import this package from its folder, and Arrow batches suit long texts."""
+    if spark.conf.get(_BATCH) == "10000":  # the default; a setting of the cluster's own stands
+        spark.conf.set(_BATCH, "1000")
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

@@ -6,7 +6,7 @@ words or more shares an anchor (winnowing), while only about a fifth of all posi
 Anchors are joined: those of one document alone are dropped.
 
 *Extension.*  Around each shared anchor, the match is extended both ways as far as windows
-that hold it reach, and each such window is looked up under its 128-bit key with the smallest
+that hold it reach, and each such window is looked up under its 96-bit key with the smallest
 doc_id that has it.  Windows next to each other unite to maximal repeats; no repeat of fewer
 words than ``length`` is kept.
 
@@ -107,6 +107,7 @@ class _Block:
         asked = np.flatnonzero(np.isin(anchors, np.concatenate(shared)) & known) if shared else np.zeros(0, np.int64)
         self.starts, own = starts[asked], numbers[texts[asked]]
         first, second = (window_hashes(words, length, s)[self.starts] if len(asked) else np.zeros(0, np.uint64) for s in (2, 3))
+        second = (second >> _U(32)).astype(np.uint32)
         part = _parts(first, parts)
         order = np.lexsort((own, second, first, part))
         first, second, part, own = first[order], second[order], part[order], own[order]
@@ -129,7 +130,7 @@ def _ask_windows(block_id: int, block: _Block) -> pa.Table:
 def _earlier_windows(table: pa.Table) -> pa.Table:
     """For each block that asked: per key, in its order, whether a smaller doc_id elsewhere has the window."""
     sizes = [len(b) // 8 for b in table.column("first").to_pylist()]
-    first, second, low = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("first", np.uint64), ("second", np.uint64), ("low", np.int64)))
+    first, second, low = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("first", np.uint64), ("second", np.uint32), ("low", np.int64)))
     order = np.lexsort((low, second, first))
     new = np.ones(len(order), bool)
     new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
