@@ -3,9 +3,12 @@
 A page is a row of blocks of text, each with the path of block elements from the root.  Per
 path, the length of text and the number of punctuation marks are divided by the number of
 nodes; the two ratios are smoothed along the page and fused, discounted by the share of text
-inside links.  Paths above a share of the best fused value hold content.  The element around the
-content is then taken whole, so short paragraphs and headings stay, less what its names mark as
-menus, notices, adverts, comments and the like.
+inside links.  Paths above a share of the best fused value hold content, on every page.  In the
+element around the best path a far smaller share is enough, so short paragraphs and headings stay.
+
+Names and tags that mark menus, notices, adverts, comments and the like leave a block out where no
+<article> or <main> is around it; inside one they only weigh on its path, as <article> and <main>
+themselves do.  Links never leave a single block out; they count for its path.
 
 Null and empty pages, and pages without text, have an empty text and 0 characters.  Nothing is
 cut or dropped for length; repeated rows are extracted each.
@@ -58,8 +61,9 @@ class Element:
     tag: str
     parent: Element | None
     label: str  # path from the root
-    outside: bool  # it or an element around it is marked as not the main text
+    outside: bool  # it or an element around it is hidden, or marked as not the main text and not in an article
     article: bool
+    marked: bool = False  # it or an element around it, inside the article, is marked as not the main text
 
 
 @dataclass
@@ -134,21 +138,26 @@ def blocks_of(page: str) -> list[Block]:
         names = [m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes)]
         words = {w.lower() for name in names for w in _WORDS.findall(name)}
         whole = {w for name in names for w in name.lower().split()}
-        marked = tag in ASIDE and not (tag == "header" and at.article) or bool(NAMED & (words | whole)) and tag not in ("html", "body", "article", "main")
+        named = NAMED & (words | whole)
+        if at.article:  # there, a header is the article's own
+            named = named - {"header"}
+        marked = tag in ASIDE and not (tag == "header" and at.article) or bool(named) and tag not in ("html", "body", "article", "main")
         hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
         main = tag in ("article", "main") or "main" in words and "role" in attributes
-        at = Element(tag, at, f"{at.label}/{tag}" + "".join(f".{w}" for w in sorted(whole)), at.outside or marked or hidden, at.article or main)
+        at = Element(tag, at, f"{at.label}/{tag}" + "".join(f".{w}" for w in sorted(whole)), at.outside or hidden or marked and not at.article,
+                     at.article or main, at.marked or marked and at.article)
     if skip is None and place < len(page):
         parts.append(page[place:])
     close()
     return found
 
 
-def main_blocks(blocks: list[Block], share: float = 0.2) -> list[Block]:
-    """The blocks of the main text, by smoothed and fused ratios of their tag paths."""
-    inside = [b for b in blocks if not b.element.outside and b.linked < 0.6 * len(b.text)]
-    if any(b.element.article for b in inside):
-        inside = [b for b in inside if b.element.article]
+def main_blocks(blocks: list[Block], share: float = 0.2, around_share: float = 0.02, article: float = 1.5, marked: float = 0.3) -> list[Block]:
+    """The blocks of the main text, by smoothed and fused ratios of their tag paths.
+
+    ``article`` and ``marked`` weigh on the value of paths inside <article> or <main>, and of those marked inside it.
+    """
+    inside = [b for b in blocks if not b.element.outside]
     if not inside:
         return []
     sums: dict[str, list[float]] = {}
@@ -167,9 +176,11 @@ def main_blocks(blocks: list[Block], share: float = 0.2) -> list[Block]:
     fused: dict[str, list[float]] = {}
     for b, n, m, p in zip(inside, length, marks, plain):
         fused.setdefault(b.element.label, []).append(math.sqrt(n * (1 + m)) * p)
-    value = {path: sum(v) / len(v) * math.log(2 + sums[path][0]) for path, v in fused.items()}
+    weight = {b.element.label: (article if b.element.article else 1) * (marked if b.element.marked else 1) for b in inside}
+    value = {path: weight[path] * sum(v) / len(v) * math.log(2 + sums[path][0]) for path, v in fused.items()}
     best = max(value, key=lambda path: (value[path], path))
-    content = {path for path, v in value.items() if v >= share * value[best]}
+    if not value[best]:  # nothing but links
+        return []
     # around the best path: its container, so that headings and short paragraphs stay
     holder = {id(b.element.parent) for b in inside if b.element.label == best}
     around = {id(b.element) for b in inside if b.element.label == best and b.element.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")}
@@ -182,7 +193,11 @@ def main_blocks(blocks: list[Block], share: float = 0.2) -> list[Block]:
             step = step.parent
         return False
 
-    return [b for b in inside if b.element.article or within(b.element) or b.element.label in content]
+    def holds(b: Block) -> bool:
+        least = around_share if not b.element.marked and within(b.element) else share
+        return value[b.element.label] >= least * value[best]
+
+    return [b for b in inside if holds(b)]
 
 
 def main_text(page: str | None) -> str:

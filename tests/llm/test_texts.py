@@ -141,6 +141,16 @@ def test_main_text(spark):
     assert extract_main_text(table.limit(0)).count() == 0
 
 
+def test_path_values_decide_on_pages_with_articles():
+    line = "A sentence of the text, long enough to be content; it has marks too. And a second one, which says more."
+    linked = "See <a href=/a>the long story of the harbour and of the people in it</a>."
+    page = (f'<nav><a href=/>Home</a></nav><article><header class="entry-header"><h1>The title</h1></header><p>{line}</p><p>{linked}</p><p>{line}</p><p class="notice">{line}</p>'
+            '<div class="ad">Buy!</div><ul class="related"><li><a href=/b>Another story</a></li></ul></article><footer>Copyright.</footer>')
+    assert main_text(page).split("\n\n") == ["The title", line, "See the long story of the harbour and of the people in it.", line, line]
+    teaser = f'<div class="text"><h2>Own title</h2>{f"<p>{line}</p>" * 4}</div><article><h3><a href=/d>Elsewhere</a></h3><p>Short teaser</p></article>'
+    assert main_text(teaser).split("\n\n") == ["Own title", *[line] * 4]
+
+
 def test_urls(spark):
     made = [f"https://www.h{i}.example.com/{lang}/{i}?q=1" for i in range(150) for lang in ("en", "de")] + [f"http://spam{i}.example.net/{lang}/{i}" for i in range(150) for lang in ("es", "fr")]
     odd = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/x", "http://example.com/en/1#a", "http://a.example.com/en", "http://com", "x://notexample.com/en/?", "http://É.net/es/\n", "http://spam9.example.net/en/9" + "x" * 5000, "http://com/"]
