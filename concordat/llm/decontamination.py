@@ -8,8 +8,12 @@ the shared folder, sorted by term.
 a place where the window may start; the same place has to follow from the window's next rarest
 term.  What both lists agree on is a candidate alignment of an item with a document.
 
+*Proximity.*  A window of n words that lies in a document with at most e words changed, inserted or
+deleted keeps one of any e + 1 parts of it whole.  So the postings of short runs of consecutive words
+give every rough alignment that can hold a proximity match, whatever word differs.
+
 *Result.*  Each document meets its own candidates, and their windows are compared word by word:
-an equal window is an exact phrase match, one with most words in their places a proximity match.
+an equal window is an exact phrase match, one within e edits of the words around it a proximity match.
 
 A posting list of any length, and an item or a document of any number of matches, is spread as
 rows over all tasks until a document gathers its own candidates.
@@ -17,6 +21,8 @@ rows over all tasks until a document gathers its own candidates.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,30 +79,105 @@ def candidates(documents: DataFrame, items: DataFrame) -> DataFrame:
     return aligned.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "starts", "n", "words")).alias("candidates"))
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, near: float = 0.8) -> DataFrame:
+#: Longest run of words by which a rough alignment is looked for.
+_SEED = 3
+
+
+def _edits(n: int, near: float) -> int:
+    """How many words a proximity match of n words may differ in."""
+    return n - math.ceil(round(near * n, 9))
+
+
+def _seeds(words: Column, length: int, named: str) -> Column:
+    """Place and hash of every run of so many words."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - length + 1), lambda i: F.struct(
+        (i - 1).alias(named), F.xxhash64(F.lit(length), F.slice(words, i, length)).alias("seed")))
+    return F.when(F.size(words) >= length, runs).otherwise(F.array().cast(f"array<struct<{named}: int, seed: bigint>>"))
+
+
+def near_candidates(documents: DataFrame, items: DataFrame, window: int, near: float) -> DataFrame:
+    """doc_id and its near candidates: rough alignments of items (shift, the words, window starts) that share a run of words."""
+    allowed = {n: _edits(n, near) for n in range(1, window + 1)}
+    edits = F.element_at(F.create_map(*[F.lit(x) for pair in allowed.items() for x in pair]), F.col("n"))
+    lengths = {n: min(_SEED, n // (e + 1)) for n, e in allowed.items() if e}
+    held = sorted({lengths[r["n"]] for r in items.select("n").distinct().collect() if r["n"] in lengths and lengths[r["n"]]})
+    wanted = items.select("item", "item_id", "words", "n", edits.alias("edits")).where("edits > 0")
+    seeded = [wanted.where(F.col("n").isin([n for n, q in lengths.items() if q == length]))
+              .select("item", F.lit(length).alias("length"), "n", F.size("words").alias("of"), F.inline(_seeds(F.col("words"), length, "place"))) for length in held]
+    nothing = wanted.select("item", F.lit(0).alias("length"), "n", F.lit(0).alias("of"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("seed")).limit(0)
+    places = nothing
+    for part in seeded:
+        places = places.unionByName(part)
+    places = settle(places, "near_places")
+    split = documents.where(F.col("doc_id").isNotNull()).select("doc_id", words_of(lowered(F.col("text"))).alias("words"))
+    seeds = split.select("doc_id", F.inline(F.concat(*[_seeds(F.col("words"), length, "position") for length in held or [_SEED]])))
+    hits = seeds.join(places, "seed").select("doc_id", "item", (F.col("position") - F.col("place")).alias("shift"), F.explode(F.sequence(
+        F.greatest(F.lit(0), F.col("place") + F.col("length") - F.col("n")), F.least(F.col("place"), F.col("of") - F.col("n")))).alias("start"))
+    aligned = hits.groupBy("doc_id", "item", "shift").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    return aligned.join(wanted, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "starts", "n", "edits", "words")).alias("near_candidates"))
+
+
+def _distance(wanted: Column, n: Column, span: Column) -> Column:
+    """The least number of words changed, inserted or deleted between wanted and any run of words within span."""
+    def column(held: Column, word: Column) -> Column:
+        step = lambda built, i: F.concat(built, F.array(F.least(
+            F.get(held, i - 1) + F.when(F.get(wanted, i - 1) == word, 0).otherwise(1), F.get(held, i) + 1, F.get(built, i - 1) + 1)))
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), step)
+
+    def read(state: Column, word: Column) -> Column:
+        # the new column is made once and read twice
+        made = F.transform(F.array(column(state["held"], word)), lambda c: F.struct(c.alias("held"), F.least(state["best"], F.get(c, n)).alias("best")))
+        return F.get(made, F.lit(0))
+
+    first = F.struct(F.sequence(F.lit(0), n).alias("held"), n.alias("best"))
+    return F.aggregate(span, first, read, lambda state: state["best"])
+
+
+def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, near: float | None = 0.8) -> DataFrame:
     """doc_id, n_words, phrases and near_phrases of every row of documents.
 
-    phrases and near_phrases list (start, words, item_id): windows of items found word for word,
-    and windows with at least the share ``near`` of their words, among them the two rarest, in place.
+    phrases and near_phrases list (start, words, item_id): windows of items found word for word, and
+    windows that keep at least the share ``near`` of their words where the others are changed, inserted
+    or deleted.  The start of the latter is where a whole part of the window puts it, so a match with
+    an insertion or deletion is listed at each such place.  Without ``near`` they are not looked for.
     """
     docs = documents.select("doc_id", "text")
     items = settle(item_windows(benchmark, window), "items")
-    joined = docs.join(candidates(docs, items), "doc_id", "left").select("doc_id", "candidates", words_of(lowered(F.col("text"))).alias("words"))
+    both = candidates(docs, items)
+    if near is not None:
+        both = both.join(near_candidates(docs, items, window, near), "doc_id", "full")
+    joined = docs.join(both, "doc_id", "left").select(*both.columns, words_of(lowered(F.col("text"))).alias("words"))
 
     def found(candidate: Column) -> Column:
         own = lambda start: F.slice(F.col("words"), candidate["shift"] + start + 1, candidate["n"])
         wanted = lambda start: F.slice(candidate["words"], start + 1, candidate["n"])
-        equal = lambda start: F.size(F.filter(F.zip_with(own(start), wanted(start), lambda a, b: a.eqNullSafe(b)), lambda same: same))
         return F.transform(candidate["starts"], lambda start: F.struct(
             (candidate["shift"] + start).alias("start"), candidate["n"].alias("words"), candidate["item_id"].alias("item_id"),
-            (own(start) == wanted(start)).alias("exact"), equal(start).alias("equal")))
+            (own(start) == wanted(start)).alias("exact")))
 
     all_found = F.flatten(F.transform(F.coalesce("candidates", F.array().cast(joined.schema["candidates"].dataType)), found))
-    looked = joined.select("doc_id", F.size("words").cast("long").alias("n_words"), all_found.alias("found"))
     plain = lambda m: F.struct(m["start"].alias("start"), m["words"].alias("words"), m["item_id"].alias("item_id"))
-    return looked.select(
-        "doc_id", "n_words", F.array_distinct(F.transform(F.filter("found", lambda m: m["exact"]), plain)).alias("phrases"),
-        F.array_distinct(F.transform(F.filter("found", lambda m: ~m["exact"] & (m["equal"] >= m["words"] * near)), plain)).alias("near_phrases"))
+
+    def around(candidate: Column) -> Column:
+        def span(start: Column) -> Column:
+            place = candidate["shift"] + start
+            first = F.greatest(F.lit(0), place - candidate["edits"])
+            return F.slice(F.col("words"), first + 1, place + candidate["n"] + candidate["edits"] - first)
+        return F.transform(candidate["starts"], lambda start: F.struct(
+            (candidate["shift"] + start).alias("start"), candidate["n"].alias("words"), candidate["item_id"].alias("item_id"), candidate["edits"].alias("edits"),
+            F.slice(candidate["words"], start + 1, candidate["n"]).alias("wanted"), span(start).alias("span")))
+
+    phrases = F.array_distinct(F.transform(F.filter(all_found, lambda m: m["exact"]), plain))
+    if near is None:
+        near_phrases = F.array().cast("array<struct<start: int, words: int, item_id: string>>")
+    else:
+        rough = F.flatten(F.transform(F.coalesce("near_candidates", F.array().cast(joined.schema["near_candidates"].dataType)), around))
+        shared = lambda m: F.size(F.filter(m["wanted"], lambda w: F.array_contains(m["span"], w)))
+        likely = F.filter(rough, lambda m: shared(m) >= m["words"] - m["edits"])
+        measured = F.transform(likely, lambda m: F.struct(
+            m["start"].alias("start"), m["words"].alias("words"), m["item_id"].alias("item_id"), m["edits"].alias("edits"), _distance(m["wanted"], m["words"], m["span"]).alias("distance")))
+        near_phrases = F.array_sort(F.array_distinct(F.transform(F.filter(measured, lambda m: (m["distance"] > 0) & (m["distance"] <= m["edits"])), plain)))
+    return joined.select("doc_id", F.size("words").cast("long").alias("n_words"), phrases.alias("phrases"), near_phrases.alias("near_phrases"))
 
 
 def _covered(phrases: Column) -> Column:
@@ -108,14 +189,15 @@ def _covered(phrases: Column) -> Column:
     return F.aggregate(spans, zero, step)["sum"]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, near: float = 0.8) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, near: float | None = 0.8) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near of every row.
 
     Words: A-Z lower-cased, runs of digits, letters and characters beyond ASCII.  An item of fewer
     words than ``window`` is one window; one without words is none.  A word inside any occurrence of
     a window is hit.  Null and empty texts have no words.  Items without item_id hit words but are
     not listed; equal items are all listed.  Rows with one doc_id are judged each by their own
-    text.  Rows without doc_id are not looked up: they have no hits.
+    text.  Rows without doc_id are not looked up: they have no hits.  n_near counts the proximity
+    matches that ``matches`` lists; it is 0 if ``near`` is None.
     """
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("phrases", lambda m: m["item_id"]), lambda i: i.isNotNull())))
     found = matches(documents, benchmark, window, near).select(

@@ -43,6 +43,22 @@ def test_proximity_matches(spark, docs):
     assert found[2] == (1, 0) and found[3] == (0, 0) and found[1][0] == 0
 
 
+def test_proximity_matches_whatever_word_differs(spark, docs):
+    item = [f"rare{i}" for i in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "five short words are here"), (3, "a b c")], "item_id long, text string")
+    changed = {i: " ".join(item[:i] + ["other"] + item[i + 1 :]) for i in range(10)}  # each word of document 50 is rarer than in it
+    rows = [*changed.items(), (20, "x y " + " ".join(item[:4] + ["new"] + item[4:])), (21, " ".join(item[:4] + item[5:])), (22, " ".join(item[:2] + ["p"] + item[3:7] + ["q"] + item[8:])),
+            (23, " ".join(item[:2] + ["p"] + item[3:5] + ["q"] + item[6:8] + ["r"] + item[9:])), (24, " ".join(item)), (25, "five short other are here"), (26, "five words are here"),
+            (27, " ".join(item[::-1])), (28, "a b"), (50, "rare3 " * 5)]
+    got = {r["doc_id"]: r for r in matches(docs(rows), bench).collect()}
+    near = {i: [(m["words"], m["item_id"]) for m in r["near_phrases"]] for i, r in got.items()}
+    assert all((10, "1") in near[i] for i in (*range(10), 20, 21, 22)) and all((5, "2") in near[i] for i in (25, 26))
+    assert all(near[i] == [] for i in (23, 24, 27, 28, 50)) and len(got[24]["phrases"]) == 1
+    assert [m["start"] for m in got[3]["near_phrases"]] == [0] and {m["start"] for m in got[20]["near_phrases"]} == {2, 3}
+    counted = {r["doc_id"]: r["n_near"] for r in contamination(docs(rows), bench).collect()}
+    assert counted == {i: len(r["near_phrases"]) for i, r in got.items()}
+
+
 def test_repeats_edge_cases(docs):
     passage = prose(4, 60)
     rows = [(5, passage), (3, prose(5, 30) + "\n" + passage + "\t" + prose(6, 30)), (9, prose(7, 9) + " " + " ".join(passage.split()[10:22])), (10, " ".join(passage.split()[10:23])),
