@@ -653,10 +653,8 @@ def h3_bound_expressions(spark, folder):
         "code", "subject", "explanation", "checked")
 
 
-@query
-def h4_presence_required(spark, folder):
-    """Vendors that state a governing law only as an observation, only for a scope, or not at all, among others."""
-    rows = views(spark, folder, 1).filter(D.LAWLESS.replace("qualifier", "scope"))
+def _presence(spark, folder, run: int):
+    rows = views(spark, folder, run).filter(D.LAWLESS.replace("qualifier", "scope"))
     listed = [(f"HAS-{i}", i, term) for i, term in enumerate(("governing_law", "hourly_rate", "audit_rights", "invoice_rate"))]
     from pyspark.sql import Row
     wanted = [Row(ruleset_id="r", position=i, code=code, kind="presence_required", predicate=term, description="Must be stated",
@@ -664,6 +662,18 @@ def h4_presence_required(spark, folder):
     return rules.evaluate_rules(reconcile.reconcile(rows), wanted).select("code", "subject", "explanation", "severity")
 
 
+@query
+def h4_presence_required(spark, folder):
+    """Vendors that state a governing law only as an observation, only for a scope, or not at all, among others."""
+    return _presence(spark, folder, 1)
+
+
+@query
+def h4_whole_presence_required(spark, folder):
+    """The same over all documents."""
+    return _presence(spark, folder, 2)
+
+
 @query
 def h2_part_playbook(spark, folder):
     """A playbook with a rule for every part."""
@@ -701,9 +711,20 @@ def _evidence(spark, folder):
     )
 
 
-def _verification(spark, folder):
-    claims = claims_of(spark, folder, 1)
-    citations = citations_of(spark, folder, 1).filter(~publish.section_ref("section_key").startswith("00"))
+def _whole_evidence(spark, folder):
+    """Every fact tied to its passage, none tampered with."""
+    facts = fact_table(spark, folder)
+    passage = F.concat(F.lit("The "), F.replace("predicate", F.lit("_"), F.lit(" ")), F.lit(" is "), F.col("value_raw"), F.lit("."))
+    return (
+        facts.select("fact_id", "predicate", "value_raw", "document_id", "effective_date", F.col("fact_id").alias("chunk_id")),
+        facts.select(F.col("fact_id").alias("chunk_id"), passage.alias("text")),
+        D.derive(spark, folder, D.CONTRACTS),
+    )
+
+
+def _verification(spark, folder, run: int = 1):
+    claims = claims_of(spark, folder, run)
+    citations = citations_of(spark, folder, run).filter(~publish.section_ref("section_key").startswith("00"))
     return claims, citations, verify.verify_run(claims, citations, *_evidence(spark, folder))
 
 
@@ -713,6 +734,21 @@ def i1_verify_run(spark, folder):
     return failures.select("section_key", "fact_id", "reason", "detail")
 
 
+@query
+def i1_verify_whole_run(spark, folder):
+    """The claims of all documents against the damaged evidence."""
+    _, _, failures = _verification(spark, folder, 2)
+    return failures.select("section_key", "fact_id", "reason", "detail")
+
+
+@query
+def i2_whole_value_present(spark, folder):
+    """Every value against its passage, with no fact or passage gone."""
+    facts, chunks, _ = _whole_evidence(spark, folder)
+    return facts.join(chunks, "chunk_id").select(
+        "fact_id", verify.value_present(F.col("value_raw"), F.col("text")).alias("present"))
+
+
 @query
 def i2_value_present(spark, folder):
     """Every cited value against its passage."""
@@ -726,6 +762,11 @@ def i3_verification_summary(spark, folder):
     return verify.verification_summary(*_verification(spark, folder))
 
 
+@query
+def i3_whole_verification_summary(spark, folder):
+    return verify.verification_summary(*_verification(spark, folder, 2))
+
+
 # --- changes ----------------------------------------------------------------------------------------
 
 
@@ -819,16 +860,26 @@ def l1_deliverable(spark, folder):
     return sections
 
 
-@query
-def l2_provenance(spark, folder):
-    facts, chunks, docs = _evidence(spark, folder)
+def _provenance(spark, folder, run: int, evidence):
+    facts, chunks, docs = evidence
     return reports.provenance(
-        claims_of(spark, folder, 1), citations_of(spark, folder, 1), facts.withColumn("confidence", F.lit(0.9)),
+        claims_of(spark, folder, run), citations_of(spark, folder, run), facts.withColumn("confidence", F.lit(0.9)),
         docs, chunks.withColumn("char_start", F.lit(0)).withColumn("char_end", F.length("text")),
     ).select("section_key", "fact_id", "claim", "document", "document_kind",
              T.iso("effective_date").alias("effective_date"), "passage", "char_end")
 
 
+@query
+def l2_provenance(spark, folder):
+    return _provenance(spark, folder, 1, _evidence(spark, folder))
+
+
+@query
+def l2_whole_provenance(spark, folder):
+    """Every citation of all documents."""
+    return _provenance(spark, folder, 2, _whole_evidence(spark, folder))
+
+
 @query
 def l3_list_runs(spark, folder):
     return reports.list_runs(D.derive(spark, folder, D.RUN_LOG)).select(

@@ -759,3 +759,22 @@ REFERENCE_SQL = {
     "n1_diff_snapshot": f"WITH {DIFFED} SELECT name, state FROM states WHERE state IS NOT NULL",
     "n1_is_triggered": f"WITH {DIFFED} SELECT count(*) FILTER (WHERE state IN ('added', 'modified')) > 0 AS triggered FROM states",
 }
+
+# The same over all documents and, for I2 and L2, undamaged evidence: statements of their own.
+WHOLE_EVIDENCE = f"""{PLANNED}, {CONTRACTS},
+ev AS (SELECT fact_id, document_id, effective_date, value_raw, 'The ' || replace(predicate, '_', ' ') || ' is ' || value_raw || '.' AS passage FROM fv)"""
+RUN2_EVIDENCE = f"{PLANNED}, {CONTRACTS}," + EVIDENCE[EVIDENCE.index("\nev AS"):].replace("part1", "part2").replace("FROM sec1", "FROM ver2")
+REFERENCE_SQL |= {
+    "h4_whole_presence_required": REFERENCE_SQL["h4_presence_required"].replace(register(1, D.LAWLESS), register(2, D.LAWLESS)).replace("res1", "res2"),
+    "i1_verify_whole_run": f"{RUN2_EVIDENCE} SELECT section_key, fact_id, reason, detail FROM failed WHERE reason IS NOT NULL",
+    "i2_whole_value_present": f"{WHOLE_EVIDENCE} SELECT fact_id, true AS present FROM ev",
+    "i3_whole_verification_summary": f"""{RUN2_EVIDENCE} SELECT (SELECT count(*) FROM ver2) AS claims_checked,
+      (SELECT count(*) FROM part2 WHERE substr(sha256(section_key), 1, 2) <> '00') AS citations_checked,
+      (SELECT count(*) FROM failed WHERE reason IS NOT NULL) AS failures,
+      (SELECT count(*) FROM failed WHERE reason IS NOT NULL) = 0 AS passed""",
+    "l2_whole_provenance": f"""{WHOLE_EVIDENCE} SELECT p.section_key, p.fact_id, c.claim,
+      CASE WHEN e.document_id % 2 = 1 THEN 'order-' || e.document_id || '.md' ELSE 'order_' || e.document_id || '.txt' END AS document,
+      d.kind AS document_kind, strftime(e.effective_date, '%Y-%m-%d') AS effective_date, e.passage, length(e.passage) AS char_end
+      FROM part2 p JOIN (SELECT section_key, {CLAIM} AS claim FROM ver2) c ON c.section_key = p.section_key
+      JOIN ev e ON e.fact_id = p.fact_id JOIN doc d ON d.document_id = e.document_id""",
+}
