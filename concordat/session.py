@@ -52,6 +52,11 @@ def _own_folder(spark: SparkSession, base: str) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name below this session's part of the shared checkpoint folder."""
+    return f"{_own_folder(spark, ensure_checkpoint_dir(spark))}/{uuid.uuid4().hex[:12]}-{name}"
+
+
 def settle(rows: DataFrame, name: str = "rows") -> DataFrame:
     """Write rows to the shared checkpoint folder as Parquet and read them back.
 
@@ -59,7 +64,6 @@ def settle(rows: DataFrame, name: str = "rows") -> DataFrame:
     loss of executors, and later stages prune columns and know its size.
     """
     spark = rows.sparkSession
-    own = _own_folder(spark, ensure_checkpoint_dir(spark))
-    folder = f"{own}/{uuid.uuid4().hex[:12]}-{name}"
+    folder = shared_folder(spark, name)
     rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
