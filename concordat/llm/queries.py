@@ -15,6 +15,7 @@ from concordat.llm.substring_dedup import remove_repeats
 from concordat.llm.token_counts import token_counts
 from concordat.llm.topk import top_k
 from concordat.llm.url_filter import judge_urls
+from concordat.llm.warc import archive_pages
 
 #: Verdict, then host and path of a rule.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -73,6 +74,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op1_proximity": op1_proximity,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op13_warc": op13_warc,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FOLDED_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -125,4 +132,13 @@ SQL: dict[str, str] = {
         removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_warc": """
+        WITH whole AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        named AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last_id FROM whole)
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id <> last_id OR (page_id IS NULL AND last_id IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> last_id OR (page_id IS NULL AND last_id IS NOT NULL) THEN last_id END AS refers_to
+        FROM named""",
 }
