@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -65,3 +66,39 @@ def one_thread() -> None:
     """Spark runs a task per core; libraries inside a task take no further threads."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
+
+
+def joined_sha256(rows: DataFrame, keys: list[str], piece: str, separator: str, name: str) -> DataFrame:
+    """SHA-256 of the pieces of every key, joined by the separator, as lowercase hex.
+
+    Rows must lie together by key and in order within their partitions, as repartition and
+    sortWithinPartitions leave them.  SHA-256 takes its input in order, so a key's pieces pass one
+    task; it holds a batch of them at most.
+    """
+    schema = pa.schema([(k, _ARROW[rows.schema[k].dataType.simpleString()]) for k in keys] + [(name, pa.string())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = digest = None
+        for batch in batches:
+            done = []
+            for *one, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if digest is None or one != key:
+                    if digest is not None:
+                        done.append((*key, digest.hexdigest()))
+                    key, digest = one, hashlib.sha256()
+                else:
+                    digest.update(separator.encode())
+                digest.update(text.encode())
+            yield _columns(done, schema)
+        if digest is not None:
+            yield _columns([(*key, digest.hexdigest())], schema)
+
+    fields = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.select(*keys, piece).mapInArrow(hashed, ", ".join([*fields, f"{name} string"]))
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)

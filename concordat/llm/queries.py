@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.llm import language_id, toxicity
-from concordat.llm.common import held_out, table, tokenizer_file
+from concordat.llm.common import held_out, joined_sha256, table, tokenizer_file
+from concordat.llm.conversation_repair import damage, plan_repairs, repaired_turns
 from concordat.llm.decontamination import contamination
 from concordat.llm.html_text import extract_main_text
 from concordat.llm.near_dedup import near_duplicate_classes
@@ -16,6 +17,7 @@ from concordat.llm.token_counts import token_counts
 from concordat.llm.topk import top_k
 from concordat.llm.url_filter import judge_urls
 from concordat.llm.warc import archive_pages
+from concordat.session import settle
 
 #: Verdict, then host and path of a rule.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -74,6 +76,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damage(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    plans = settle(plan_repairs(rows), "repairs")
+    lines = repaired_turns(rows, plans).select(F.col("conv_id").alias("of"), F.concat("role", F.lit(":"), "text").alias("line"))
+    hashed = joined_sha256(lines, ["of"], "line", "\n", "repaired_sha256")
+    both = plans.join(hashed, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    return both.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -91,6 +102,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_warc": op13_warc,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
