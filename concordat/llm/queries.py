@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concordat.llm import language_id, toxicity
 from concordat.llm.common import held_out, joined_sha256, table, tokenizer_file
 from concordat.llm.conversation_repair import damage, plan_repairs, repaired_turns
+from concordat.llm.conversation_trie import rebuilt, trie, turns_of
 from concordat.llm.decontamination import contamination
 from concordat.llm.html_text import extract_main_text
 from concordat.llm.near_dedup import near_duplicate_classes
@@ -85,6 +86,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    turns, lengths = rebuilt(turns_of(conversations), 20, lambda conv_id: F.crc32(conv_id.cast("string")) % 4)
+    return trie(turns, lengths)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -103,6 +110,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_warc": op13_warc,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -9,6 +9,7 @@ import re
 import pytest
 
 from concordat.llm import conversation_repair as repair
+from concordat.llm import conversation_trie as trie
 from concordat.llm.common import joined_sha256
 from concordat.llm.queries import QUERIES
 
@@ -150,3 +151,68 @@ def test_joined_digest(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k long, t string").repartition("k").sortWithinPartitions("k", "t")
     got = {r["k"]: r["d"] for r in joined_sha256(rows, ["k"], "t", ",", "d").collect()}
     assert got == {k: hashlib.sha256(t).hexdigest() for k, t in ((1, b"a,b"), (None, b"c"))}
+
+
+# prefix trie
+
+
+def plain_trie(given_rows):
+    own = {}
+    for c in {r[0] for r in given_rows if r[0] is not None}:
+        own[c] = [r[2:] for r in in_order([(i, t, role or "", text or "") for i, t, role, text in given_rows if i == c])]
+    whole = {}
+    for c, turns in own.items():
+        h = binascii.crc32(str(c).encode()) % 4
+        whole[c] = tuple(own.get(c - (c % 20 if c >= 0 else -(-c % 20)), [])[:h] + turns[h:])
+    nodes = {}
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(turns[:d], []).append(c)
+    below = {n: [m for m in nodes if m[: len(n)] == n] for n in nodes} if len(nodes) < 3000 else None
+    children, leaves, saved = {n: 0 for n in nodes}, {n: 0 for n in nodes}, {n: 0 for n in nodes}
+    for n in nodes:
+        if n:
+            children[n[:-1]] += 1
+    if below is not None:
+        for n, own_below in below.items():
+            leaves[n] = sum(not children[m] for m in own_below)
+            saved[n] = sum((len(nodes[m]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", m[-1][1])) for m in own_below if m)
+    ends = {n: hashlib.sha256(",".join(str(c) for c in sorted(m) if whole[c] == n).encode()).hexdigest() for n, m in nodes.items()}
+    return sorted((min(m), len(n), min(nodes[n[:-1]]) if n else None, len(m), children[n], leaves[n], saved[n], ends[n]) for n, m in nodes.items())
+
+
+def found_trie(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
+def trie_of(frame):
+    import pyspark.sql.functions as F
+
+    return trie.trie(*trie.rebuilt(trie.turns_of(frame), 20, lambda c: F.crc32(c.cast("string")) % 4))
+
+
+def test_trie_of_odd_conversations(spark):
+    rng = random.Random(3)
+    rows = [(None, 1, "user", "x"), (-7, 1, "user", "neg"), (-20, 1, "user", "base"), (-20, 2, None, None), (0, None, "user", "first"), (0, None, None, "x y"), (1, 5, "user", "first"), (500, -3, "user", " ")]
+    for c in range(20, 70):
+        rows += [(c, t if rng.random() < 0.9 else None, rng.choice(["user", "assistant"]), rng.choice(["a", "b c", "d  e f"])) for t in range(rng.randrange(6))]
+    for c in range(100, 106):  # deep ones with a long common start
+        rows += [(c, t, "user" if t % 2 else "assistant", f"{t if t < 21 + c % 3 * 6 else c} w") for t in range(45)]
+    rows += [(200, t, "user", "same") for t in (1, 1, 1, 2)]
+    frame = spark.createDataFrame([(*r, "k", "c", "a") for r in rows], TURN)
+    assert found_trie(trie_of(frame)) == plain_trie(rows)
+    few = [r for r in rows if r[0] in (-7, 24)]
+    assert found_trie(trie_of(frame.where("conv_id in (-7, 24)"))) == plain_trie(few)
+    assert found_trie(trie_of(frame.where("conv_id = 999"))) == [] and found_trie(trie_of(frame.where("conv_id is null"))) == []
+
+
+def test_numbers_in_blocks(spark):
+    """Long conversations, and turns without number, are numbered in blocks."""
+    rows = [(1, None if t % 3 == 0 else t * 7, "user", f"{t}") for t in range(5000)]
+    got = trie.numbered(trie.turns_of(spark.createDataFrame([(*r, "k", "c", "a") for r in rows], TURN))).collect()
+    order = {hashlib.md5(f"{len(r[2])}:{r[2]}{r[3]}".encode()).hexdigest(): i + 1 for i, r in enumerate(in_order(rows))}
+    assert {r["said"]: r["place"] for r in got} == order
+
+
+def test_trie_query(spark):
+    assert found_trie(QUERIES["op12_conversation_trie"](spark, FOLDER)) == plain_trie(given(spark, FOLDER))
