@@ -19,11 +19,11 @@ def member(value: Column | str, half: int) -> Column:
     return F.conv(digits, 16, 10).cast("decimal(20,0)")
 
 
+def digest_of(count: Column | str, *sums: Column | str) -> Column:
+    """The fingerprint from a count and the sums of members' halves: `<count>:<sum>:<sum>`."""
+    return F.concat_ws(":", *[col(c).cast("string") for c in (count, *sums)])
+
+
 def set_digest(value: Column | str) -> Column:
-    """Aggregate: `<count>:<sum of first halves>:<sum of second halves>`."""
-    return F.concat_ws(
-        ":",
-        F.count(col(value)).cast("string"),
-        F.coalesce(F.sum(member(value, 0)), F.lit(0)).cast("string"),
-        F.coalesce(F.sum(member(value, 1)), F.lit(0)).cast("string"),
-    )
+    """Aggregate: the fingerprint of a set."""
+    return digest_of(F.count(col(value)), *[F.coalesce(F.sum(member(value, half)), F.lit(0)) for half in (0, 1)])

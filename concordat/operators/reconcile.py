@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from concordat.fixed_values import ENGAGEMENT_KINDS
 from concordat.functions import text as T
 from concordat.functions import values as V
-from concordat.functions.digests import set_digest
+from concordat.functions.digests import digest_of, member
 from concordat.functions.vocabulary import governed_term, governs, precedence
 
 GROUP = ["subject_key", "predicate", "scope_id"]
@@ -28,6 +28,10 @@ FACT_FIELDS = ["fact_id", "fact_seq", "subject", "value_raw", "magnitude", "unit
                "effective_date", "document_id", "document_kind"]
 
 
+#: What a group's state holds besides its key.
+STATE = ["governing", "rank", "n_governing", "n_observed", "digest_0", "digest_1"]
+
+
 def with_keys(facts: DataFrame) -> DataFrame:
     """Identity, rank and magnitude columns for facts already in context.
 
@@ -74,42 +78,77 @@ def fact_views(facts: DataFrame, documents: DataFrame) -> DataFrame:
     return with_keys(joined.drop("_vendor", "_kind", "_date", "uri"))
 
 
-def display_names(views: DataFrame) -> DataFrame:
-    """D3: one spelling per vendor; governing documents count double."""
-    shouted = (F.upper("subject") == F.col("subject")) & (F.lower("subject") != F.col("subject"))
-    spellings = views.groupBy("subject_key", "subject").agg(
-        F.sum(F.when(F.col("governs"), 2).otherwise(1)).alias("weight")
+def spellings(views: DataFrame) -> DataFrame:
+    """How often each spelling of a vendor is used; governing documents count double.  Weights add up."""
+    return views.groupBy("subject_key", "subject").agg(
+        F.sum(F.when(F.col("governs"), 2).otherwise(1)).cast("bigint").alias("weight")
     )
-    return spellings.groupBy("subject_key").agg(
+
+
+def merge_spellings(weights: DataFrame) -> DataFrame:
+    merged = weights.groupBy("subject_key", "subject").agg(F.sum("weight").alias("weight"))
+    return merged.filter("weight > 0")
+
+
+def best_spellings(weights: DataFrame) -> DataFrame:
+    """D3: one spelling per vendor."""
+    shouted = (F.upper("subject") == F.col("subject")) & (F.lower("subject") != F.col("subject"))
+    return weights.groupBy("subject_key").agg(
         F.max_by("subject", F.struct("weight", (~shouted).alias("calm"), "subject")).alias("vendor")
     )
 
 
+def display_names(views: DataFrame) -> DataFrame:
+    """D3: one spelling per vendor; governing documents count double."""
+    return best_spellings(spellings(views))
+
+
 def rank_order(date: str = "effective_date") -> Column:
     """Later date wins, then the weightier kind, then the later statement."""
     return F.struct(F.coalesce(date, earliest()).alias("on"), F.col("precedence"), F.col("fact_seq"))
 
 
-def reconcile(views: DataFrame) -> DataFrame:
-    """One row per group with its governing fact and the make-up of the rest."""
+def group_states(views: DataFrame) -> DataFrame:
+    """One state per group, which merges with others: the governing fact, its rank, counts, digest sums."""
     fact = F.struct(*FACT_FIELDS)
-    groups = views.groupBy(*GROUP).agg(
+    return views.groupBy(*GROUP).agg(
         F.max_by(F.when(F.col("governs"), fact), F.when(F.col("governs"), rank_order()))
         .alias("governing"),
+        F.max(F.when(F.col("governs"), rank_order())).alias("rank"),
         F.count_if("governs").alias("n_governing"),
         F.count_if(~F.col("governs")).alias("n_observed"),
-        set_digest("fact_id").alias("fact_digest"),
+        *[F.coalesce(F.sum(member("fact_id", i)), F.lit(0)).cast("decimal(38,0)").alias(f"digest_{i}") for i in (0, 1)],
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of parts of the facts -> states of all of them."""
+    return states.groupBy(*GROUP).agg(
+        F.max_by("governing", "rank").alias("governing"), F.max("rank").alias("rank"),
+        F.sum("n_governing").alias("n_governing"), F.sum("n_observed").alias("n_observed"),
+        *[F.sum(f"digest_{i}").cast("decimal(38,0)").alias(f"digest_{i}") for i in (0, 1)],
     )
+
+
+def resolve(states: DataFrame, names: DataFrame) -> DataFrame:
+    """D4 of states and weighted spellings."""
     return (
-        groups.withColumn("scope_key", T.none_if_empty("scope_id"))
+        states.withColumn("scope_key", T.none_if_empty("scope_id"))
         .withColumn("section_key", F.concat_ws("::", "subject_key", "predicate", "scope_key"))
         .withColumn("status", F.when(F.col("governing").isNull(), "unsupported").otherwise("agreed"))
         .withColumn("n_superseded", F.greatest(F.col("n_governing") - 1, F.lit(0)))
         .withColumn("n_facts", F.col("n_governing") + F.col("n_observed"))
-        .join(display_names(views), "subject_key")
+        .withColumn("fact_digest", digest_of("n_facts", "digest_0", "digest_1"))
+        .drop("rank", "digest_0", "digest_1")
+        .join(best_spellings(names), "subject_key")
     )
 
 
+def reconcile(views: DataFrame) -> DataFrame:
+    """One row per group with its governing fact and the make-up of the rest."""
+    return resolve(group_states(views), spellings(views))
+
+
 def contributions(views: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Every fact with its section and role.
 

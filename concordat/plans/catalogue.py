@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from concordat.functions import text as T
 from concordat.functions.values import number_text
 from concordat.operators import adjudicate, changes, classify, compose, conflicts, enrich, extract
-from concordat.operators import ingest, publish, reconcile, reports, review, rules, verify
+from concordat.operators import ingest, maintain, publish, reconcile, reports, review, rules, verify
 from concordat.plans import driver_tables as D
 from concordat.session import settle
 from concordat.sources import inbox, tables
@@ -399,6 +399,46 @@ def d4_reconcile(spark, folder):
         "status", "n_superseded", "n_observed")
 
 
+def _before_batch(whole: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts a register held, those that came, those that left) for a batch in which every tenth document is new.
+
+    Another tenth was there, read as ten years younger, and is read anew; so the register after the
+    batch is that of all facts.
+    """
+    came = whole.filter("document_id % 10 IN (0, 1)")
+    gone = whole.filter("document_id % 10 = 1").withColumn("effective_date", F.date_add("effective_date", 3650))
+    return whole.filter("document_id % 10 NOT IN (0, 1)").unionByName(gone), came, gone
+
+
+def _touched(whole: DataFrame, came: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    groups = settle(maintain.touched_groups(came, gone), "groups")
+    return groups, maintain.facts_of_groups(whole.withColumn("bucket", maintain.bucket()), groups)
+
+
+@query
+def n3_maintained_states(spark, folder):
+    whole = views(spark, folder)
+    held, came, gone = _before_batch(whole)
+    states, names = settle(reconcile.group_states(held), "states"), settle(reconcile.spellings(held), "names")
+    _, touched = _touched(whole, came, gone)
+    kept = maintain.maintain_states(states, came, gone, touched).filter("n_governing + n_observed > 0")
+    g = F.col("governing")
+    return reconcile.resolve(kept, maintain.maintain_spellings(names, came, gone)).select(
+        "section_key", "vendor", "predicate", "scope_key", g["fact_id"].alias("governing_fact_id"),
+        g["value_raw"].alias("value"), number_text(g["magnitude"]).alias("magnitude"), g["unit"].alias("unit"),
+        T.iso(g["effective_date"]).alias("effective_date"), g["document_kind"].alias("source_kind"),
+        "status", "n_superseded", "n_observed")
+
+
+@query
+def n3_maintained_candidates(spark, folder):
+    whole = views(spark, folder)
+    held, came, gone = _before_batch(whole)
+    groups, touched = _touched(whole, came, gone)
+    found = maintain.maintain_candidates(settle(conflicts.detect(held), "held"), groups, touched, came, gone)
+    return found.select(*_PAIR, "a_value", "b_value", "a_kind", "b_kind", T.iso("a_date").alias("a_date"), T.iso("b_date").alias("b_date"))
+
+
 @query
 def d4_contributions(spark, folder):
     v = views(spark, folder)

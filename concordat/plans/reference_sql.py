@@ -778,3 +778,6 @@ REFERENCE_SQL |= {
       FROM part2 p JOIN (SELECT section_key, {CLAIM} AS claim FROM ver2) c ON c.section_key = p.section_key
       JOIN ev e ON e.fact_id = p.fact_id JOIN doc d ON d.document_id = e.document_id""",
 }
+# A register that is maintained ends where one built anew does.
+REFERENCE_SQL["n3_maintained_states"] = REFERENCE_SQL["d4_reconcile"]
+REFERENCE_SQL["n3_maintained_candidates"] = REFERENCE_SQL["e5_detect"]

@@ -8,6 +8,7 @@ once more under the same id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -20,8 +21,9 @@ from concordat.fixed_values import CLASSIFY_THRESHOLD, DOCUMENT_KINDS
 from concordat.functions import text as T
 from concordat.functions.numbering import with_index
 from concordat.functions.values import parse_date
+from concordat.functions.vocabulary import governed_term
 from concordat.operators import adjudicate, changes, classify, compose, conflicts, extract
-from concordat.operators import ingest, reconcile, reports, review, rules, verify
+from concordat.operators import ingest, maintain, reconcile, reports, review, rules, verify
 from concordat.session import settle
 from concordat.sources.rules import standard_rules
 from concordat.sources.tables import Tables
@@ -133,8 +135,8 @@ def answer_escalations(tables: Tables, corpus: str, answers: DataFrame) -> None:
 
 
 def extract_facts(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answer: Responder,
-                  version: str) -> None:
-    """Store the facts of documents not yet read by this extractor, and the findings on them."""
+                  version: str) -> tuple[DataFrame, DataFrame]:
+    """Store the facts of documents not yet read by this extractor, and the findings on them: (documents read now, their facts)."""
     documents = documents_with_kinds(tables, corpus).join(ids, "document_id", "left_semi")
     pending, _ = extract.pending_documents(documents, _of_corpus(tables, "facts", corpus), version)
     pending = settle(pending, "pending")
@@ -162,15 +164,84 @@ def extract_facts(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answ
               for part in found]
     _keep_findings(tables, corpus, run_id, reduce(DataFrame.unionByName, staged))
     tables.append_new(rows, "facts", ["corpus", "fact_id"], "fact_id", corpus)
+    return pending, rows
 
 
-def compose_register(tables: Tables, corpus: str, run_id: str, parent: str | None, views: DataFrame,
-                     resolutions: DataFrame, version: str) -> DataFrame:
+@dataclass(frozen=True)
+class Maintained:
+    """The register's facts after a batch; touched holds the facts of the groups it touched, groups their keys."""
+
+    resolutions: DataFrame
+    candidates: DataFrame
+    touched: DataFrame
+    groups: DataFrame
+    present: DataFrame
+
+
+def _facts_of(tables: Tables, corpus: str, documents: DataFrame, version: str, read_now: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Facts of documents: those this run has read are at hand; stored ones are looked up only for the rest."""
+    pending, rows = read_now
+    at_hand = rows.select(*[f.name for f in tables.schema("facts")]).join(documents.select("document_id"), "document_id", "left_semi")
+    others = documents.select("document_id").join(pending.select("document_id"), "document_id", "left_anti")
+    if others.isEmpty():
+        return at_hand
+    stored = _of_corpus(tables, "facts", corpus).filter(F.col("extractor_version") == version)
+    return at_hand.unionByName(stored.join(others, "document_id", "left_semi"))
+
+
+def maintain_register(tables: Tables, corpus: str, run_id: str, parent: str | None, documents: DataFrame,
+                      version: str, read_now: tuple[DataFrame, DataFrame]) -> Maintained:
+    """What the parent run knew of groups and contradictions, brought up to date with the documents of this run.
+
+    A document counts anew when what is known about it (kind, vendor, date, name, extractor) differs from
+    the parent run.  A run without parent finds every document new, so it is the same work.
+    """
+    before = lambda name: (tables.read(name, corpus, parent) if parent
+                           else tables.spark.createDataFrame([], tables.schema(name)))
+    about = F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("\t")) for c in ("kind", "vendor", "document_date", "uri")], F.lit(version))
+    now, earlier = documents.select("document_id", F.sha2(about, 256).alias("signature")), before("run_documents")
+    if parent and earlier.isEmpty():
+        return maintain_register(tables, corpus, run_id, None, documents, version, read_now)
+    changed = settle(maintain.document_changes(now, earlier), "changes")
+    of_state = lambda state: changed.filter(F.col("state") == state).select("document_id")
+    batch = f"{run_id}-{uuid.uuid4().hex[:8]}"  # a run that is repeated leaves alone what others refer to
+    arrived = settle(documents.join(of_state("came"), "document_id", "left_semi"), "came_documents")
+    views = reconcile.fact_views(_facts_of(tables, corpus, arrived, version, read_now).drop("unit"), arrived)
+    came = tables.write_batch(views.select(*maintain.VIEW).withColumn("bucket", maintain.bucket()), "fact_views", corpus, batch, "bucket")
+    standing = earlier.join(of_state("standing"), "document_id", "left_semi").select("document_id", "signature", "batch")
+    fresh = now.join(of_state("came"), "document_id", "left_semi").withColumn("batch", F.lit(batch))
+    present = tables.write_run(standing.unionByName(fresh), "run_documents", corpus, run_id).select("document_id", "batch")
+
+    stored = _of_corpus(tables, "fact_views", corpus)
+    left = earlier.join(of_state("gone"), "document_id", "left_semi").select("document_id", "batch")
+    gone = None if left.isEmpty() else settle(stored.join(left, ["document_id", "batch"], "left_semi"), "gone")
+    groups = settle(maintain.touched_groups(came, *([] if gone is None else [gone])), "groups")
+    touched = settle(maintain.facts_of_groups(stored, groups).join(present, ["document_id", "batch"], "left_semi"), "touched")
+    states = tables.write_run(maintain.maintain_states(before("group_states"), came, gone, touched).filter("n_governing + n_observed > 0"),
+                              "group_states", corpus, run_id)
+    names = tables.write_run(maintain.maintain_spellings(before("vendor_spellings"), came, gone), "vendor_spellings", corpus, run_id)
+    return Maintained(
+        settle(reconcile.resolve(states, names), "resolutions"),
+        maintain.maintain_candidates(before("candidates"), groups, touched, came, gone), touched, groups, present)
+
+
+def _facts_to_compose(tables: Tables, corpus: str, due: DataFrame, known: Maintained) -> DataFrame:
+    """Facts of the sections to compose: those of touched groups, unless older logic made other sections due too."""
+    of_due = due.select("subject_key", governed_term("predicate").alias("governed_predicate"), "scope_id").distinct()
+    if of_due.join(known.groups, reconcile.TERM_GROUP, "left_anti").isEmpty():
+        return known.touched
+    wanted = settle(of_due.withColumn("bucket", maintain.bucket()), "due_groups")
+    facts = maintain.facts_of_groups(_of_corpus(tables, "fact_views", corpus), wanted)
+    return facts.join(known.present, ["document_id", "batch"], "left_semi")
+
+
+def compose_register(tables: Tables, corpus: str, run_id: str, parent: str | None, known: Maintained, version: str) -> DataFrame:
     """Write this run's versions, parts, claims and citations."""
     before = lambda name: (tables.read(name, corpus, parent) if parent
                            else tables.spark.createDataFrame([], tables.schema(name)))
-    plan = settle(compose.plan_recomposition(resolutions, before("section_versions"), version), "plan")
-    due = settle(compose.rederived(resolutions, plan), "due")
+    plan = settle(compose.plan_recomposition(known.resolutions, before("section_versions"), version), "plan")
+    due = settle(compose.rederived(known.resolutions, plan), "due")
+    views = _facts_to_compose(tables, corpus, due, known)
     versions = tables.write_run(compose.apply_plan(plan, compose.section_plans(views, due), run_id, version),
                                 "section_versions", corpus, run_id)
     carried = versions.filter("carried_forward")
@@ -180,7 +251,7 @@ def compose_register(tables: Tables, corpus: str, run_id: str, parent: str | Non
     tables.write_run(parts.unionByName(kept), "section_parts", corpus, run_id)
     claims = tables.write_run(compose.claims_for(versions, before("claims")), "claims", corpus, run_id)
     cited = compose.citations_for(
-        claims, versions, compose.section_facts(views, resolutions), before("citations"))
+        claims, versions, compose.section_facts(views, due), before("citations"))
     tables.write_run(cited, "citations", corpus, run_id)
     return versions
 
@@ -188,9 +259,9 @@ def compose_register(tables: Tables, corpus: str, run_id: str, parent: str | Non
 # --- the run -------------------------------------------------------------------------
 
 
-def previous_run_of(tables: Tables, corpus: str) -> str | None:
-    row = reports.list_runs(
-        tables.read("runs", corpus).filter(F.col("status") == "completed"), 1).select("run_id").first()
+def previous_run_of(tables: Tables, corpus: str, other_than: str = "") -> str | None:
+    completed = tables.read("runs", corpus).filter((F.col("status") == "completed") & (F.col("run_id") != other_than))
+    row = reports.list_runs(completed, 1).select("run_id").first()
     return row.run_id if row else None
 
 
@@ -209,7 +280,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
     """
     spark = tables.spark
     started = datetime.now(timezone.utc).replace(tzinfo=None)
-    parent = previous_run_of(tables, corpus)
+    parent = previous_run_of(tables, corpus, run_id)
     note = lambda status, **more: _record(tables, corpus, run_id, parent_run_id=parent, status=status,
                                           started_at=started, **more)
     note("running", current_stage="ingest")
@@ -225,17 +296,13 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
         return RunResult(run_id, "awaiting_classification")
 
     note("running", current_stage="extract")
-    extract_facts(tables, corpus, run_id, ids, extractor, extractor_version)
+    read_now = extract_facts(tables, corpus, run_id, ids, extractor, extractor_version)
 
     documents = documents_with_kinds(tables, corpus)
-    facts = _of_corpus(tables, "facts", corpus).filter(F.col("extractor_version") == extractor_version)
-    if not include_retained:
-        facts = facts.join(ids, "document_id", "left_semi")
-    views = settle(reconcile.fact_views(facts.drop("unit"), documents), "views")
-    resolutions = settle(reconcile.reconcile(views), "resolutions")
-
+    counted = documents if include_retained else documents.join(ids, "document_id", "left_semi")
     note("running", current_stage="detect")
-    found = tables.write_run(adjudicate.batch_candidates(conflicts.detect(views)), "candidates", corpus, run_id)
+    known = maintain_register(tables, corpus, run_id, parent, counted, extractor_version, read_now)
+    found = tables.write_run(adjudicate.batch_candidates(known.candidates), "candidates", corpus, run_id)
     skipped, judged_findings = (), _no_findings(spark).withColumn("a_fact_id", F.lit("")).withColumn(
         "b_fact_id", F.lit("")).withColumn("kind", F.lit(""))
     if found.isEmpty():
@@ -244,19 +311,19 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
     else:
         answers = judge(conflicts.with_direction(found)) if judge else spark.createDataFrame([], "batch_id bigint, response_text string")
         judged = settle(adjudicate.check_explanations(adjudicate.apply_verdicts(found, answers)), "judged")
-        known = _of_corpus(tables, "conflicts", corpus).filter(F.col("run_id") != run_id)
-        new, judged_findings, _ = adjudicate.merge_conflicts(judged, known)
+        settled = _of_corpus(tables, "conflicts", corpus).filter(F.col("run_id") != run_id)
+        new, judged_findings, _ = adjudicate.merge_conflicts(judged, settled)
         judged_findings = settle(judged_findings, "judged_findings")
         tables.write_run(new, "conflicts", corpus, run_id)
 
     note("running", current_stage="compose")
-    versions = compose_register(tables, corpus, run_id, parent, views, resolutions, composer_version)
+    versions = compose_register(tables, corpus, run_id, parent, known, composer_version)
 
     note("running", current_stage="examine")
     try:
         applied = rules.load_rules(spark.createDataFrame(playbook, rules.RULES)) if playbook is not None \
             else standard_rules()
-        broken = rules.rule_findings(rules.link_sections(rules.evaluate_rules(resolutions, applied), versions))
+        broken = rules.rule_findings(rules.link_sections(rules.evaluate_rules(known.resolutions, applied), versions))
     except rules.RulesRefused as refused:
         broken = rules.refused_finding(spark, str(refused)).withColumn("code", F.lit("")).withColumn(
             "subject_key", F.lit(""))

@@ -20,6 +20,23 @@ SCHEMAS = {
         "effective_date date, confidence double, char_start int, char_end int, "
         "not_comparable_reason string, extractor_version string, corpus string"
     ),
+    # Facts in context, by the batch in which they came and a hash of their group.
+    "fact_views": (
+        "fact_id string, fact_seq bigint, document_id string, predicate string, subject string, "
+        "value_raw string, effective_date date, document_kind string, subject_key string, "
+        "scope_key string, scope_id string, precedence int, governs boolean, governed_predicate string, "
+        "magnitude decimal(18,6), unit string, corpus string, batch string, bucket int"
+    ),
+    # Which documents a run rests on, and the batch that holds their facts.
+    "run_documents": "document_id string, signature string, batch string, corpus string, run_id string",
+    "group_states": (
+        "subject_key string, predicate string, scope_id string, "
+        "governing struct<fact_id:string,fact_seq:bigint,subject:string,value_raw:string,magnitude:decimal(18,6),"
+        "unit:string,effective_date:date,document_id:string,document_kind:string>, "
+        "rank struct<on:date,precedence:int,fact_seq:bigint>, n_governing bigint, n_observed bigint, "
+        "digest_0 decimal(38,0), digest_1 decimal(38,0), corpus string, run_id string"
+    ),
+    "vendor_spellings": "subject_key string, subject string, weight bigint, corpus string, run_id string",
     "section_versions": (
         "version_id string, section_key string, content string, content_hash string, "
         "fact_digest string, composer_version string, carried_forward boolean, "

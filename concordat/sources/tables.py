@@ -60,9 +60,9 @@ class Tables:
     def _shaped(self, rows: DataFrame, name: str) -> DataFrame:
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(name)])
 
-    def _partition(self, name: str, corpus: str, run_id: str) -> str:
+    def _partition(self, name: str, corpus: str, value: str, column: str = "run_id") -> str:
         escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        return f"{self.path(name)}/corpus={escape(corpus)}/run_id={escape(run_id)}"
+        return f"{self.path(name)}/corpus={escape(corpus)}/{column}={escape(value)}"
 
     def write_run(self, rows: DataFrame, name: str, corpus: str, run_id: str) -> DataFrame:
         """A3: replace the partition of one run.
@@ -75,6 +75,13 @@ class Tables:
         shaped.drop(*RUN).write.mode("overwrite").parquet(self._partition(name, corpus, run_id))
         return self.read(name, corpus, run_id)
 
+    def write_batch(self, rows: DataFrame, name: str, corpus: str, batch: str, by: str) -> DataFrame:
+        """Store rows under a batch name of their own, by the values of one column; hot values are split."""
+        shaped = self._shaped(rows.withColumn("corpus", F.lit(corpus)).withColumn("batch", F.lit(batch)), name)
+        folder = self._partition(name, corpus, batch, "batch")
+        shaped.drop("corpus", "batch").hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(folder)
+        return self.read(name, corpus).filter(F.col("batch") == batch)
+
     def append_new(self, rows: DataFrame, name: str, keys: list[str], order: str, corpus: str) -> None:
         """A4: append the rows of a corpus whose key is new; only that corpus is read."""
         shaped = self._shaped(new_rows(rows, self.read(name, corpus), keys, order), name)

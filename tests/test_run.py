@@ -86,6 +86,54 @@ def test_one_amendment_moves_one_section(history):
     assert not any("[PAY-01]" in r.explanation for r in tables.read("findings", "c", "r3").collect())
 
 
+def as_built_anew(tables, run, of_run):
+    """States, spellings and candidates of a run, and the same from all facts of its documents."""
+    present = tables.read("run_documents", "c", run).select("document_id")
+    facts = tables.read("facts", "c").join(present, "document_id", "left_semi").drop("unit")
+    views = R.reconcile.fact_views(facts, R.documents_with_kinds(tables, "c"))
+    whole = {"group_states": R.reconcile.group_states(views), "vendor_spellings": R.reconcile.spellings(views),
+             "candidates": R.conflicts.detect(views).select(*R.conflicts.CANDIDATE)}
+    for name, frame in whole.items():
+        stored = tables.read(name, "c", run)
+        assert bag(stored.select(*frame.columns)) == bag(frame.select(*[F.col(c).cast(stored.schema[c].dataType).alias(c) for c in frame.columns])), (of_run, name)
+
+
+def test_maintained_register_equals_one_built_anew(spark, history, tmp_path):
+    tables, inbox, _, _ = history
+    for run in ("r1", "r2", "r3"):
+        as_built_anew(tables, run, run)
+    # The second amendment came as one batch; nothing else was put in context again.
+    batches = {r.batch: r.n for r in tables.read("fact_views", "c").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert sorted(b.split("-")[0] for b in batches) == ["r1", "r3"] and [n for b, n in batches.items() if b.startswith("r3")] == [1]
+
+
+def test_documents_that_leave_or_change(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "tables"))
+    inbox = write(tmp_path / "inbox", {**LETTERS, "change-2.md": AMENDMENT_2})
+    calls, _, _ = options(spark)
+    R.start_run(tables, "c", "r1", scan_documents(spark, inbox), **calls)
+    commit_all(spark, tables, "r1")
+    (tmp_path / "inbox" / "change-1.md").unlink()
+    R.start_run(tables, "c", "r2", scan_documents(spark, inbox), **calls)
+    commit_all(spark, tables, "r2")
+    as_built_anew(tables, "r2", "without an amendment")
+    assert '"value":"$100.00 per hour"' in tables.read("section_versions", "c", "r2").filter("section_key = 'harbour works ltd::hourly_rate'").first().content
+    bill = tables.read("documents", "c").filter("uri LIKE '%bill-july.txt'").select("document_id", F.lit("amendment").alias("answer"))
+    R.answer_escalations(tables, "c", bill)
+    write(tmp_path / "inbox", {"change-1.md": LETTERS["change-1.md"]})
+    result = R.start_run(tables, "c", "r3", scan_documents(spark, inbox), **calls)
+    as_built_anew(tables, "r3", "an invoice that is an amendment, and a document that came back")
+    assert result.verification["failures"] == 0
+
+
+def test_only_partitions_of_touched_groups_are_read(spark, history):
+    tables, _, _, _ = history
+    stored = tables.read("fact_views", "c")
+    one = R.maintain.touched_groups(stored.filter("predicate = 'liability_cap'"))
+    plan = R.maintain.facts_of_groups(stored, one)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_commit_keeps_rejected_findings(history):
     tables, _, _, _ = history
     findings = tables.read("findings", "c", "r1").orderBy("finding_index").collect()
