@@ -117,7 +117,8 @@ def _strip(entries: DataFrame, turns: DataFrame) -> DataFrame:
     """
     named = entries.select(F.col("conv_id").alias("entry"), "ends", "stripped", F.col("n_convs").alias("here"), F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"))
     paths = settle(turns.join(named, (F.col("conv_id") == F.col("entry")) & (F.col("depth") <= F.col("ends"))).drop("conv_id"), "paths")
-    merged = paths.groupBy(*NODE).agg(F.min("entry").alias("conv_id"), F.sum("here").alias("n_convs"))
+    # written, so that the join with it is dealt anew and a node that many entries share can be split
+    merged = settle(paths.groupBy(*NODE).agg(F.min("entry").alias("conv_id"), F.sum("here").alias("n_convs")), "merged")
     shared = merged.select(*[F.col(c).alias(f"of_{c}") for c in NODE], "conv_id", "n_convs")
     both = paths.join(shared, [F.col(c) == F.col(f"of_{c}") for c in NODE])
     deep = Window.partitionBy("entry").orderBy(F.desc("depth"))
