@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import text as T
+from concordat.session import settle
 
 CACHE = ("cache_key string, stage string, model string, prompt_version string, "
          "response_text string, tokens_in int, tokens_out int")
@@ -72,6 +73,48 @@ def enrich_cached(
     return responses, fresh, hit_counts(marked)
 
 
+PREFIX = 2  # hex digits of a key that name its partition in the stored cache
+
+
+def key_prefix() -> Column:
+    return F.left("cache_key", F.lit(PREFIX))
+
+
+def keyed_requests(asked: DataFrame, by: str, stage: str, model: str, prompt_version: str) -> DataFrame:
+    """(`by`, cache_key): one key per request; the rows that share `by` are one request (a bounded batch)."""
+    columns = sorted(c for c in asked.columns if c != by)
+    rows = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    request = asked.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(rows)), "\n").alias("input"))
+    return request.withColumns({"model": F.lit(model), "prompt_version": F.lit(prompt_version), "stage": F.lit(stage)}).select(
+        by, request_key().alias("cache_key"))
+
+
+def ask_once(asked: DataFrame, keys: DataFrame, by: str, answer: Callable[[DataFrame], DataFrame],
+             known: Callable[[list[str]], DataFrame], keep: Callable[[DataFrame], None],
+             about: dict[str, str], at_once: int = 10_000) -> tuple[DataFrame, int, int]:
+    """C1 in front of a responder: ((`by`, response_text) for every request, requests, calls made).
+
+    ``known(prefixes)`` reads the stored answers of some key prefixes, ``keep`` appends answers, and
+    ``about`` holds their fixed columns.  Keys the store has are never asked.  The others are asked in rounds of about
+    ``at_once``, each appended before the next begins: what breaks off loses one round at most, and
+    a retried task or a replayed batch finds the keys of the rounds that were kept.  Requests
+    without an answer (NULL) are not kept and will be asked again.
+    """
+    firsts = keys.groupBy("cache_key").agg(F.min(by).alias(by))
+    prefixes = [r[0] for r in keys.select(key_prefix()).distinct().collect()]  # 16 ** PREFIX at most
+    missing = settle(firsts.join(known(prefixes).select("cache_key"), "cache_key", "left_anti"), "missing")
+    calls = missing.count()
+    rounds = -(-calls // at_once)
+    for i in range(rounds):
+        part = missing.filter(F.pmod(F.crc32("cache_key"), F.lit(rounds)) == i)
+        given = answer(asked.join(part.select(by), by, "left_semi")).join(part, by)
+        tokens = [(F.col(c) if c in given.columns else F.lit(None)).cast("int").alias(c) for c in ("tokens_in", "tokens_out")]
+        keep(given.filter(F.col("response_text").isNotNull()).select(
+            "cache_key", *[F.lit(v).alias(n) for n, v in about.items()], "response_text", *tokens))
+    stored = known(prefixes).select("cache_key", "response_text").dropDuplicates(["cache_key"])
+    return keys.join(stored, "cache_key", "left").select(by, "response_text"), keys.count(), calls
+
+
 def hit_counts(marked: DataFrame) -> DataFrame:
     return marked.groupBy("stage").agg(
         F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses")

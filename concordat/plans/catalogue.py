@@ -936,6 +936,18 @@ def l4_stage_costs(spark, folder):
         "cache_hits", "cache_misses")
 
 
+@query
+def l4_stored_metrics(spark, folder):
+    """The same from what runs meter of themselves: a stored row per stage and model."""
+    calls = D.derive(spark, folder, D.CALLS)
+    skipped = calls.groupBy("run_id").agg(F.count("*").alias("n")).filter("n % 2 = 0").select("run_id", F.lit("adjudicate").alias("stage"), F.lit("").alias("model"))
+    figures = ("tokens_in", "tokens_out", "cache_hits", "cache_misses")
+    rows = reports.metered(calls).unionByName(skipped.select("*", *[F.lit(0).cast("bigint").alias(c) for c in figures]))
+    return reports.run_costs(settle(rows, "stage_metrics")).select(
+        "run_id", "stage", "tokens_in", "tokens_out", F.col("cost_usd").cast("decimal(30,12)").cast("string").alias("cost_usd"),
+        "cache_hits", "cache_misses")
+
+
 @query
 def l5_mark_interrupted(spark, folder):
     return reports.mark_interrupted(D.derive(spark, folder, D.RUN_LOG)).select(

@@ -781,3 +781,5 @@ REFERENCE_SQL |= {
 # A register that is maintained ends where one built anew does.
 REFERENCE_SQL["n3_maintained_states"] = REFERENCE_SQL["d4_reconcile"]
 REFERENCE_SQL["n3_maintained_candidates"] = REFERENCE_SQL["e5_detect"]
+# Metrics that are stored add up to those of the calls.
+REFERENCE_SQL["l4_stored_metrics"] = REFERENCE_SQL["l4_stage_costs"]

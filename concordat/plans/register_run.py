@@ -22,11 +22,12 @@ from concordat.functions import text as T
 from concordat.functions.numbering import with_index
 from concordat.functions.values import parse_date
 from concordat.functions.vocabulary import governed_term
-from concordat.operators import adjudicate, changes, classify, compose, conflicts, extract
+from concordat.operators import adjudicate, changes, classify, compose, conflicts, enrich, extract
 from concordat.operators import ingest, maintain, reconcile, reports, review, rules, verify
+from concordat.plans.run_metrics import RunMetrics, Spent
 from concordat.session import settle
 from concordat.sources.rules import standard_rules
-from concordat.sources.tables import Tables
+from concordat.sources.tables import RUN, Tables
 
 Responder = Callable[[DataFrame], DataFrame]
 FACTS_PER_DOCUMENT = 1 << 20
@@ -98,18 +99,38 @@ def _texts(tables: Tables, corpus: str, documents: DataFrame) -> DataFrame:
     return documents.select("document_id", "uri").join(ingest.document_text(chunks), "document_id")
 
 
+def ask(tables: Tables, corpus: str, spent: Spent, asked: DataFrame, by: str, answer: Responder,
+        model: str, prompt_version: str) -> DataFrame:
+    """(`by`, response_text) for every request; only what the stored cache does not have is asked."""
+    asked = settle(asked, "asked")
+    keys = settle(enrich.keyed_requests(asked, by, spent.stage, model, prompt_version), "keys")
+
+    def keep(answers: DataFrame) -> None:
+        observed, seen = spent.observed(answers.withColumns({"corpus": F.lit(corpus), "prefix": enrich.key_prefix()}))
+        tables.append(observed, "response_cache", "corpus", "prefix")
+        spent.add(seen)
+
+    answers, requests, calls = enrich.ask_once(
+        asked, keys, by, answer, lambda prefixes: _of_corpus(tables, "response_cache", corpus).filter(F.col("prefix").isin(prefixes)),
+        keep, {"stage": spent.stage, "model": model, "prompt_version": prompt_version})
+    spent.model = model
+    spent.cache_hits, spent.cache_misses = spent.cache_hits + requests - calls, spent.cache_misses + calls
+    return answers
+
+
 def _keep_findings(tables: Tables, corpus: str, run_id: str, staged: DataFrame) -> None:
     rows = staged.withColumn("seen_in_run", F.lit(run_id)).withColumn("corpus", F.lit(corpus))
     tables.append_new(rows, "document_findings", ["corpus", "seen_in_run", "stage", "finding_key"], "finding_key", corpus)
 
 
 def classify_documents(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answer: Responder,
-                       threshold: float, organisation: str | None) -> None:
+                       threshold: float, organisation: str | None, spent: Spent, model: str, prompt_version: str) -> None:
     """Classify documents seen for the first time; doubtful ones stay without a kind."""
     documents = _of_corpus(tables, "documents", corpus).join(ids, "document_id", "left_semi")
     todo = documents.join(_of_corpus(tables, "document_kinds", corpus), "document_id", "left_anti")
-    texts = _texts(tables, corpus, todo)
-    parsed = classify.parse_classifications(answer(texts)).join(texts, "document_id")
+    texts = settle(_texts(tables, corpus, todo), "texts")
+    answers = ask(tables, corpus, spent, texts, "document_id", answer, model, prompt_version)
+    parsed = classify.parse_classifications(answers).join(texts, "document_id")
     judged = settle(parsed.withColumn(
         "reason", classify.escalation_reason(threshold, organisation)).drop("text", "text_at_offsets"), "classified")
     rows = judged.select(
@@ -135,13 +156,14 @@ def answer_escalations(tables: Tables, corpus: str, answers: DataFrame) -> None:
 
 
 def extract_facts(tables: Tables, corpus: str, run_id: str, ids: DataFrame, answer: Responder,
-                  version: str) -> tuple[DataFrame, DataFrame]:
+                  version: str, spent: Spent, model: str, prompt_version: str) -> tuple[DataFrame, DataFrame]:
     """Store the facts of documents not yet read by this extractor, and the findings on them: (documents read now, their facts)."""
     documents = documents_with_kinds(tables, corpus).join(ids, "document_id", "left_semi")
     pending, _ = extract.pending_documents(documents, _of_corpus(tables, "facts", corpus), version)
     pending = settle(pending, "pending")
     texts = _texts(tables, corpus, pending).drop("text").withColumnRenamed("text_at_offsets", "text")
-    responses = settle(extract.read_extractions(answer(texts).select("document_id", "response_text")), "responses")
+    answers = ask(tables, corpus, spent, texts, "document_id", answer, model, f"{version}/{prompt_version}")
+    responses = settle(extract.read_extractions(answers), "responses")
     facts, unquoted, spans, failed = extract.split_extractions(responses)
     chunks = _of_corpus(tables, "chunks", corpus).join(pending.select("document_id"), "document_id", "left_semi")
     cited, unresolved = extract.split_located(settle(extract.locate_quotes(facts, chunks), "located"))
@@ -270,25 +292,30 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
               playbook: list | None = None, threshold: float = CLASSIFY_THRESHOLD,
               organisation: str | None = None, include_retained: bool = False,
               extractor_version: str = extract.EXTRACTOR_VERSION,
-              composer_version: str = compose.COMPOSER_VERSION) -> RunResult:
+              composer_version: str = compose.COMPOSER_VERSION,
+              model: str = "", prompt_version: str = "1") -> RunResult:
     """Bring the register of a corpus up to date with the documents that are there.
 
     `arrived` holds all documents present (uri, sha256, text, arrival).  The responders
     map (document_id, uri, text) to (document_id, response_text), and candidates to
     (batch_id, response_text).  Documents known by content are neither classified nor
-    extracted again, and sections whose facts stand are copied.
+    extracted again, and sections whose facts stand are copied.  All three are asked through
+    the stored cache: ``model`` and ``prompt_version`` say when an answer no longer holds.
     """
     spark = tables.spark
     started = datetime.now(timezone.utc).replace(tzinfo=None)
     parent = previous_run_of(tables, corpus, run_id)
     note = lambda status, **more: _record(tables, corpus, run_id, parent_run_id=parent, status=status,
                                           started_at=started, **more)
+    metrics = RunMetrics(tables, corpus, run_id)
     note("running", current_stage="ingest")
-    ids, skipped_files = ingest_documents(tables, corpus, arrived)
-    ids = settle(ids, "ids")
+    with metrics.stage("ingest"):
+        ids, skipped_files = ingest_documents(tables, corpus, arrived)
+        ids = settle(ids, "ids")
 
     note("running", current_stage="classify")
-    classify_documents(tables, corpus, run_id, ids, classifier, threshold, organisation)
+    with metrics.stage("classify") as spent:
+        classify_documents(tables, corpus, run_id, ids, classifier, threshold, organisation, spent, model, prompt_version)
     open_questions = documents_with_kinds(tables, corpus).join(ids, "document_id", "left_semi").filter(
         F.col("kind").isNull())
     if not open_questions.isEmpty():
@@ -296,43 +323,51 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
         return RunResult(run_id, "awaiting_classification")
 
     note("running", current_stage="extract")
-    read_now = extract_facts(tables, corpus, run_id, ids, extractor, extractor_version)
+    with metrics.stage("extract") as spent:
+        read_now = extract_facts(tables, corpus, run_id, ids, extractor, extractor_version, spent, model, prompt_version)
 
     documents = documents_with_kinds(tables, corpus)
     counted = documents if include_retained else documents.join(ids, "document_id", "left_semi")
     note("running", current_stage="detect")
-    known = maintain_register(tables, corpus, run_id, parent, counted, extractor_version, read_now)
-    found = tables.write_run(adjudicate.batch_candidates(known.candidates), "candidates", corpus, run_id)
+    with metrics.stage("detect"):
+        known = maintain_register(tables, corpus, run_id, parent, counted, extractor_version, read_now)
+        found = tables.write_run(adjudicate.batch_candidates(known.candidates), "candidates", corpus, run_id)
     skipped, judged_findings = (), _no_findings(spark).withColumn("a_fact_id", F.lit("")).withColumn(
         "b_fact_id", F.lit("")).withColumn("kind", F.lit(""))
     if found.isEmpty():
         skipped = ("adjudicate",)
         tables.write_run(spark.createDataFrame([], tables.schema("conflicts")), "conflicts", corpus, run_id)
     else:
-        answers = judge(conflicts.with_direction(found)) if judge else spark.createDataFrame([], "batch_id bigint, response_text string")
-        judged = settle(adjudicate.check_explanations(adjudicate.apply_verdicts(found, answers)), "judged")
-        settled = _of_corpus(tables, "conflicts", corpus).filter(F.col("run_id") != run_id)
-        new, judged_findings, _ = adjudicate.merge_conflicts(judged, settled)
-        judged_findings = settle(judged_findings, "judged_findings")
-        tables.write_run(new, "conflicts", corpus, run_id)
+        with metrics.stage("adjudicate") as spent:
+            asked = conflicts.with_direction(found).drop(*RUN)
+            answers = (ask(tables, corpus, spent, asked, "batch_id", judge, model, prompt_version) if judge
+                       else spark.createDataFrame([], "batch_id bigint, response_text string"))
+            judged = settle(adjudicate.check_explanations(adjudicate.apply_verdicts(found, answers)), "judged")
+            settled = _of_corpus(tables, "conflicts", corpus).filter(F.col("run_id") != run_id)
+            new, judged_findings, _ = adjudicate.merge_conflicts(judged, settled)
+            judged_findings = settle(judged_findings, "judged_findings")
+            tables.write_run(new, "conflicts", corpus, run_id)
 
     note("running", current_stage="compose")
-    versions = compose_register(tables, corpus, run_id, parent, known, composer_version)
+    with metrics.stage("compose"):
+        versions = compose_register(tables, corpus, run_id, parent, known, composer_version)
 
     note("running", current_stage="examine")
-    try:
-        applied = rules.load_rules(spark.createDataFrame(playbook, rules.RULES)) if playbook is not None \
-            else standard_rules()
-        broken = rules.rule_findings(rules.link_sections(rules.evaluate_rules(known.resolutions, applied), versions))
-    except rules.RulesRefused as refused:
-        broken = rules.refused_finding(spark, str(refused)).withColumn("code", F.lit("")).withColumn(
-            "subject_key", F.lit(""))
+    with metrics.stage("examine"):
+        try:
+            applied = rules.load_rules(spark.createDataFrame(playbook, rules.RULES)) if playbook is not None \
+                else standard_rules()
+            broken = settle(rules.rule_findings(rules.link_sections(rules.evaluate_rules(known.resolutions, applied), versions)), "broken")
+        except rules.RulesRefused as refused:
+            broken = rules.refused_finding(spark, str(refused)).withColumn("code", F.lit("")).withColumn(
+                "subject_key", F.lit(""))
 
     note("running", current_stage="verify")
-    claims, citations = tables.read("claims", corpus, run_id), tables.read("citations", corpus, run_id)
-    failures = settle(verify.verify_run(claims, citations, _of_corpus(tables, "facts", corpus),
-                                        _of_corpus(tables, "chunks", corpus), documents), "failures")
-    summary = verify.verification_summary(claims, citations, failures).first().asDict()
+    with metrics.stage("verify"):
+        claims, citations = tables.read("claims", corpus, run_id), tables.read("citations", corpus, run_id)
+        failures = settle(verify.verify_run(claims, citations, _of_corpus(tables, "facts", corpus),
+                                            _of_corpus(tables, "chunks", corpus), documents), "failures")
+        summary = verify.verification_summary(claims, citations, failures).first().asDict()
 
     stages = [
         review.staged(skipped_files, "ingest", "uri"),

@@ -76,6 +76,10 @@ SCHEMAS = {
     ),
     "response_cache": (
         "cache_key string, stage string, model string, prompt_version string, "
-        "response_text string, tokens_in int, tokens_out int, corpus string"
+        "response_text string, tokens_in int, tokens_out int, corpus string, prefix string"
+    ),
+    "stage_metrics": (
+        "stage string, model string, skipped boolean, seconds double, tokens_in bigint, tokens_out bigint, "
+        "cache_hits bigint, cache_misses bigint, corpus string, run_id string"
     ),
 }

@@ -82,6 +82,10 @@ class Tables:
         shaped.drop("corpus", "batch").hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(folder)
         return self.read(name, corpus).filter(F.col("batch") == batch)
 
+    def append(self, rows: DataFrame, name: str, *by: str) -> None:
+        """Append rows to the partitions named by some columns."""
+        self._shaped(rows, name).write.mode("append").partitionBy(*by).parquet(self.path(name))
+
     def append_new(self, rows: DataFrame, name: str, keys: list[str], order: str, corpus: str) -> None:
         """A4: append the rows of a corpus whose key is new; only that corpus is read."""
         shaped = self._shaped(new_rows(rows, self.read(name, corpus), keys, order), name)
