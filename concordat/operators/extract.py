@@ -15,7 +15,7 @@ from concordat.fixed_values import (
 from concordat.functions import text as T
 from concordat.functions import values as V
 from concordat.functions.vocabulary import lookup, term_allowed
-from concordat.operators.ingest import chunks_of_documents, text_at_offsets
+from concordat.operators import quotes
 
 EXTRACTOR_VERSION = "1"
 ITEM = ("struct<predicate:string,subject:string,value_raw:string,unit:string,effective_date:string,"
@@ -97,98 +97,9 @@ def parse_extractions(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataF
 # --- C9 -----------------------------------------------------------------------
 
 
-def _pattern(words: Column) -> Column:
-    """A regex for words (one blank between them) with any whitespace between them."""
-    literal = F.replace(words, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-    gap = F.lit(rf"\E{T.SPACE}+\Q")
-    return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(" "), gap), F.lit(r"\E"))
-
-
-def _read(rows: DataFrame, name: str) -> DataFrame:
-    """Array column `name` of (text, ...) structs -> each with its folded readings.
-
-    Column by column, so that every fold is computed once: as it stands, with ASCII
-    punctuation, without layout marks, and the last two with single blanks.
-    """
-    return (
-        rows.withColumn("text", F.transform(name, lambda c: c["text"]))
-        .withColumn("plain", F.transform("text", T.fold_typography))
-        .withColumn("bare", F.transform("plain", T.fold_markdown))
-        .withColumn("words", F.transform("plain", T.squash))
-        .withColumn("bare_words", F.transform("bare", T.squash))
-        .withColumn(name, F.arrays_zip(F.col(name).alias("at"), "text", "plain", "bare", "words", "bare_words"))
-        .drop("text", "plain", "bare", "words", "bare_words")
-    )
-
-
-def _holds(passage: Column, quote: Column) -> Column:
-    squashed = (quote["words"] != "") & passage["words"].contains(quote["words"])
-    bare = (quote["bare_words"] != "") & passage["bare_words"].contains(quote["bare_words"])
-    return (passage["text"].contains(quote["text"]) | passage["plain"].contains(quote["plain"])
-            | squashed | bare)
-
-
-def _span(passage: Column, quote: Column) -> Column:
-    """(offset, length) of a quote that the passage holds, by the strictest reading."""
-    def located(text: Column, part: Column) -> Column:
-        return F.struct((F.instr(text, part) - 1).alias("offset"), F.length(part).alias("length"))
-
-    def worded(text: Column, words: Column) -> Column:
-        return located(text, F.regexp_substr(text, _pattern(words)))
-
-    squashed = (quote["words"] != "") & passage["words"].contains(quote["words"])
-    return (
-        F.when(passage["text"].contains(quote["text"]), located(passage["text"], quote["text"]))
-        .when(passage["plain"].contains(quote["plain"]), located(passage["plain"], quote["plain"]))
-        .when(squashed, worded(passage["plain"], quote["words"]))
-        .otherwise(worded(passage["bare"], quote["bare_words"]))
-    )
-
-
-CHUNKS = "array<struct<ordinal:int,text:string,char_start:int,char_end:int>>"
-
-
 def locate_quotes(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Facts with char_start, char_end and chunk_ordinal, NULL where the quote is nowhere.
-
-    Each quote is searched for in the chunks of its document in order, and then in the
-    document as a whole.  A document meets its facts once, row against row: its text is
-    not repeated for every fact.
-    """
-    fact = F.struct(F.col("quote").alias("text"), F.struct(
-        *[c for c in facts.columns if c != "document_id"]).alias("fact"))
-    of_document = facts.groupBy("document_id").agg(F.collect_list(fact).alias("asked"))
-    met = of_document.join(chunks_of_documents(chunks), "document_id", "left").withColumn(
-        "chunks", F.coalesce("chunks", F.array().cast(CHUNKS)))
-    first = lambda asked: F.get(F.filter("chunks", lambda p: _holds(p, asked)), F.lit(0))
-    inside = _read(_read(met, "chunks"), "asked").withColumn(
-        "asked", F.transform("asked", lambda a: F.struct(
-            a["at"]["fact"].alias("fact"), a.alias("quote"), first(a).alias("inside"))))
-    # The document as a whole is read only where a quote was in none of its chunks.
-    missed = F.exists("asked", lambda a: a["inside"].isNull())
-    whole = F.struct(text_at_offsets(F.transform("chunks", lambda c: c["at"])).alias("text"))
-    tried = _read(
-        inside.withColumn("whole", F.when(missed, F.array(whole)).otherwise(F.array().cast("array<struct<text:string>>"))),
-        "whole")
-
-    def answer(a: Column) -> Column:
-        document = F.get("whole", F.lit(0))
-        in_chunk = F.struct(a["inside"]["at"]["char_start"].alias("base"), a["inside"]["at"]["ordinal"].alias("ordinal"),
-                            _span(a["inside"], a["quote"]).alias("span"))
-        across = F.struct(F.lit(0).alias("base"), F.lit(None).cast("int").alias("ordinal"),
-                          _span(document, a["quote"]).alias("span"))
-        return F.struct(a["fact"].alias("fact"), F.when(a["inside"].isNotNull(), in_chunk)
-                        .when(_holds(document, a["quote"]), across).alias("hit"))
-
-    found = tried.select(
-        "document_id", F.transform("chunks", lambda c: c["at"]).alias("chunks"),
-        F.explode_outer(F.transform("asked", answer)).alias("a"),
-    ).withColumn("char_start", F.col("a.hit.base") + F.col("a.hit.span.offset"))
-    holder = F.get(F.filter("chunks", lambda p: (p["char_start"] <= F.col("char_start")) & (F.col("char_start") < p["char_end"])), F.lit(0))
-    return found.select(
-        "document_id", "a.fact.*", "char_start", (F.col("char_start") + F.col("a.hit.span.length")).alias("char_end"),
-        F.coalesce("a.hit.ordinal", holder["ordinal"]).alias("chunk_ordinal"),
-    )
+    """Facts with char_start, char_end and chunk_ordinal, NULL where the quote is nowhere."""
+    return quotes.locate(facts, chunks)
 
 
 def split_located(located: DataFrame) -> tuple[DataFrame, DataFrame]:

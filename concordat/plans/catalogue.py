@@ -280,14 +280,16 @@ def c8_tidy_value(spark, folder):
 
 
 def _quotes(docs: DataFrame) -> DataFrame:
-    piece = T.strip(F.expr(f"substr(text, {D.QUOTE_START}, 40)"))
+    """Three quotes of each document, of one word to several lines: as they stand, misspelt, and written otherwise."""
+    docs = docs.select("document_id", "text", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
+    piece = T.strip(F.expr(f"substr(text, {D.QUOTE_START}, {D.QUOTE_LENGTH})"))
     quote = (
         F.when(F.col("document_id") % 5 == 0, F.concat(F.lit("zz"), piece))
         .when(F.col("document_id") % 7 == 0, F.translate(piece, "'-", "’–"))
         .when(F.col("document_id") % 11 == 0, F.regexp_replace(piece, "[ \n]+", " \n "))
         .otherwise(piece)
     )
-    return docs.select("document_id", quote.alias("quote")).filter(F.col("quote") != "")
+    return docs.select("document_id", quote.alias("quote")).filter(F.col("quote") != "").distinct()
 
 
 def _cited(docs: DataFrame) -> DataFrame:

@@ -56,8 +56,9 @@ UNION ALL
 SELECT fid + 4, ok, kind, subject, qualifier, odate, fid + 4, 'invoice_rate', money FROM named WHERE kind = 'invoice'
 """
 
-# Where a document's quote starts: anywhere in its text.
-QUOTE_START = "CAST(1 + (document_id * 7919 + 11) % greatest(length(text) - 39, 1) AS INT)"
+# Where a document's quotes start, anywhere in its text, and how long they are (k is 0, 1 or 2).
+QUOTE_START = "CAST(1 + (document_id * 7919 + 11 + k * 104729) % greatest(length(text) - 39, 1) AS INT)"
+QUOTE_LENGTH = "CAST(10 + k * 30 AS INT)"
 
 # Facts as they are, but for a governing law that three of four vendors lack: stated by no
 # governing document, only for scopes, or not at all.

@@ -303,8 +303,8 @@ asked AS (
     replace(regexp_escape(trim(regexp_replace({PLAIN('quote')}, '\\s+', ' ', 'g'))), '\\ ', '\\s+') AS pattern
   FROM (SELECT document_id, CASE WHEN document_id % 5 = 0 THEN 'zz' || p WHEN document_id % 7 = 0 THEN translate(p, '''-', '’–')
       WHEN document_id % 11 = 0 THEN regexp_replace(p, '[ ' || chr(10) || ']+', ' ' || chr(10) || ' ', 'g') ELSE p END AS quote
-    FROM (SELECT document_id, trim(substr(text, {D.QUOTE_START}, 40), {STRIP}) AS p FROM letter) x) y
-  WHERE quote <> ''),
+    FROM (SELECT document_id, trim(substr(text, {D.QUOTE_START}, {D.QUOTE_LENGTH}), {STRIP}) AS p FROM letter, (VALUES (0), (1), (2)) AS n(k)) x) y
+  WHERE quote <> '' GROUP BY document_id, quote),
 tried AS (
   SELECT a.document_id, a.quote, a.plain, a.pattern, s.ordinal, s.base, s.text
   FROM asked a JOIN (
@@ -317,12 +317,12 @@ hits AS (
   FROM tried),
 ranked AS (
   SELECT *, base + strpos(inside, found) - 1 AS char_start,
-    row_number() OVER (PARTITION BY document_id ORDER BY ordinal NULLS LAST) AS rn
+    row_number() OVER (PARTITION BY document_id, quote ORDER BY ordinal NULLS LAST) AS rn
   FROM hits WHERE found IS NOT NULL)"""
 CITED = """
 SELECT a.document_id, a.quote, r.char_start, r.char_start + length(r.found) AS char_end,
   coalesce(r.ordinal, c.ordinal) AS chunk_ordinal
-FROM asked a LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (document_id)
+FROM asked a LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (document_id, quote)
 LEFT JOIN chunk c ON c.document_id = a.document_id AND r.char_start >= c.char_start AND r.char_start < c.char_end"""
 
 NAME = "CASE WHEN document_id % 2 = 1 THEN 'order-' || document_id || '.md' ELSE 'order_' || document_id || '.txt' END"

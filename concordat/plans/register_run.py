@@ -50,7 +50,7 @@ def _record(tables: Tables, corpus: str, run_id: str, **columns) -> None:
     row = {"parent_run_id": None, "ended_at": None, "current_stage": None, "stage_detail": None, **columns}
     names = ["parent_run_id", "status", "started_at", "ended_at", "current_stage", "stage_detail"]
     schema = "parent_run_id string, status string, started_at timestamp, ended_at timestamp, current_stage string, stage_detail string"
-    frame = tables.spark.createDataFrame([tuple(row.get(n) for n in names)], schema)
+    frame = tables.spark.createDataFrame([tuple(row.get(n) for n in names)], schema).coalesce(1)
     tables.write_run(frame, "runs", corpus, run_id)
 
 

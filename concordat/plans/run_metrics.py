@@ -50,7 +50,7 @@ class RunMetrics:
     def store(self) -> None:
         schema = self.tables.schema("stage_metrics")
         rows = [{**asdict(s), "corpus": self.corpus, "run_id": self.run_id} for s in self.stages.values()]
-        self.tables.write_run(self.tables.spark.createDataFrame(rows, schema), "stage_metrics", self.corpus, self.run_id)
+        self.tables.write_run(self.tables.spark.createDataFrame(rows, schema).coalesce(1), "stage_metrics", self.corpus, self.run_id)
 
     @contextmanager
     def stage(self, name: str) -> Iterator[Spent]:

@@ -1,10 +1,16 @@
 """Chunks with true offsets, and quotes found in them."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from concordat.fixed_values import MARKDOWN_MARKS, TYPOGRAPHIC
 from concordat.operators import extract as X
 from concordat.operators import ingest as I
+from concordat.operators import quotes as Q
+from concordat.plans import register_run as R
 
 TEXT = "Title line\nsecond line\n\n\n  The rate’s $195 –\n  per hour. \n\n| Grade 3 | **$80** |\n> quoted ## words\n   \nend\n\n\t\n\nlast (x\\E) part"
 
@@ -84,3 +90,80 @@ def test_extraction_responses(spark):
     assert [(r.predicate, r.reason[:8]) for r in rejected.collect()] == [("annual_fees", "no quote")]
     assert [r.span for r in spans.collect()] == ["obey"]
     assert sorted(r.document_id for r in failed.collect()) == ["b", "c", "e"]
+
+
+def _plain(text):
+    return text.translate(str.maketrans(dict(TYPOGRAPHIC)))
+
+
+def _bare(text):
+    text = text.translate(str.maketrans(MARKDOWN_MARKS, " " * len(MARKDOWN_MARKS)))
+    return re.sub(r"(?m)^([ \t]*)([>#]+)", lambda m: m[1] + " " * len(m[2]), text)
+
+
+def _squash(text):
+    return re.sub(r"\s+", " ", text).strip(" ")
+
+
+def _found(passage, quote):
+    """(reading, offset, length) by the strictest reading."""
+    plain, asked = _plain(passage), _plain(quote)
+    for by, (inside, part) in enumerate([(passage, quote), (plain, asked)]):
+        if part in inside:
+            return by, inside.index(part), len(part)
+    for by, (inside, part) in enumerate([(plain, asked), (_bare(plain), _bare(asked))], 2):
+        if _squash(part) and _squash(part) in _squash(inside):
+            m = re.search(r"\s+".join(map(re.escape, _squash(part).split(" "))), inside)
+            return by, m.start(), m.end() - m.start()
+    return None
+
+
+def _located(parts, quote):
+    for ordinal, text, start, _ in parts:
+        hit = _found(text, quote)
+        if hit:
+            return start + hit[1], start + hit[1] + hit[2], ordinal
+    whole, at = "", 0
+    for _, text, start, end in parts:
+        whole, at = whole + "\n" * (start - at) + text, end
+    hit = _found(whole, quote)
+    if not hit:
+        return None, None, None
+    return hit[1], hit[1] + hit[2], next((o for o, _, a, b in parts if a <= hit[1] < b), None)
+
+
+def test_quotes_against_every_passage(spark):
+    """Anchors find what reading every passage for every quote finds."""
+    rng = random.Random(11)
+    words = ["a", "rate", "rate’s", "$195", "–", "**pay**", "|", "---", "> net", "## Head", "30", "days", "(x)", "é", "of the", "the"]
+    texts = {f"d{i}": "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "\n\n", "\n\n \n\n"]) for _ in range(rng.randrange(60))) for i in range(25)}
+    parts = {d: [] for d in texts}
+    frame = I.chunk_documents(spark.createDataFrame(list(texts.items()), "document_id string, text string"))
+    for c in frame.orderBy("ordinal").collect():
+        parts[c.document_id].append((c.ordinal, c.text, c.char_start, c.char_end))
+    facts = []
+    for d, text in texts.items():
+        for _ in range(12):
+            start = rng.randrange(max(len(text), 1))
+            quote = text[start:start + rng.choice([1, 4, 12, 40, 90])].strip()
+            change = rng.randrange(6)
+            quote = _plain(quote) if change == 0 else _squash(_bare(_plain(quote))) if change == 1 else re.sub(r"\s+", " \n ", quote) if change == 2 else quote + "zz" if change == 3 else quote
+            if quote.strip():
+                facts.append((d, len(facts), quote.strip()))
+    got = {r.n: (r.char_start, r.char_end, r.chunk_ordinal) for r in X.locate_quotes(spark.createDataFrame(facts, "document_id string, n int, quote string"), frame).collect()}
+    want = {n: _located(parts[d], q) for d, n, q in facts}
+    assert {n: (got[n], want[n], q, parts[d]) for d, n, q in facts if got[n] != want[n]} == {}
+
+
+def test_one_document_of_many_chunks_spreads_over_tasks(spark):
+    """Anchors, candidates and regions of a single document are dealt by more than the document."""
+    text = "\n\n".join(f"Paragraph {i} says that rate {i * 7} holds for site {i} only." for i in range(3000))
+    frame = R.settle(I.chunk_documents(documents(spark, text)))
+    asked = [("d", i, f"that rate {i * 7} holds for site {i}") for i in range(0, 3000, 3)] + [("d", 9000 + i, f"for site {i} only. Paragraph {i + 1} says") for i in range(0, 3000, 100)]
+    facts = spark.createDataFrame(asked + [("d", -1, "that rate 13 holds for site 2")], "document_id string, n int, quote string")
+    got = {r.n: r.chunk_ordinal for r in X.locate_quotes(facts, frame).collect()}
+    assert got == {n: (None if n < 0 else n if n < 9000 else n - 9000) for _, n, _ in facts.collect()}
+    # postings, the widest step, are keyed by document and seed: no task sees most of them
+    seeds = Q.chunk_index(frame)[1].repartition(8, "document_id", "seed")
+    sizes = [r.n for r in seeds.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 0.4 * sum(sizes)
