@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.fixed_values import ACRONYMS, RETAINED, UNIT_LABELS, WHITESPACE
@@ -92,32 +92,50 @@ def render_sections(versions: DataFrame, parts: DataFrame) -> DataFrame:
     return head.select(*keep).unionByName(middle.select(*keep)).unionByName(end.select(*keep))
 
 
-def _pieces(documents: DataFrame) -> DataFrame:
-    """One row per heading of a published document with the text under it."""
-    flat = F.regexp_replace(F.replace(F.col("text"), F.lit("\\"), F.lit("")), NEWLINE, "\n")
-    pieces = F.split(flat, f"\n(?={BLANK}*#)")
-    return (
-        documents.select("corpus", F.posexplode_outer(pieces).alias("position", "piece"))
-        .withColumn("heading", F.substring_index("piece", "\n", 1))
-        .filter(F.ltrim("heading", F.lit(WHITESPACE)).startswith("#"))
-        .withColumn("ref", T.none_if_empty(F.regexp_extract("heading", r"\[ref:([0-9a-f]{8})\]", 1)))
-        .filter(F.col("ref").isNotNull())
-    )
+LINES = 4096  # lines of a document in one block
 
 
-def parse_published(documents: DataFrame) -> DataFrame:
-    """M2: (corpus, ref, rev) of the sections a published document holds.
+def document_lines(documents: DataFrame) -> DataFrame:
+    """Published documents (corpus, text) as lines: corpus, block, number, line, starts.
 
-    Each document is taken apart within its row.  `rev` is empty where there is no mark.
+    A block is a run of lines that are looked at together; ``starts`` is false for a piece that goes on
+    with the line before it.
+    """
+    lines = documents.select("corpus", F.posexplode_outer(F.split("text", NEWLINE)).alias("number", "line"))
+    return lines.filter(F.col("line").isNotNull()).select(
+        "corpus", F.floor(F.col("number") / LINES).cast("bigint").alias("block"), "number", "line", F.lit(True).alias("starts"))
+
+
+def sectioned_lines(lines: DataFrame) -> DataFrame:
+    """Lines with the marker of the heading they stand under (ref, since), in two levels.
+
+    The last heading of each block is carried on over the blocks, and within a block from line to line; so
+    a document of any number of lines spreads by its blocks.  Under a heading without marker, ref is NULL.
+    """
+    read = lines.withColumn("line", F.replace("line", F.lit("\\"), F.lit("")))
+    heading = F.col("starts") & F.ltrim("line", F.lit(WHITESPACE)).startswith("#")
+    ref = T.none_if_empty(F.regexp_extract("line", r"\[ref:([0-9a-f]{8})\]", 1))
+    marked = read.withColumn("heading", heading).withColumn(
+        "mark", F.when(F.col("heading"), F.struct(ref.alias("ref"), F.struct("block", "number").alias("since"))))
+    over_blocks = Window.partitionBy("corpus").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy("corpus", "block").agg(F.max_by("mark", F.when(F.col("heading"), F.col("number"))).alias("last")).select(
+        "corpus", "block", F.last("last", ignorenulls=True).over(over_blocks).alias("_before"))
+    in_block = Window.partitionBy("corpus", "block").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    carried = marked.withColumn("_here", F.last("mark", ignorenulls=True).over(in_block)).join(before, ["corpus", "block"])
+    under = F.coalesce("_here", "_before")
+    return carried.select("corpus", "block", "number", "line", "heading", under["ref"].alias("ref"), under["since"].alias("since"))
+
+
+def parse_published(lines: DataFrame) -> DataFrame:
+    """M2: (corpus, ref, rev) of the sections a published document holds, from its lines.
+
+    `rev` is empty where there is no mark.
     """
-    body = F.substr("piece", F.length("heading") + 1)
     # A line counts with its first mark, a section with its last line.
-    revs = F.regexp_extract_all(body, F.lit(rf"·{BLANK}*rev{BLANK}+([0-9a-f]{{4,}})[^\n]*"), F.lit(1))
-    return (
-        _pieces(documents).withColumn("rev", F.try_element_at(revs, F.lit(-1)))
-        .groupBy("corpus", "ref")
-        .agg(F.coalesce(F.max_by("rev", F.when(F.col("rev").isNotNull(), F.col("position"))), F.lit("")).alias("rev"))
-    )
+    rev = T.none_if_empty(F.regexp_extract("line", rf"·{BLANK}*rev{BLANK}+([0-9a-f]{{4,}})", 1))
+    found = sectioned_lines(lines).filter(F.col("ref").isNotNull()).withColumn("rev", F.when(~F.col("heading"), rev))
+    return found.groupBy("corpus", "ref").agg(
+        F.coalesce(F.max_by("rev", F.when(F.col("rev").isNotNull(), F.struct("block", "number"))), F.lit("")).alias("rev"))
 
 
 def reconcile_published(sections: DataFrame, published: DataFrame) -> DataFrame:
@@ -163,21 +181,31 @@ def edit_list(diff: DataFrame, rendered: DataFrame) -> DataFrame:
     return removals.unionByName(writes)
 
 
-def verify_published(edited: DataFrame, documents: DataFrame) -> DataFrame:
+def verify_published(edited: DataFrame, lines: DataFrame) -> DataFrame:
     """M5: edited sections whose published body lacks their value.
 
-    edited: corpus, section_key, value.
+    edited: corpus, section_key, value.  Values are looked for line by line; only the sections of
+    values that have line breaks are put together.  Of several sections with one marker the first counts.
     """
-    bodies = _pieces(documents).groupBy("corpus", "ref").agg(F.min_by("piece", "position").alias("body"))
-    want = edited.select("corpus", "section_key", section_ref("section_key").alias("ref"), "value")
-    value = F.replace(F.col("value"), F.lit("\\"), F.lit(""))
+    under = sectioned_lines(lines).filter(F.col("ref").isNotNull())
+    want = edited.select("corpus", "section_key", section_ref("section_key").alias("ref"), "value",
+                         F.replace(F.col("value"), F.lit("\\"), F.lit("")).alias("_value"))
+    first = under.filter("heading").groupBy("corpus", "ref").agg(F.min("since").alias("since"))
+    asked = want.join(first, ["corpus", "ref"], "left")
+    here = asked.filter(F.col("since").isNotNull()).select("corpus", "ref", "since", "section_key", "_value")
+    met = under.select("corpus", "ref", "since", "block", "number", "line").join(here, ["corpus", "ref", "since"])
+    several = F.col("_value").contains("\n")
+    single = met.filter(~several & F.col("line").contains(F.col("_value"))).select("corpus", "section_key")
+    whole = met.filter(several).groupBy("corpus", "section_key", "_value").agg(F.array_sort(F.collect_list(F.struct("block", "number", "line"))).alias("lines"))
+    joined = whole.filter(F.array_join(F.transform("lines", lambda x: x["line"]), "\n").contains(F.col("_value"))).select("corpus", "section_key")
+    held = single.unionByName(joined).distinct().withColumn("_held", F.lit(True))
     error = (
-        F.when(F.col("body").isNull(), F.concat(
+        F.when(F.col("since").isNull(), F.concat(
             F.lit("no heading carrying [ref:"), "ref", F.lit("] in the document")))
-        .when(~F.col("body").contains(value), F.concat(
+        .when(F.col("_held").isNull() & F.col("value").isNotNull(), F.concat(
             F.lit("section "), "ref", F.lit(" does not contain its value "), T.quoted("value")))
     )
-    return want.join(bodies, ["corpus", "ref"], "left").select(
+    return asked.join(held, ["corpus", "section_key"], "left").select(
         "corpus", "section_key", error.alias("error")).filter(F.col("error").isNotNull())
 
 

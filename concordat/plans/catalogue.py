@@ -977,14 +977,21 @@ def _corpus() -> Column:
     return F.left(publish.section_ref("section_key"), F.lit(3))
 
 
+@stored
 @stored
 def _published(spark, folder):
-    """Documents as published after run 1, as an editing service might hand them back."""
-    page = _rendered(spark, folder, 1).groupBy(_corpus().alias("corpus")).agg(
-        F.array_sort(F.collect_list(F.struct("section_key", "part", "text"))).alias("s"))
-    body = F.array_join(F.transform("s", lambda x: F.concat(
-        F.when(x["part"] == "", "\r\n\r\n").otherwise(""), F.replace(x["text"], F.lit("_"), F.lit("\\_")))), "")
-    return page.select("corpus", F.concat(F.lit("# Register\n\nPreface · rev ffff\n"), body).alias("text"))
+    """Lines of the documents as published after run 1, as an editing service might hand them back.
+
+    A section's lines are one block, ordered by its parts; a part goes on with the line of the part before.
+    """
+    rendered = _rendered(spark, folder, 1).withColumn("corpus", _corpus())
+    text = F.replace(F.col("text"), F.lit("_"), F.lit("\\_"))
+    lines = rendered.select("corpus", F.col("section_key").alias("block"), "part", F.posexplode(F.split(text, "\n")).alias("at", "line")).select(
+        "corpus", "block", F.struct("part", "at").alias("number"), "line", ((F.col("at") > 0) | (F.col("part") == "")).alias("starts"))
+    preface = F.array(*[F.lit(x) for x in ("# Register", "", "Preface · rev ffff")])
+    top = rendered.select("corpus").distinct().select("corpus", F.lit("").alias("block"), F.posexplode(preface).alias("at", "line")).select(
+        "corpus", "block", F.struct(F.lit("").alias("part"), "at").alias("number"), "line", F.lit(True).alias("starts"))
+    return top.unionByName(lines)
 
 
 @query

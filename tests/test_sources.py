@@ -1,5 +1,9 @@
 """Files in, tables, files out."""
 
+import hashlib
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from concordat.operators import publish as P
@@ -67,7 +71,7 @@ def test_published_document_is_read_back(spark):
     text = ("# Register\r\n· rev aaaa\n### A [ref:00000001]\nx · rev 11111111*\n· rev 22222222 · rev 33333333\n"
             "## no ref\n· rev 44444444\n  ### B \\[ref:00000002\\] [ref:00000003]\nnothing\n### A again [ref:00000001]\nold\n")
     docs = spark.createDataFrame([("c", text)], "corpus string, text string")
-    assert sorted((r.ref, r.rev) for r in P.parse_published(docs).collect()) == [("00000001", "22222222"), ("00000002", "")]
+    assert sorted((r.ref, r.rev) for r in P.parse_published(P.document_lines(docs)).collect()) == [("00000001", "22222222"), ("00000002", "")]
 
 
 def test_edits_cannot_be_addressed_from_inside(spark):
@@ -81,3 +85,45 @@ def test_terms_are_labelled_for_people(spark):
     rows = spark.createDataFrame([(t,) for t in terms], "t string")
     assert [r[0] for r in rows.select(P.humanise_term(F.col("t"))).collect()] == [
         "Payment Terms (days)", "SLA Credit (%)", "Hourly Rate", "Days", "MSA ID", "", "A B"]
+
+
+def plainly_published(text):
+    """ref -> (rev of the last marked line, bodies in order), line by line."""
+    refs, ref = {}, None
+    for line in re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", text.replace("\\", "")):
+        if line.lstrip().startswith("#"):
+            ref = (re.findall(r"\[ref:([0-9a-f]{8})\]", line) or [None])[0]
+            if ref:
+                refs.setdefault(ref, ["", []])[1].append(line)
+        elif ref:
+            mark = re.search(r"·[ \t]*rev[ \t]+([0-9a-f]{4,})", line)
+            refs[ref] = [mark[1] if mark else refs[ref][0], [*refs[ref][1][:-1], refs[ref][1][-1] + "\n" + line]]
+    return refs
+
+
+def test_lines_of_long_documents(spark, monkeypatch):
+    """Headings carry over any number of lines and blocks; blocks of one document go to several tasks."""
+    monkeypatch.setattr(P, "LINES", 16)
+    rng = random.Random(4)
+    keys = [f"vendor {i}::term" for i in range(6)]
+    refs = [hashlib.sha256(k.encode()).hexdigest()[:8] for k in keys]
+    texts = {}
+    for corpus in ("a", "b", "c"):
+        lines = []
+        for _ in range(400):
+            lines.append(rng.choice(["text", "", f"### T [ref:{rng.choice(refs)}]", " ## no marker", "x · rev abcd12 · rev ffff", "*Status: agreed. · rev 12ab\\_*", "value 7 of", "two lines"])
+                         if rng.random() < 0.4 else "plain")
+        texts[corpus] = rng.choice(["\n", "\r\n", "\u2028"]).join(lines)
+    texts["none"] = ""
+    lines = P.document_lines(spark.createDataFrame([*texts.items(), ("null", None)], "corpus string, text string"))
+    want = {c: plainly_published(t) for c, t in texts.items()}
+    got = {(r.corpus, r.ref): r.rev for r in P.parse_published(lines).collect()}
+    assert got == {(c, ref): rev for c, refs_ in want.items() for ref, (rev, _) in refs_.items()}
+    assert lines.filter("corpus = 'a'").select("block").distinct().count() == 25
+    values = ["value 7", "value 7 of\ntwo lines", "absent", "plain\nplain", None]
+    edited = [(c, k, values[(i + j) % 5]) for i, c in enumerate(texts) for j, k in enumerate(keys)] + [("a", "gone::term", "x")]
+    errors = {(r.corpus, r.section_key): r.error for r in P.verify_published(spark.createDataFrame(edited, "corpus string, section_key string, value string"), lines).collect()}
+    for c, k, v in edited:
+        body = want[c].get(hashlib.sha256(k.encode()).hexdigest()[:8])
+        told = errors.get((c, k), "")
+        assert ("no heading" in told) == (body is None) and ("does not contain" in told) == (body is not None and v is not None and v not in body[1][0])
