@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.numbering import with_index
@@ -56,6 +56,35 @@ def prior_verdicts(pending: DataFrame, findings: DataFrame, decisions: DataFrame
     return pending.join(newest, "explanation", "left")
 
 
+def explanation_hash() -> Column:
+    return F.sha2(F.coalesce("explanation", F.lit("")), 256)
+
+
+def hash_prefix(name: str = "explanation_hash") -> Column:
+    """The partition of the verdict index that holds a hash."""
+    return F.left(name, F.lit(2))
+
+
+def verdict_rows(findings: DataFrame, log: DataFrame) -> DataFrame:
+    """What a commit adds to the verdict index: a row per decision (decision_id, finding_id, verdict, created_at)."""
+    rows = log.select("decision_id", "finding_id", "verdict", "created_at").join(
+        findings.select("finding_id", explanation_hash().alias("explanation_hash")), "finding_id")
+    return rows.drop("finding_id").withColumn("prefix", hash_prefix())
+
+
+def indexed_verdicts(pending: DataFrame, index: DataFrame) -> DataFrame:
+    """K3 by the index: `prior_verdict` is the newest verdict on the same explanation, from its hash alone."""
+    newest = index.groupBy("explanation_hash").agg(F.max_by("verdict", F.struct("created_at", "decision_id")).alias("prior_verdict"))
+    return pending.withColumn("explanation_hash", explanation_hash()).join(newest, "explanation_hash", "left").drop("explanation_hash")
+
+
+def carried_decisions(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions (finding_index, verdict) with the verdicts that carried findings had before, where none is given."""
+    before = findings.filter(F.col("prior_verdict").isNotNull()).select("finding_index", F.col("prior_verdict").alias("verdict"))
+    given = decisions.select("finding_index", "verdict")
+    return given.unionByName(before.join(given.select("finding_index"), "finding_index", "left_anti"))
+
+
 def resolved_findings(parent: DataFrame, current: DataFrame) -> DataFrame:
     """K4: explanations of the parent run that are no longer raised."""
     raised = parent.filter(F.coalesce("explanation", F.lit("")) != "").select("explanation").distinct()

@@ -41,8 +41,9 @@ def verify_run(claims: DataFrame, citations: DataFrame, facts: DataFrame,
         citations.select("claim_id", "section_key", "fact_id")
         .join(facts.select("fact_id", "predicate", "value_raw", "chunk_id", "document_id",
                            F.lit(True).alias("_fact")), "fact_id", "left")
-        .join(chunks.select("chunk_id", F.col("text").alias("_passage")), "chunk_id", "left")
         .join(documents.select("document_id", F.col("uri").alias("_uri")), "document_id", "left")
+        # passages last, so that their text is not shuffled again
+        .join(chunks.select("chunk_id", F.col("text").alias("_passage")), "chunk_id", "left")
     )
     lost_fact = F.col("_fact").isNull()
     no_chunk = F.col("chunk_id").isNull()

@@ -12,9 +12,11 @@ from concordat.functions.values import number_text
 from concordat.operators import adjudicate, changes, classify, compose, conflicts, enrich, extract
 from concordat.operators import ingest, maintain, publish, reconcile, reports, review, rules, verify
 from concordat.plans import driver_tables as D
-from concordat.session import settle
+from concordat.session import settle, shared_folder
 from concordat.sources import inbox, tables
-from concordat.sources.rules import standard_rules
+from concordat.sources.lines import numbered_lines
+from concordat.sources.register_file import register_rows, write_register
+from concordat.sources.rules import rules_frame, standard_rules
 
 QUERIES: dict = {}
 
@@ -117,6 +119,30 @@ def a4_append_new(spark, folder):
     return tables.new_rows(new, target, ["corpus", "sha256"], "arrival").select("corpus", "sha256", "arrival")
 
 
+@query
+def a5_rules_frame(spark, folder):
+    """A playbook with a rule for every part, written as lines and read back; some lines are no rules, some rules are wrong."""
+    rows = D.derive(spark, folder, D.PART_RULES).withColumn(
+        "kind", F.when(F.col("position") % 13 == 0, "ratio").otherwise(F.col("kind"))).withColumn(
+        "code", F.when(F.col("position") % 11 == 0, "P-1").otherwise(F.col("code")))
+    text = F.to_json(F.struct(*[c for c in rows.columns if c != "position"]))
+    line = F.when(F.col("position") % 17 == 0, F.concat(F.lit("P-"), F.col("position").cast("string"), F.lit(" {"))).otherwise(text)
+    path = shared_folder(spark, "playbook")
+    ordered = rows.select("position", line.alias("value")).repartitionByRange("position").sortWithinPartitions("position")
+    ordered.select("value").write.text(path)
+    good, defects = rules_frame(spark, path)
+    return good.select("number", "code", "kind", F.lit(None).cast("string").alias("problem")).unionByName(
+        defects.select("number", "code", F.lit(None).cast("string").alias("kind"), "problem"))
+
+
+@query
+def a6_register_rows(spark, folder):
+    """The register written as files and read back: its lines in order."""
+    path = shared_folder(spark, "register")
+    write_register(register_rows(_rendered(spark, folder, 2), "all", "run-2"), path)
+    return numbered_lines(spark, path).select("number", "line")
+
+
 @query
 def a7_known_hashes(spark, folder):
     docs = letters(spark, folder).withColumn("sha256", F.sha2("text", 256))
@@ -824,10 +850,11 @@ def j1_build_changes(spark, folder):
 @query
 def j2_change_causes(spark, folder):
     facts, docs = fact_table(spark, folder), D.derive(spark, folder, D.CONTRACTS)
+    log = settle(_changes(spark, folder), "changes")
+    moved = changes.moved_sections(log)
     return changes.change_causes(
-        _changes(spark, folder),
-        changes.citing_documents(citations_of(spark, folder, 2), facts, docs),
-        changes.citing_documents(citations_of(spark, folder, 1), facts, docs))
+        log, changes.citing_documents(citations_of(spark, folder, 2), facts, docs, moved),
+        changes.citing_documents(citations_of(spark, folder, 1), facts, docs, moved))
 
 
 @query

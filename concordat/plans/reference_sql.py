@@ -18,12 +18,15 @@ from concordat.fixed_values import (
     NOTE_WITHHELD,
     REASON_FORMULA,
     REASON_UNREADABLE,
+    REGISTER_PREFACE,
+    REGISTER_TITLE,
     RETAINED,
     SIDES,
     TYPOGRAPHIC,
     WHITESPACE,
 )
 from concordat.plans import driver_tables as D
+from concordat.sources.rules import NOT_A_RULE
 
 
 def lit(text: str) -> str:
@@ -783,3 +786,17 @@ REFERENCE_SQL["n3_maintained_states"] = REFERENCE_SQL["d4_reconcile"]
 REFERENCE_SQL["n3_maintained_candidates"] = REFERENCE_SQL["e5_detect"]
 # Metrics that are stored add up to those of the calls.
 REFERENCE_SQL["l4_stored_metrics"] = REFERENCE_SQL["l4_stage_costs"]
+REFERENCE_SQL["a5_rules_frame"] = f"""WITH part_rule AS ({D.PART_RULES}),
+  r AS (SELECT row_number() OVER (ORDER BY position) AS number, position, CASE WHEN position % 11 = 0 THEN 'P-1' ELSE code END AS code,
+    CASE WHEN position % 13 = 0 THEN 'ratio' ELSE kind END AS kind FROM part_rule),
+  good AS (SELECT * FROM r WHERE position % 17 <> 0)
+  SELECT number, code, kind, NULL AS problem FROM good
+  UNION ALL SELECT number, NULL, NULL, {lit(NOT_A_RULE)} FROM r WHERE position % 17 = 0
+  UNION ALL SELECT number, code, NULL, code || ': kind ''ratio'' is not one of [''numeric_bound'', ''numeric_max'', ''numeric_min'', ''presence_required'']' FROM good WHERE kind = 'ratio'
+  UNION ALL SELECT number, code, NULL, 'duplicate code ''' || code || '''' FROM (SELECT *, min(number) OVER (PARTITION BY code) AS first FROM good) g WHERE number > first"""
+REFERENCE_SQL["a6_register_rows"] = f"""{PUBLISHED}, pieces AS (
+    SELECT '' AS section_key, '' AS part, {lit(REGISTER_TITLE)} || chr(10) || chr(10) || 'Corpus **all** · run `run-2` · ' || (SELECT count(*) FROM rows2 WHERE part = '')
+      || ' obligations.' || chr(10) || chr(10) || {lit(REGISTER_PREFACE)} || chr(10) || chr(10) || '---' || chr(10) AS text
+    UNION ALL SELECT section_key, part, CASE WHEN ends_with(text, '*') THEN text || chr(10) ELSE text END FROM rows2)
+  SELECT row_number() OVER (ORDER BY section_key, part, i) AS number, lines[i] AS line
+  FROM (SELECT section_key, part, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM pieces) p) q"""

@@ -379,7 +379,7 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
     findings = review.assemble_findings(*stages).withColumn(
         "finding_id", F.sha2(F.concat_ws("\n", F.lit(run_id), "stage", "finding_key"), 256)
     ).withColumn("status", F.lit("open"))
-    stored = tables.write_run(findings, "findings", corpus, run_id)
+    stored = tables.write_run(_with_prior_verdicts(tables, corpus, findings), "findings", corpus, run_id)
     plan = compose.plan_summary(versions).first().asDict()
     # A stage that had nothing to do must not look like one that is missing.
     detail = "skipped, nothing to judge: adjudicate" if skipped else None
@@ -394,6 +394,39 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
     return RunResult(run_id, "awaiting_review", plan, summary, skipped)
 
 
+def _with_prior_verdicts(tables: Tables, corpus: str, findings: DataFrame) -> DataFrame:
+    """Findings with the newest verdict on the same words; only the index partitions of their hashes are read."""
+    found = settle(findings, "found")
+    prefixes = [r[0] for r in found.select(F.left(review.explanation_hash(), F.lit(2))).distinct().collect()]  # 256 at most
+    return review.indexed_verdicts(found, _of_corpus(tables, "verdict_index", corpus).filter(F.col("prefix").isin(prefixes)))
+
+
+def review_run(tables: Tables, corpus: str, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a reviewer sees of a run: (queue with fresh findings before carried ones, counts, what the parent raised and this run does not)."""
+    queue = review.review_queue(tables.read("findings", corpus, run_id))
+    parent = tables.read("runs", corpus, run_id).first().parent_run_id
+    before = tables.read("findings", corpus, parent) if parent else tables.spark.createDataFrame([], tables.schema("findings"))
+    return queue, review.queue_counts(queue), review.resolved_findings(before, tables.read("findings", corpus, run_id))
+
+
+def sweep_runs(tables: Tables, corpus: str) -> list[str]:
+    """L5 over stored runs, before new ones start: those still marked running were cut off; their ids."""
+    cut = reports.mark_interrupted(tables.read("runs", corpus).filter(F.col("status") == "running"))
+    runs = cut.collect()  # one row per process that died, not per document
+    for run in runs:
+        _record(tables, corpus, run.run_id, parent_run_id=run.parent_run_id, status=run.status, started_at=run.started_at,
+                ended_at=run.ended_at, current_stage=run.current_stage, stage_detail=run.stage_detail)
+    return sorted(run.run_id for run in runs)
+
+
+def run_states(tables: Tables, corpus: str) -> DataFrame:
+    """L6 over stored runs: blocked, awaiting review or classification, else what the run says of itself."""
+    runs, findings = tables.read("runs", corpus), tables.read("findings", corpus)
+    broken = findings.filter(F.col("stage") == "verify").select("run_id", F.lit(False).alias("passed"))
+    asked = runs.filter((F.col("status") == "awaiting_review") & (F.col("current_stage") == "classify"))
+    return reports.run_status(runs, broken, asked.select("run_id"), findings.filter(F.col("status") == "open").select("run_id"))
+
+
 def commit_run(tables: Tables, corpus: str, run_id: str, decisions: DataFrame, actor: str = "human") -> RunResult:
     """Close a run with a reviewer's verdicts (finding_index, verdict)."""
     run = tables.read("runs", corpus, run_id).first()
@@ -401,13 +434,14 @@ def commit_run(tables: Tables, corpus: str, run_id: str, decisions: DataFrame, a
         raise ValueError(f"run {run_id} is not awaiting review")
     # Read to a copy first: the findings partition is about to be replaced.
     findings = settle(tables.read("findings", corpus, run_id), "findings")
-    closed, log = review.commit_decisions(findings, decisions, actor)
+    closed, log = review.commit_decisions(findings, review.carried_decisions(findings, decisions), actor)
     ended = datetime.now(timezone.utc).replace(tzinfo=None)
     log = log.join(findings.select("finding_index", "finding_id"), "finding_index").withColumns({
         "decision_id": F.sha2(F.concat_ws("\n", F.lit("decision"), "finding_id"), 256),
         "created_at": F.lit(ended).cast("timestamp"),
     })
-    tables.write_run(log, "decisions", corpus, run_id)
+    log = tables.write_run(log, "decisions", corpus, run_id)
+    tables.append(review.verdict_rows(findings, log).withColumn("corpus", F.lit(corpus)), "verdict_index", "corpus", "prefix")
     tables.write_run(closed, "findings", corpus, run_id)
     _record(tables, corpus, run_id, parent_run_id=run.parent_run_id, status="completed",
             started_at=run.started_at, ended_at=ended, stage_detail=run.stage_detail)
@@ -420,8 +454,9 @@ def run_changes(tables: Tables, corpus: str, run_id: str) -> tuple[DataFrame, Da
     before = lambda name: (tables.read(name, corpus, parent) if parent
                            else tables.spark.createDataFrame([], tables.schema(name)))
     facts, documents = _of_corpus(tables, "facts", corpus), _of_corpus(tables, "documents", corpus)
-    log = changes.build_changes(tables.read("section_versions", corpus, run_id), before("section_versions"))
+    log = settle(changes.build_changes(tables.read("section_versions", corpus, run_id), before("section_versions")), "changes")
+    moved = changes.moved_sections(log)
     causes = changes.change_causes(
-        log, changes.citing_documents(tables.read("citations", corpus, run_id), facts, documents),
-        changes.citing_documents(before("citations"), facts, documents))
+        log, changes.citing_documents(tables.read("citations", corpus, run_id), facts, documents, moved),
+        changes.citing_documents(before("citations"), facts, documents, moved))
     return log, causes

@@ -58,7 +58,11 @@ SCHEMAS = {
     ),
     "findings": (
         "finding_id string, finding_index bigint, stage string, severity string, status string, "
-        "target_kind string, explanation string, corpus string, run_id string"
+        "target_kind string, explanation string, prior_verdict string, corpus string, run_id string"
+    ),
+    # Every verdict given, by a hash of the explanation it was given on.
+    "verdict_index": (
+        "explanation_hash string, verdict string, created_at timestamp, decision_id string, corpus string, prefix string"
     ),
     # Findings on documents, stored before the answers they are about, so that a run that
     # broke off still reports them when it is started again.

@@ -79,7 +79,7 @@ def test_bounds(spark, expr, value):
 def test_playbook_is_refused_as_a_whole(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"ruleset_id":"r","position":1,"code":"A","kind":"numeric_max","predicate":"p"}\n')
     with pytest.raises(rules.RulesRefused, match="numeric_max needs config.max"):
-        rules.load_rules(rules_frame(spark, str(tmp_path / "r.json")))
+        rules.load_rules(rules_frame(spark, str(tmp_path / "r.json"))[0])
     good = spark.createDataFrame(standard_rules(), rules.RULES)
     assert [r.code for r in rules.load_rules(good).orderBy("position").collect()] == ["LIAB-01", "PAY-01", "RENEW-01", "NOTICE-01", "LAW-01"]
     twice = good.union(good.withColumn("position", F.col("position") + 10))

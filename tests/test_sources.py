@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from concordat.operators import publish as P
 from concordat.sources import inbox
+from concordat.sources.lines import numbered_lines
 from concordat.sources.register_file import register_rows, write_register
+from concordat.sources.rules import NOT_A_RULE, rules_frame
 from concordat.sources.tables import Tables
 from letters import write
 
@@ -127,3 +129,27 @@ def test_lines_of_long_documents(spark, monkeypatch):
         body = want[c].get(hashlib.sha256(k.encode()).hexdigest()[:8])
         told = errors.get((c, k), "")
         assert ("no heading" in told) == (body is None) and ("does not contain" in told) == (body is not None and v is not None and v not in body[1][0])
+
+
+def test_lines_are_numbered_over_files_and_ranges(spark, tmp_path):
+    texts = [["a", "", "ünï", "x" * 500, "last"], ["one"], [f"line {i}" for i in range(700)]]
+    for i, lines in enumerate(texts):
+        (tmp_path / f"part-{i}.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(before, ("300", "0")):
+            spark.conf.set(k, v)
+        got = numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.line for r in sorted(got, key=lambda r: r.number)] == sum(texts, []) and {r.number for r in got} == set(range(1, 707))
+
+
+def test_playbook_tells_its_bad_lines(spark, tmp_path):
+    good = '{"ruleset_id":"r","code":"A","kind":"presence_required","predicate":"p"}'
+    (tmp_path / "rules.json").write_text("\n".join([good, "", "{oops", good, "[1]", good.replace('"A"', '"B"').replace("presence_required", "numeric_max")]) + "\n")
+    rules, defects = rules_frame(spark, str(tmp_path / "rules.json"))
+    assert {(r.number, r.code) for r in rules.collect()} >= {(1, "A"), (4, "A"), (6, "B")}
+    told = {(d.number, d.problem) for d in defects.collect()}
+    assert {(3, NOT_A_RULE), (4, "duplicate code 'A'"), (6, "B: numeric_max needs config.max")} <= told and {n for n, _ in told} == {3, 4, 5, 6}
