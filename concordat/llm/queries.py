@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import language_id, toxicity
+from concordat.llm import conversation_sql, language_id, toxicity
 from concordat.llm.common import held_out, joined_sha256, table, tokenizer_file
 from concordat.llm.conversation_repair import damage, plan_repairs, repaired_turns
 from concordat.llm.conversation_trie import rebuilt, trie, turns_of
@@ -152,6 +152,8 @@ SQL: dict[str, str] = {
         removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_conversation_repair": conversation_sql.REPAIR,
+    "op12_conversation_trie": conversation_sql.TRIE,
     "op13_warc": """
         WITH whole AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         named AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last_id FROM whole)
