@@ -1004,7 +1004,6 @@ def _corpus() -> Column:
     return F.left(publish.section_ref("section_key"), F.lit(3))
 
 
-@stored
 @stored
 def _published(spark, folder):
     """Lines of the documents as published after run 1, as an editing service might hand them back.
