@@ -35,7 +35,8 @@ QUERIES = [
     "e3_arithmetic_mismatches", "e6_with_direction", "f2_check_explanations", "g1_section_plans",
     "g2_plan_recomposition", "g4_citations", "h2_evaluate_rules", "i1_verify_run", "j1_build_changes",
     "j2_change_causes", "k1_assemble_findings", "k3_prior_verdicts", "l2_provenance", "l4_stage_costs",
-    "m1_render_sections", "m3_reconcile_published", "n1_diff_snapshot",
+    "m1_render_sections", "m3_reconcile_published", "n1_diff_snapshot", "n3_maintained_states",
+    "n3_maintained_candidates",
 ]
 
 

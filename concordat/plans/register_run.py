@@ -62,20 +62,39 @@ def _of_corpus(tables: Tables, name: str, corpus: str) -> DataFrame:
 
 
 def ingest_documents(tables: Tables, corpus: str, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Store unseen documents and their chunks; (ids of all arrived ones, findings)."""
+    """Store unseen documents and their chunks; (ids of all arrived ones, findings).
+
+    Arrivals are settled without their texts; only texts of unseen content are written.
+    """
     readable, findings = ingest.partition_readable(arrived)
-    readable = settle(readable.withColumn("corpus", F.lit(corpus)), "arrived")
+    readable = readable.withColumn("corpus", F.lit(corpus))
+    light = settle(readable.drop("text"), "arrived")
     known = _of_corpus(tables, "documents", corpus)
-    fresh = settle(ingest.dedupe_documents(readable, known), "fresh")
-    # Chunks first: a document counts as ingested only once its chunks are there.
-    chunks = ingest.chunk_documents(fresh).withColumn("corpus", F.lit(corpus))
-    tables.append_new(chunks, "chunks", ["corpus", "chunk_id"], "chunk_id", corpus)
-    offset = known.agg(F.coalesce(F.max("doc_seq") + 1, F.lit(0))).first()[0]
-    numbered = with_index(fresh, [], F.col("arrival"), "doc_seq").withColumn(
-        "doc_seq", F.col("doc_seq") + F.lit(offset))
-    tables.append_new(numbered, "documents", ["corpus", "sha256"], "arrival", corpus)
-    ids = readable.select(ingest.document_id("corpus", "sha256").alias("document_id")).distinct()
-    return ids, findings
+    fresh = settle(ingest.dedupe_documents(light, known), "fresh")
+    ids = light.select("uri", ingest.document_id("corpus", "sha256").alias("document_id"))
+    if not fresh.isEmpty():
+        texts = settle(readable.select("arrival", "text").join(fresh, "arrival"), "fresh_texts")
+        # Chunks first: a document counts as ingested only once its chunks are there.
+        chunks = ingest.chunk_documents(texts).withColumn("corpus", F.lit(corpus))
+        tables.append_new(chunks, "chunks", ["corpus", "chunk_id"], "chunk_id", corpus)
+        offset = known.agg(F.coalesce(F.max("doc_seq") + 1, F.lit(0))).first()[0]
+        numbered = with_index(fresh, [], F.col("arrival"), "doc_seq").withColumn(
+            "doc_seq", F.col("doc_seq") + F.lit(offset))
+        tables.append_new(numbered, "documents", ["corpus", "sha256"], "arrival", corpus)
+    seen = _of_corpus(tables, "arrivals", corpus).select("uri", "document_id")
+    held = ids.distinct().join(seen, ["uri", "document_id"], "left_anti")
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    tables.append(held.withColumns({"arrived_at": F.lit(now).cast("timestamp"), "corpus": F.lit(corpus)}), "arrivals", "corpus")
+    return ids.select("document_id").distinct(), findings
+
+
+def documents_at(tables: Tables, corpus: str, paths: DataFrame) -> DataFrame:
+    """Ids of the documents that some paths (uri) held when they last arrived."""
+    first = _of_corpus(tables, "documents", corpus).select("uri", "document_id", F.lit("1970-01-01").cast("timestamp").alias("arrived_at"))
+    seen = _of_corpus(tables, "arrivals", corpus).select("uri", "document_id", "arrived_at").unionByName(first)
+    latest = seen.groupBy("uri").agg(
+        F.max_by("document_id", F.struct("arrived_at", "document_id")).alias("document_id"))
+    return latest.join(paths.select("uri"), "uri", "left_semi").select("document_id").distinct()
 
 
 def decided_kinds(tables: Tables, corpus: str) -> DataFrame:
@@ -293,10 +312,11 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
               organisation: str | None = None, include_retained: bool = False,
               extractor_version: str = extract.EXTRACTOR_VERSION,
               composer_version: str = compose.COMPOSER_VERSION,
-              model: str = "", prompt_version: str = "1") -> RunResult:
+              model: str = "", prompt_version: str = "1", present: DataFrame | None = None) -> RunResult:
     """Bring the register of a corpus up to date with the documents that are there.
 
-    `arrived` holds all documents present (uri, sha256, text, arrival).  The responders
+    `arrived` holds all documents present (uri, sha256, text, arrival); where `present` names all paths
+    there are (uri), only those that have not been ingested before.  The responders
     map (document_id, uri, text) to (document_id, response_text), and candidates to
     (batch_id, response_text).  Documents known by content are neither classified nor
     extracted again, and sections whose facts stand are copied.  All three are asked through
@@ -311,6 +331,8 @@ def start_run(tables: Tables, corpus: str, run_id: str, arrived: DataFrame,
     note("running", current_stage="ingest")
     with metrics.stage("ingest"):
         ids, skipped_files = ingest_documents(tables, corpus, arrived)
+        if present is not None:
+            ids = ids.unionByName(documents_at(tables, corpus, present)).distinct()
         ids = settle(ids, "ids")
 
     note("running", current_stage="classify")

@@ -5,6 +5,8 @@ SCHEMAS = {
         "document_id string, doc_seq bigint, arrival string, uri string, sha256 string, mime string, "
         "corpus string"
     ),
+    # Which document each path has held, and since when.
+    "arrivals": "uri string, document_id string, arrived_at timestamp, corpus string",
     # One row per answer to "what is this document?"; a human's answer outweighs the classifier's.
     "document_kinds": (
         "document_id string, decided_by string, kind string, kind_confidence double, "

@@ -34,6 +34,12 @@ def scan_documents(spark: SparkSession, path: str, every_file: bool = False) ->
     return _as_documents(reader.load(path))
 
 
+def present_paths(spark: SparkSession, path: str) -> DataFrame:
+    """The paths (uri) of the documents in a folder; no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", ANY_CASE).load(path)
+    return files.select(F.col("path").alias("uri"))
+
+
 def read_inbox_stream(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
     """The same as a stream of new paths."""
     files = (

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from concordat.operators.ingest import partition_readable
 from concordat.plans.register_run import RunResult, start_run
-from concordat.sources.inbox import diff_snapshot, is_triggered, known_hashes, listing, read_inbox_stream, scan_documents
+from concordat.sources.inbox import diff_snapshot, is_triggered, known_hashes, listing, present_paths, read_inbox_stream, scan_documents
 from concordat.sources.tables import Tables
 
 
@@ -35,7 +35,8 @@ def start_register_stream(
 ) -> StreamingQuery:
     """Run the corpus for every batch of new paths.
 
-    A batch hands the whole folder to the run; what is known by content is reused.  The
+    A batch hands its own documents to the run, and of the rest of the folder only the paths: what
+    they held is known, so no other file is opened.  Documents whose path is gone leave the register.  The
     run id comes from the batch number, so a replayed batch replaces its own rows.
     """
     def on_batch(batch: DataFrame, number: int) -> None:
@@ -43,7 +44,7 @@ def start_register_stream(
         known = tables.read("documents", corpus).select("sha256")
         if readable.join(known, "sha256", "left_anti").isEmpty():
             return
-        result = start_run(tables, corpus, f"batch-{number:08d}", scan_documents(tables.spark, inbox), **options)
+        result = start_run(tables, corpus, f"batch-{number:08d}", batch, present=present_paths(tables.spark, inbox), **options)
         if on_result:
             on_result(result)
 

@@ -226,6 +226,37 @@ def test_stream_follows_the_inbox(spark, tmp_path):
     assert len(results) == 2 and results[1].plan["sections_rederived"] == 1
 
 
+def test_a_batch_opens_and_writes_its_own_files_only(spark, tmp_path, monkeypatch):
+    """A second batch of one file writes one text; a file that is gone leaves; a copy keeps its document there."""
+    tables = Tables(spark, str(tmp_path / "tables"))
+    inbox = write(tmp_path / "inbox", {k: v for k, v in LETTERS.items() if not k.endswith("docx")} | {"copy.md": LETTERS["change-1.md"]})
+    calls, _, _ = options(spark)
+    results, written, real = [], [], R.settle
+
+    def spy(rows, name="rows"):
+        out = real(rows, name)
+        if "text" in out.columns:
+            written.append((name, out.count()))
+        return out
+
+    def once():
+        start_register_stream(tables, "c", inbox, str(tmp_path / "ck"), once=True, on_result=results.append, **calls).awaitTermination()
+        commit_all(spark, tables, results[-1].run_id)
+
+    once()
+    (tmp_path / "inbox" / "bill-july.txt").unlink()
+    (tmp_path / "inbox" / "change-1.md").unlink()
+    write(tmp_path / "inbox", {"change-2.md": AMENDMENT_2})
+    monkeypatch.setattr(R, "settle", spy)
+    once()
+    assert [r.status for r in results] == ["awaiting_review"] * 2 and {n for name, n in written if name.startswith("fresh")} == {1}
+    assert all(n <= 1 for name, n in written if name != "asked" or n)
+    run = results[1].run_id
+    names = tables.read("run_documents", "c", run).join(tables.read("documents", "c"), "document_id").select(F.regexp_extract("uri", "[^/]+$", 0)).collect()
+    assert {n[0] for n in names} >= {"agreement.md", "change-2.md"} and "bill-july.txt" not in {n[0] for n in names} and len(names) == 3
+    as_built_anew(tables, run, "after a batch")
+
+
 def test_edit_in_place_triggers_a_look(spark, tmp_path):
     tables = Tables(spark, str(tmp_path / "tables"))
     inbox = write(tmp_path / "inbox", {"a.md": LETTERS["agreement.md"], "empty.txt": "  \n"})
