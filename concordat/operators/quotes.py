@@ -23,6 +23,7 @@ from concordat.session import settle
 
 WORD = r"[\p{L}\p{N}]+"
 BLOCK = 256  # short quotes that a chunk meets at once
+SEEDS = 4096  # wanted seeds that a chunk meets at once, about
 READINGS = ["text", "plain", "bare", "words", "bare_words"]
 QUOTE = ["document_id", "quote"]
 
@@ -83,11 +84,11 @@ def _pairs(words: str) -> Column:
     return F.zip_with(F.col(words), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
 
-def chunk_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks by document_id, ordinal and group; seeds of each: seed, ordinal, group, inside).
+def chunk_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks by document_id, ordinal and group; their seeds, an array a chunk; seeds over borders).
 
     Groups number the chunks that have words; a chunk without belongs to the one before it.  A seed is a
-    word or a pair of neighbours; one that runs over a border is not inside its chunk.
+    word or a pair of neighbours.
     """
     read = settle(chunks.select("document_id", "ordinal", _words("text").alias("tokens")), "tokens")
     in_order = Window.partitionBy("document_id").orderBy("ordinal")
@@ -95,11 +96,24 @@ def chunk_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = settle(edges.withColumn("group", F.count("first").over(in_order)), "groups")
     after = Window.partitionBy("document_id").orderBy("group")
     borders = placed.filter(F.col("first").isNotNull()).withColumn("next", F.lead("first").over(after)).filter(F.col("next").isNotNull()).select(
-        "document_id", "ordinal", "group", F.xxhash64("last", "next").alias("seed"), F.lit(False).alias("inside"))
-    groups = placed.select("document_id", "ordinal", "group")
-    own = F.array_distinct(F.concat(F.transform("tokens", lambda w: F.xxhash64(w)), _pairs("tokens")))
-    seeds = read.select("document_id", "ordinal", F.explode(own).alias("seed")).join(groups, ["document_id", "ordinal"])
-    return groups, seeds.select("document_id", "ordinal", "group", "seed", F.lit(True).alias("inside")).unionByName(borders)
+        "document_id", "ordinal", "group", F.xxhash64("last", "next").alias("seed"))
+    own = read.select("document_id", "ordinal", F.concat(F.transform("tokens", lambda w: F.xxhash64(w)), _pairs("tokens")).alias("seeds"))
+    return placed.select("document_id", "ordinal", "group"), own, borders
+
+
+def _postings(index: tuple[DataFrame, DataFrame, DataFrame], wanted: DataFrame) -> DataFrame:
+    """Where wanted seeds (document_id, seed) stand: document_id, seed, ordinal, group, inside.
+
+    A chunk meets the wanted seeds of its document in blocks, array against array, so that only those
+    that are wanted become rows.
+    """
+    groups, own, borders = index
+    n = F.count("*").over(Window.partitionBy("document_id"))
+    blocks = wanted.withColumn("block", F.pmod("seed", 1 + F.floor(n / SEEDS))).groupBy("document_id", "block").agg(F.collect_list("seed").alias("wanted"))
+    met = own.join(blocks, "document_id").select("document_id", "ordinal", F.explode(F.array_intersect("seeds", "wanted")).alias("seed"))
+    inside = met.join(groups, ["document_id", "ordinal"]).select("document_id", "seed", "ordinal", "group", F.lit(True).alias("inside"))
+    across = borders.join(wanted, ["document_id", "seed"], "left_semi").select("document_id", "seed", "ordinal", "group", F.lit(False).alias("inside"))
+    return inside.unionByName(across)
 
 
 def quote_seeds(quotes: DataFrame) -> DataFrame:
@@ -154,11 +168,11 @@ def _held_across(pairs: DataFrame) -> DataFrame:
     return placed.select(*QUOTE, answer.alias("answer"), "by", "char_start").groupBy(*QUOTE).agg(F.min_by("answer", F.struct("by", "char_start")).alias("answer"))
 
 
-def _by_anchors(quotes: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
-    groups, seeds = index
+def _by_anchors(quotes: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    groups = index[0]
     asked = settle(quote_seeds(quotes), "quote_seeds")
-    wanted = asked.select("document_id", "seed").distinct()
-    postings = settle(seeds.join(wanted, ["document_id", "seed"]), "postings")
+    wanted = settle(asked.select("document_id", "seed").distinct(), "wanted")
+    postings = settle(_postings(index, wanted), "postings")
     counts = postings.groupBy("document_id", "seed").agg(F.count("*").alias("n"), F.count_if("inside").alias("n_inside"))
     counted = asked.join(counts, ["document_id", "seed"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_inside")})
     seed = F.struct("seed", "place", "n_words")
