@@ -28,12 +28,15 @@ READINGS = ["text", "plain", "bare", "words", "bare_words"]
 QUOTE = ["document_id", "quote"]
 
 
-def with_readings(rows: DataFrame, source: str, prefix: str) -> DataFrame:
-    """Columns `prefix` + reading; each fold is computed once."""
+def with_readings(rows: DataFrame, source: str, prefix: str, holding: str | None = None) -> DataFrame:
+    """Columns `prefix` + reading; each fold is computed once, and not at all for a text that holds another as it stands."""
     name = lambda reading: f"{prefix}{reading}"
+    plain = T.fold_typography(name("text"))
+    if holding is not None:
+        plain = F.when(~F.col(name("text")).contains(F.col(holding)), plain)
     return (
         rows.withColumn(name("text"), F.col(source))
-        .withColumn(name("plain"), T.fold_typography(name("text")))
+        .withColumn(name("plain"), plain)
         .withColumn(name("bare"), T.fold_markdown(name("plain")))
         .withColumn(name("words"), T.squash(name("plain")))
         .withColumn(name("bare_words"), T.squash(name("bare")))
@@ -139,7 +142,7 @@ def _meet(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates (document_id, quote, ordinal) with the readings of both."""
     texts = chunks.select("document_id", "ordinal", "text", F.col("char_start").alias("base"))
     both = candidates.join(texts, ["document_id", "ordinal"])
-    return with_readings(with_readings(both, "text", "p_"), "quote", "q_").drop("text")
+    return with_readings(with_readings(both, "text", "p_", "quote"), "quote", "q_").drop("text")
 
 
 def _regions(candidates: DataFrame, groups: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
@@ -190,7 +193,7 @@ def _by_anchors(quotes: DataFrame, chunks: DataFrame, index: tuple[DataFrame, Da
     around = missed.join(postings.select("document_id", "seed", "group").distinct(), ["document_id", "seed"]).select(
         *QUOTE, (F.col("group") - F.col("place") - 1).alias("low"), (F.col("group") + F.col("n_words") - F.col("place")).alias("high"))
     regions = _regions(around, groups, chunks, [*QUOTE, "low", "high"])
-    across = _held_across(with_readings(with_readings(regions, "text", "p_"), "quote", "q_").drop("text"))
+    across = _held_across(with_readings(with_readings(regions, "text", "p_", "quote"), "quote", "q_").drop("text"))
     return found.unionByName(across)
 
 
