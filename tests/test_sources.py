@@ -131,6 +131,23 @@ def test_lines_of_long_documents(spark, monkeypatch):
         assert ("no heading" in told) == (body is None) and ("does not contain" in told) == (body is not None and v is not None and v not in body[1][0])
 
 
+def test_sections_that_share_a_marker_are_told_apart(spark, monkeypatch):
+    """Two keys whose hashes start alike give a row each; a third one is not taken for them."""
+    monkeypatch.setattr(P, "section_ref", lambda key: F.lit("0000000a"))
+    content = '{"vendor": "%s", "term": "hourly_rate", "scope": null, "value": "%s", "status": "agreed"}'
+    keys = {"a": content % ("A_x", "$1"), "b": content % ("B", "$2"), "c": content % ("C", "$3")}
+    sections = spark.createDataFrame([("k", key, text) for key, text in keys.items()], "corpus string, section_key string, content string")
+    text = ("### A\\_x — Hourly Rate [ref:0000000a]\n\nis **$1**\n\n· rev aaaa1111\n"
+            "### B — Hourly Rate [ref:0000000a]\n\nis **$2**\n\n· rev bbbb2222\n")
+    lines = P.document_lines(spark.createDataFrame([("k", text)], "corpus string, text string"))
+    shared = P.sharing(sections)
+    assert sorted(map(tuple, P.parse_published(lines, shared).collect())) == [("k", "0000000a", "aaaa1111"), ("k", "0000000a", "bbbb2222")]
+    edited = spark.createDataFrame([("k", "a", "$1"), ("k", "b", "$2"), ("k", "c", "$3")], "corpus string, section_key string, value string")
+    errors = {r.section_key: r.error for r in P.verify_published(edited, lines, shared).collect()}
+    assert errors == {"c": "no heading carrying [ref:0000000a] in the document"}
+    assert P.sharing(sections.filter("section_key = 'a'")).count() == 0
+
+
 def test_lines_are_numbered_over_files_and_ranges(spark, tmp_path):
     texts = [["a", "", "ünï", "x" * 500, "last"], ["one"], [f"line {i}" for i in range(700)]]
     for i, lines in enumerate(texts):
