@@ -33,9 +33,41 @@ class RunIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a word, by id; None where the vocabulary does not tell.
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def together(self, words: list[str]) -> list[bytes] | None:
+        """Ids of runs of letters, encoded as one text and cut after the ids that end a word.
+
+        A run gives a word at least, so as many ends as runs mean one each; else None.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if len(after) != len(words) or after[-1] != len(ids):
+            return None
+        row, cuts = ids.tobytes(), [0, *(4 * after).tolist()]
+        return [row[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encoded(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs by themselves.  Most are of letters alone, which are one word each."""
+        found, texts = {}, [r.decode() for r in runs]
+        if self.ends is not None:
+            words = [(r, t) for r, t in zip(runs, texts) if t.isalpha() and t.lower().isalpha()]
+            ids = self.together([t for _, t in words]) if words else None
+            if ids is not None:
+                found = {r: i for (r, _), i in zip(words, ids)}
+        rest = [(r, t) for r, t in zip(runs, texts) if r not in found] if found else list(zip(runs, texts))
+        encoded = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        found.update((r, np.array(e.ids, "<u4").tobytes()) for (r, _), e in zip(rest, encoded))
+        return found
+
     def learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new runs.  Punctuation after a letter or digit is a unit by itself, so its ids are put behind."""
         bases = {}
@@ -46,8 +78,7 @@ class RunIds:
         whole = {r for r in runs if r not in bases}.union(bases.values(), (r[len(b) :] for r, b in bases.items()))
         found = {r: ids for r in whole if (ids := self.known.get(r, self.older.get(r))) is not None}
         new = [r for r in whole if r not in found]
-        encoded = self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
-        found.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(new, encoded))
+        found.update(self.encoded(new))
         found.update((r, found[b] + found[r[len(b) :]]) for r, b in bases.items())
         return found
 

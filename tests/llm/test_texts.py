@@ -49,6 +49,24 @@ def test_run_ids_are_the_librarys():
         assert list(np.frombuffer(ids.encode([text.encode()])[0], "<u4")) == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_runs_of_letters_are_encoded_together():
+    ids, whole = RunIds(WORDS), Tokenizer.from_file(WORDS)
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    ids.tokenizer = Counted()
+    words = [f"wort{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzäöüß'[i // 100]}" for i in range(1000)]
+    odd = ["İstanbul", "ﬁn", "각", "가", "日本語", "x1", "a.b", "'s", "</w>", "ʼn", "<|endoftext|>", "ǅ"]
+    got = ids.learn([w.encode() for w in [*words, *odd]])
+    assert {r.decode(): np.frombuffer(i, "<u4").tolist() for r, i in got.items() if r.decode() in {*words, *odd}} == {
+        w: whole.encode(w, add_special_tokens=False).ids for w in [*words, *odd]}
+    assert len(asked) < 20 and len(asked[0].split()) > 1000
+
+
 def test_packing_round_trip(spark, docs):
     pick = random.Random(1)
     rows = [*enumerate(ODD), (50, " ".join(f"w{pick.randint(0, 99)}" for _ in range(6000))), (51, "twice"), (51, "twice")]
