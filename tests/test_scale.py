@@ -82,3 +82,12 @@ def test_formulas_in_any_case(spark):
              "in aggregate", "sometimes they", "offer", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in rows.select(V.is_formula(F.col("t"))).collect()] == [True] * 7 + [False] * 4
+
+
+def test_comparators_are_dealt_by_size(spark):
+    """E1 and E2 are written with partitions by size, not with as many as the session has."""
+    from concordat.plans.catalogue import QUERIES
+
+    for name in ("e1_equal_rank", "e2_temporal_violations"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
