@@ -24,11 +24,12 @@ def verify_run(claims: DataFrame, citations: DataFrame, facts: DataFrame,
     """One row per failure.
 
     facts: fact_id, predicate, value_raw, chunk_id, document_id; chunks: chunk_id, text;
-    documents: document_id, uri.  Each lookup has a unique right side.
+    documents: document_id, uri.  Each lookup has a unique right side.  A claim's citations lie together, so their
+    claim is named once a task before it moves.
     """
     uncited = (
         claims.filter(F.col("status") == "supported")
-        .join(citations.select("claim_id"), "claim_id", "left_anti")
+        .join(citations.select("claim_id").distinct(), "claim_id", "left_anti")
         .select(
             "claim_id", "section_key", F.lit(None).cast(facts.schema["fact_id"].dataType).alias("fact_id"),
             F.lit("uncited_claim").alias("reason"),

@@ -91,3 +91,28 @@ def test_comparators_are_dealt_by_size(spark):
     for name in ("e1_equal_rank", "e2_temporal_violations"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+
+
+def test_settled_files_are_packed(spark):
+    """Hashes in hex digits take half the place."""
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    files = settle(rows, "hashes").inputFiles()
+    assert files and all(".zstd." in f for f in files)
+
+
+def test_causes_and_failures_leave_no_shuffle_files(spark, fresh):
+    for name in ("j2_change_causes", "i1_verify_whole_run"):
+        plan = catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+
+
+def test_a_claim_moves_once_for_all_its_citations(spark):
+    of = lambda text, *rows: spark.createDataFrame(list(rows), text)
+    failures = catalogue.verify.verify_run(
+        of("claim_id string, section_key string, text string, status string", ("c", "s", "t", "supported"), ("d", "s2", "t", "supported")),
+        of("claim_id string, section_key string, fact_id string", ("c", "s", "f"), ("c", "s", "g")),
+        of("fact_id string, predicate string, value_raw string, chunk_id string, document_id string", ("f", "p", "1", "k", "x")),
+        of("chunk_id string, text string", ("k", "1")), of("document_id string, uri string", ("x", "u")))
+    anti = _plan(failures).split("LeftAnti")[1].split("Join")[0]
+    assert "Aggregate [claim_id" in anti
+    assert sorted((r.reason, r.fact_id) for r in failures.collect()) == [("dangling_citation", "g"), ("uncited_claim", None)]
