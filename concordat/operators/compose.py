@@ -171,7 +171,7 @@ def citations_for(claims: DataFrame, versions: DataFrame, facts_of_sections: Dat
 
 
 def plan_summary(versions: DataFrame) -> DataFrame:
-    """Sections in total, rederived and carried."""
+    """Sections in total, rederived and carried, of a run's versions or of its plan."""
     return versions.agg(
         F.count("*").alias("sections_total"),
         F.count_if(~F.col("carried_forward")).alias("sections_rederived"),

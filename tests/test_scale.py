@@ -116,3 +116,13 @@ def test_a_claim_moves_once_for_all_its_citations(spark):
     anti = _plan(failures).split("LeftAnti")[1].split("Join")[0]
     assert "Aggregate [claim_id" in anti
     assert sorted((r.reason, r.fact_id) for r in failures.collect()) == [("dangling_citation", "g"), ("uncited_claim", None)]
+
+
+def test_the_plan_is_summed_up_without_composing(spark, fresh, monkeypatch):
+    want = catalogue.compose.plan_summary(catalogue.versions(spark, FOLDER, 2)).first()
+    reasons = {r.section_key: r.reason for r in catalogue.recomposition(spark, FOLDER, catalogue.versions(spark, FOLDER, 1)).collect()}
+    monkeypatch.setattr(catalogue, "_STORED", {})
+    monkeypatch.setattr(catalogue, "fact_table", None)
+    monkeypatch.setattr(catalogue.compose, "section_plans", None)
+    assert catalogue.QUERIES["g5_plan_summary"](spark, FOLDER).first() == want
+    assert {r.section_key: r.reason for r in catalogue.QUERIES["g2_plan_recomposition"](spark, FOLDER).collect()} == reasons
