@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import text as T
+from concordat.session import WIDE, settle
 
 
 def value_present(value: Column, passage: Column) -> Column:
@@ -19,13 +20,47 @@ def value_present(value: Column, passage: Column) -> Column:
     )
 
 
+def _judged_facts(facts: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every fact, with the reason why no citation can rest on it: fact_id, reason, detail; NULL where one can.
+
+    A passage is dropped where it is met, so only what its fact says of itself moves on to the documents.
+    """
+    looked_up = (
+        facts.select("fact_id", "predicate", "value_raw", "chunk_id", "document_id")
+        .join(chunks.select("chunk_id", F.col("text").alias("_passage")), "chunk_id", "left")
+        .select("fact_id", "predicate", "value_raw", "document_id", F.col("chunk_id").isNull().alias("_no_chunk"),
+                F.col("_passage").isNull().alias("_no_passage"),
+                value_present(F.col("value_raw"), F.col("_passage")).alias("_present"))
+        .join(documents.select("document_id", F.col("uri").alias("_uri")), "document_id", "left")
+    )
+    lost_source = F.col("_no_passage") | F.col("_uri").isNull()
+    stated = F.concat(F.col("predicate"), F.lit("="), T.quoted("value_raw"))
+    reason = (
+        F.when(F.col("_no_chunk"), "unverifiable_citation")
+        .when(lost_source, "dangling_citation")
+        .when(~F.col("_present"), "citation_does_not_resolve")
+    )
+    detail = (
+        F.when(F.col("_no_chunk"), F.concat(F.lit("Fact "), stated, F.lit(
+            " has no chunk recorded, so its citation cannot be re-checked against the source.")))
+        .when(lost_source, F.concat(F.lit("Fact "), stated, F.lit(
+            " cites a chunk or document that no longer exists.")))
+        .otherwise(F.concat(
+            F.lit("Claim cites "), stated, F.lit(" from "), F.col("_uri"),
+            F.lit(", but that value no longer appears in the cited passage. "
+                  "The source changed after the claim was made.")))
+    )
+    return looked_up.select("fact_id", reason.alias("reason"), F.when(reason.isNotNull(), detail).alias("detail"))
+
+
 def verify_run(claims: DataFrame, citations: DataFrame, facts: DataFrame,
                chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per failure.
 
     facts: fact_id, predicate, value_raw, chunk_id, document_id; chunks: chunk_id, text;
-    documents: document_id, uri.  Each lookup has a unique right side.  A claim's citations lie together, so their
-    claim is named once a task before it moves.
+    documents: document_id, uri.  Each lookup has a unique right side.  What is wrong with a citation is wrong with its
+    fact: facts are judged by themselves and settled, so a citation moves once, and no passage or document
+    beside it.  A claim's citations lie together, so their claim is named once a task before it moves.
     """
     uncited = (
         claims.filter(F.col("status") == "supported")
@@ -38,40 +73,16 @@ def verify_run(claims: DataFrame, citations: DataFrame, facts: DataFrame,
             )).alias("detail"),
         )
     )
-    cited = (
-        citations.select("claim_id", "section_key", "fact_id")
-        .join(facts.select("fact_id", "predicate", "value_raw", "chunk_id", "document_id",
-                           F.lit(True).alias("_fact")), "fact_id", "left")
-        .join(documents.select("document_id", F.col("uri").alias("_uri")), "document_id", "left")
-        # passages last, so that their text is not shuffled again
-        .join(chunks.select("chunk_id", F.col("text").alias("_passage")), "chunk_id", "left")
-    )
+    judged = settle(_judged_facts(facts, chunks, documents), "judged_facts", WIDE)
+    cited = citations.select("claim_id", "section_key", "fact_id").join(judged.withColumn("_fact", F.lit(True)), "fact_id", "left")
     lost_fact = F.col("_fact").isNull()
-    no_chunk = F.col("chunk_id").isNull()
-    lost_source = F.col("_passage").isNull() | F.col("_uri").isNull()
-    stated = F.concat(F.col("predicate"), F.lit("="), T.quoted("value_raw"))
-    reason = (
-        F.when(lost_fact, "dangling_citation")
-        .when(no_chunk, "unverifiable_citation")
-        .when(lost_source, "dangling_citation")
-        .when(~value_present(F.col("value_raw"), F.col("_passage")), "citation_does_not_resolve")
-    )
-    detail = (
+    failed = cited.filter(lost_fact | F.col("reason").isNotNull()).select(
+        "claim_id", "section_key", "fact_id", F.when(lost_fact, "dangling_citation").otherwise(F.col("reason")).alias("reason"),
         F.when(lost_fact, F.concat(
             F.lit("Claim cites fact "), F.col("fact_id").cast("string"),
             F.lit(" which no longer exists. The supporting evidence was removed after the claim was made.")))
-        .when(no_chunk, F.concat(F.lit("Fact "), stated, F.lit(
-            " has no chunk recorded, so its citation cannot be re-checked against the source.")))
-        .when(lost_source, F.concat(F.lit("Fact "), stated, F.lit(
-            " cites a chunk or document that no longer exists.")))
-        .otherwise(F.concat(
-            F.lit("Claim cites "), stated, F.lit(" from "), F.col("_uri"),
-            F.lit(", but that value no longer appears in the cited passage. "
-                  "The source changed after the claim was made.")))
-    )
-    broken = cited.withColumn("reason", reason).filter(F.col("reason").isNotNull())
-    columns = ["claim_id", "section_key", "fact_id", "reason", "detail"]
-    return broken.withColumn("detail", detail).select(*columns).unionByName(uncited.select(*columns))
+        .otherwise(F.col("detail")).alias("detail"))
+    return failed.unionByName(uncited)
 
 
 def verification_findings(failures: DataFrame) -> DataFrame:

@@ -118,6 +118,22 @@ def test_a_claim_moves_once_for_all_its_citations(spark):
     assert sorted((r.reason, r.fact_id) for r in failures.collect()) == [("dangling_citation", "g"), ("uncited_claim", None)]
 
 
+def test_a_citation_moves_once(spark):
+    """Facts meet their passages and documents by themselves; a citation meets only what was found wrong with its fact."""
+    of = lambda text, *rows: spark.createDataFrame(list(rows), text)
+    failures = catalogue.verify.verify_run(
+        of("claim_id string, section_key string, text string, status string", ("c", "s", "t", "supported")),
+        of("claim_id string, section_key string, fact_id string", ("c", "s", "f"), ("c", "s", "g"), ("c", "s", "h"), ("c", "s", None)),
+        of("fact_id string, predicate string, value_raw string, chunk_id string, document_id string",
+           ("f", "p", "1", "k", "x"), ("g", "p", "1", None, "x"), ("h", "p", "2", "k", "gone")),
+        of("chunk_id string, text string", ("k", "1")), of("document_id string, uri string", ("x", "u")))
+    assert _plan(failures).count("Join LeftOuter") == 1
+    assert sorted((str(r.fact_id), r.reason, str(r.detail)) for r in failures.collect()) == [
+        ("None", "dangling_citation", "None"),
+        ("g", "unverifiable_citation", "Fact p='1' has no chunk recorded, so its citation cannot be re-checked against the source."),
+        ("h", "dangling_citation", "Fact p='2' cites a chunk or document that no longer exists.")]
+
+
 def test_the_plan_is_summed_up_without_composing(spark, fresh, monkeypatch):
     want = catalogue.compose.plan_summary(catalogue.versions(spark, FOLDER, 2)).first()
     reasons = {r.section_key: r.reason for r in catalogue.recomposition(spark, FOLDER, catalogue.versions(spark, FOLDER, 1)).collect()}
