@@ -134,6 +134,27 @@ def test_a_citation_moves_once(spark):
         ("h", "dangling_citation", "Fact p='2' cites a chunk or document that no longer exists.")]
 
 
+def test_published_lines_are_sectioned_once(spark, fresh, monkeypatch):
+    """M2 to M5 look at the same lines in their sections, and at the same edits."""
+    calls, real = [], catalogue.publish.sectioned_lines
+    monkeypatch.setattr(catalogue.publish, "sectioned_lines", lambda *given: calls.append(given) or real(*given))
+    for name in ("m2_parse_published", "m3_publication_counts", "m5_verify_published", "m5_publication_verified"):
+        assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
+    assert len(calls) == 1
+
+
+def test_sections_are_drawn_once(spark):
+    """A section's JSON is read once for its head and its end, and not for its parts."""
+    versions = spark.createDataFrame([("s", '{"vendor": "V", "term": "hourly_rate", "value": "$1", "status": "agreed"}', "0123456789")],
+                                     "section_key string, content string, content_hash string")
+    parts = spark.createDataFrame([("s", "superseded/1", "$2"), ("s", "superseded/2", "$3")], "section_key string, part string, content string")
+    rendered = catalogue.publish.render_sections(versions, parts).select("section_key", "part", "text")
+    assert _plan(rendered).count("from_json") == 1
+    head, *between, end = [r.text for r in sorted(rendered.collect(), key=lambda r: r.part)]
+    assert head.startswith("### V — Hourly Rate [ref:") and head.endswith("The governing **Hourly Rate** for V is **$1**.")
+    assert between == ["\n\nThis supersedes $2", ", $3"] and end.endswith("this one governs.\n\n*Status: agreed. · rev 01234567*")
+
+
 def test_the_plan_is_summed_up_without_composing(spark, fresh, monkeypatch):
     want = catalogue.compose.plan_summary(catalogue.versions(spark, FOLDER, 2)).first()
     reasons = {r.section_key: r.reason for r in catalogue.recomposition(spark, FOLDER, catalogue.versions(spark, FOLDER, 1)).collect()}
