@@ -155,6 +155,23 @@ def test_sections_are_drawn_once(spark):
     assert between == ["\n\nThis supersedes $2", ", $3"] and end.endswith("this one governs.\n\n*Status: agreed. · rev 01234567*")
 
 
+def test_a_rule_and_a_vendor_meet_as_two_numbers(spark):
+    """Only rules with an expression need a vendor's other terms; all others compare numbers as they are stored."""
+    v = views(spark, ("hourly_rate", "$3", "2024-01-01", "msa"), ("annual_fees", "no fee", "2024-01-01", "msa"))
+    playbook = spark.createDataFrame([
+        ("r", 0, "A", "numeric_max", "hourly_rate", "", 2, None, None, "high"), ("r", 1, "B", "numeric_min", "hourly_rate", "", None, 2, None, "high"),
+        ("r", 2, "C", "numeric_max", "annual_fees", "", 2, None, None, "high"), ("r", 3, "D", "numeric_min", "hourly_rate", "", 9, None, None, "high"),
+        ("r", 4, "E", "numeric_bound", "hourly_rate", "", None, None, "2 * hourly_rate - 4", "high"), ("r", 5, "F", "presence_required", "audit_rights", "", None, None, None, "high")],
+        catalogue.rules.RULES.replace("decimal(18,6)", "int")).selectExpr("* EXCEPT (max, min)", "CAST(max AS DECIMAL(18,6)) AS max", "CAST(min AS DECIMAL(18,6)) AS min")
+    found = catalogue.rules.evaluate_rules(catalogue.reconcile.reconcile(v), playbook).select("code", "subject", "fact_id", "checked", "severity")
+    terms = spark.range(1).selectExpr("'k' AS subject_key", "'V' AS vendor", "'p' AS predicate", "1 AS fact_id", "'$1' AS value_raw", "CAST(id AS DECIMAL(18,6)) AS magnitude")
+    pair = _plan(catalogue.rules._against_limits(terms, playbook, 1).filter("outcome IS NOT NULL").select("code", "fact_id"))
+    assert "Join Inner" in pair and "decimal(38,12)" not in pair and "aggregate(" not in pair
+    assert sorted(map(tuple, found.collect())) == [
+        ("A", "Acme", "f0", True, "high"), ("C", "Acme", "f1", False, "low"), ("D", "Acme", "f0", False, "low"),
+        ("E", "Acme", "f0", True, "high"), ("F", "Acme", None, True, "high")]
+
+
 def test_the_plan_is_summed_up_without_composing(spark, fresh, monkeypatch):
     want = catalogue.compose.plan_summary(catalogue.versions(spark, FOLDER, 2)).first()
     reasons = {r.section_key: r.reason for r in catalogue.recomposition(spark, FOLDER, catalogue.versions(spark, FOLDER, 1)).collect()}
